@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,34 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
         df.join(listed.distinct(), F.col(key) == F.col("_listed"), "left_anti")
         .where((nulls.scalar() == 0) & (F.col(key).isNotNull() | (size.scalar() == 0)))
     )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table of few splits one partition per core before it is expanded.
+
+    A table read in enough splits, as any large one is, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    The optimizer folds a projection into the one expression that uses it; when
+    that use is inside a lambda, the value would be worked out again for every
+    element.  A one-row generator keeps it apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def join_rows(left: DataFrame, right: DataFrame, on: str | list[str] = "question_id", how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the questions.
+
+    The size Spark estimates for extracted or rendered text is far below the
+    real one, so such a side could be broadcast by mistake; it is sorted and
+    merged instead, without a shuffle where both sides are partitioned alike.
+    """
+    return left.join(right.hint("merge"), on, how)

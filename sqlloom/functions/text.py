@@ -27,14 +27,20 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
+_ANY_KEYWORD = "|".join(SQL_KEYWORDS)
+_KEYWORD_TO_FIX = rf"(?U)\b(?!(?:{_ANY_KEYWORD})\b)(?i:{_ANY_KEYWORD})\b"
+
+
 def upper_keywords(sql: Column) -> Column:
     """Upper-case SQL keywords wherever they stand as whole words.
 
-    This touches string literals and columns named like a keyword too.
+    This touches string literals and columns named like a keyword too.  Text
+    whose keywords are upper case already is tested once and left alone.
     """
+    fixed = sql
     for word in SQL_KEYWORDS:
-        sql = F.regexp_replace(sql, rf"(?iU)\b{word}\b", word)
-    return sql
+        fixed = F.regexp_replace(fixed, rf"(?iU)\b{word}\b", word)
+    return F.when(sql.rlike(_KEYWORD_TO_FIX), fixed).otherwise(sql)
 
 
 def normalise_sql(sql: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import once
 from sqlloom.functions.text import bracketed, strip
 
 _TABLES = "table_names_original"
@@ -76,11 +77,8 @@ def _foreign_key_structs(columns: Column) -> Column:
 
 def _with_columns(catalog: DataFrame) -> DataFrame:
     """Catalog rows with the key structs worked out once."""
-    return (
-        catalog.withColumn("_cols", _column_structs(truncate=False))
-        .withColumn("_pks", _primary_key_structs(F.col("_cols")))
-        .withColumn("_fks", _foreign_key_structs(F.col("_cols")))
-    )
+    columns = once(catalog, _cols=_column_structs(truncate=False))
+    return once(columns, _pks=_primary_key_structs(F.col("_cols")), _fks=_foreign_key_structs(F.col("_cols")))
 
 
 def _qualified(c: Column) -> Column:
@@ -112,7 +110,7 @@ def catalog_columns(catalog: DataFrame) -> DataFrame:
 def catalog_primary_keys(catalog: DataFrame) -> DataFrame:
     """Every valid primary-key column, composite keys in full."""
     return (
-        catalog.withColumn("_cols", _column_structs(truncate=False))
+        once(catalog, _cols=_column_structs(truncate=False))
         .select("db_id", F.explode(_primary_key_structs(F.col("_cols"))).alias("p"))
         .select("db_id", "p.pk_pos", F.col("p.col.table_name").alias("table_name"),
                 F.col("p.col.name").alias("column_name"))
@@ -122,7 +120,7 @@ def catalog_primary_keys(catalog: DataFrame) -> DataFrame:
 def catalog_foreign_keys(catalog: DataFrame) -> DataFrame:
     """Every foreign key whose two ends are real columns."""
     return (
-        catalog.withColumn("_cols", _column_structs(truncate=False))
+        once(catalog, _cols=_column_structs(truncate=False))
         .select("db_id", F.explode(_foreign_key_structs(F.col("_cols"))).alias("f"))
         .select(
             "db_id", "f.fk_pos",
@@ -132,9 +130,11 @@ def catalog_foreign_keys(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _last_index(items: Column, item: Column) -> Column:
-    """Zero-based position of the last occurrence."""
-    return (F.size(items) - F.array_position(F.reverse(items), item)).cast("int")
+def _last_positions(names: Column) -> Column:
+    """Distinct names in order of first occurrence, each with the position of its last one."""
+    backwards = F.reverse(names)
+    return F.transform(F.array_distinct(names), lambda n: F.struct(
+        n.alias("name"), (F.size(names) - F.array_position(backwards, n)).cast("int").alias("pos")))
 
 
 def catalog_by_db(catalog: DataFrame) -> DataFrame:
@@ -142,18 +142,13 @@ def catalog_by_db(catalog: DataFrame) -> DataFrame:
 
     A repeated table name keeps its last definition and a composite key its last column.
     """
-    names = F.col(_TABLES)
-    tables = F.transform(
-        F.array_distinct(names),
-        lambda n: F.struct(n.alias("key"), F.transform(
-            F.filter("_cols", lambda c: c["tab_idx"] == _last_index(names, n)), lambda c: c["name"]
-        ).alias("value")),
-    )
-    pk_tables = F.transform("_pks", lambda p: p["col"]["table_name"])
+    # the position is worked out once per table, outside the loop over the columns
+    tables = F.transform(_last_positions(F.col(_TABLES)), lambda t: F.struct(
+        t["name"].alias("key"),
+        F.transform(F.filter("_cols", lambda c: c["tab_idx"] == t["pos"]), lambda c: c["name"]).alias("value")))
     keys = F.transform(
-        F.array_distinct(pk_tables),
-        lambda n: F.struct(n.alias("key"), F.get("_pks", _last_index(pk_tables, n))["col"]["name"].alias("value")),
-    )
+        _last_positions(F.transform("_pks", lambda p: p["col"]["table_name"])),
+        lambda t: F.struct(t["name"].alias("key"), F.get("_pks", t["pos"])["col"]["name"].alias("value")))
     return _with_columns(catalog).select(
         "db_id",
         F.map_from_entries(tables).alias("tables"),
@@ -209,7 +204,7 @@ def catalog_rejects(catalog: DataFrame) -> DataFrame:
     none = F.filter(F.array(reject("", F.lit(""), F.lit(""))), lambda _: F.lit(False))
     found = F.concat(bad_database, *[F.coalesce(a, none) for a in (bad_columns, untyped, bad_pks, bad_fks)])
     return (
-        catalog.withColumn("_cols", _column_structs(truncate=False))
+        once(catalog, _cols=_column_structs(truncate=False))
         .select("db_id", F.explode(found).alias("r"))
         .select("db_id", "r.item", "r.detail", "r.reason")
     )
@@ -248,14 +243,14 @@ def serialize_fields(catalog: DataFrame) -> DataFrame:
         )
 
     names = F.array_sort(F.array_distinct(_TABLES))
-    return catalog.withColumn("_typed", _column_structs(truncate=True)).select(
+    return once(catalog, _typed=_column_structs(truncate=True)).select(
         "db_id", F.array_join(F.transform(names, line), "").alias("fields")
     )
 
 
 def serialize_primary_keys(catalog: DataFrame) -> DataFrame:
     """``[t.a,t.b]``, ``[]`` when there is none."""
-    return catalog.withColumn("_cols", _column_structs(truncate=False)).select(
+    return once(catalog, _cols=_column_structs(truncate=False)).select(
         "db_id",
         bracketed(F.transform(_primary_key_structs(F.col("_cols")), lambda p: _qualified(p["col"]))).alias("primary_keys"),
     )
@@ -267,7 +262,7 @@ def _foreign_key_texts(fks: Column) -> Column:
 
 def serialize_foreign_keys(catalog: DataFrame) -> DataFrame:
     """``[a.x = b.y,..]``, ``[]`` when there is none."""
-    return catalog.withColumn("_cols", _column_structs(truncate=False)).select(
+    return once(catalog, _cols=_column_structs(truncate=False)).select(
         "db_id", bracketed(_foreign_key_texts(_foreign_key_structs(F.col("_cols")))).alias("foreign_keys")
     )
 
@@ -308,12 +303,10 @@ def serialize_typed_schema(catalog: DataFrame) -> DataFrame:
 
 def serialize_linking_schema(catalog: DataFrame) -> DataFrame:
     """Schema without the star and foreign keys as bullets plus a one-line list."""
-    names = F.col(_TABLES)
-
-    def line(name: Column) -> Column:
-        own = F.filter("_cols", lambda c: c["tab_idx"] == _last_index(names, name))
+    def line(t: Column) -> Column:
+        own = F.filter("_cols", lambda c: c["tab_idx"] == t["pos"])
         return F.concat(
-            F.lit("Table "), name, F.lit(", columns = "),
+            F.lit("Table "), t["name"], F.lit(", columns = "),
             bracketed(F.transform(own, lambda c: c["name"])), F.lit("\n"),
         )
 
@@ -326,7 +319,7 @@ def serialize_linking_schema(catalog: DataFrame) -> DataFrame:
     return _with_columns(catalog).select(
         "db_id",
         F.concat(F.lit("Database Schema:\n"),
-                 F.array_join(F.transform(F.array_distinct(names), line), "")).alias("schema_text"),
+                 F.array_join(F.transform(_last_positions(F.col(_TABLES)), line), "")).alias("schema_text"),
         fk_text.alias("fk_text"),
     )
 

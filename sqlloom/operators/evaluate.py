@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import normalise_sql
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions back onto their rows by key; rows without one keep a null."""
-    return rows.join(predictions.select("question_id", "model_predicted_sql"), "question_id", "left")
+    return join_rows(rows, predictions.select("question_id", "model_predicted_sql"), how="left")
 
 
 def exact_match(pairs: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def success_rate(questions: DataFrame, annotations: DataFrame) -> DataFrame:
     """Questions asked, questions answered, and their ratio in percent (0 without questions)."""
     done = annotations.select("question_id").distinct().withColumn("done", F.lit(1))
     return (
-        questions.select("question_id").join(done, "question_id", "left")
+        join_rows(questions.select("question_id"), done, how="left")
         .agg(F.count(F.lit(1)).alias("n_asked"), F.count("done").alias("n_generated"))
         .withColumn("success_rate", F.round(
             F.when(F.col("n_asked") == 0, 0.0).otherwise(F.col("n_generated") * 100.0 / F.col("n_asked")), 4))

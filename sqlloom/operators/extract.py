@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import SPACE, before, between, collapse, strip, upper_keywords
 
 # Markers the responses are asked to use.
@@ -150,7 +151,7 @@ def extract_label(responses: DataFrame) -> DataFrame:
 def extract_sub_questions(responses: DataFrame, questions: DataFrame) -> DataFrame:
     """Sub-question text of the class response, the question itself when there is none."""
     found = responses.select("question_id", between(F.col("response"), SUB_QUESTION_MARK, '"]').alias("found"))
-    return questions.select("question_id", "question").join(found, "question_id").select(
+    return join_rows(questions.select("question_id", "question"), found).select(
         "question_id", F.coalesce("found", "question").alias("sub_questions")
     )
 
@@ -196,6 +197,11 @@ def reasoning_sql(response: Column) -> Column:
     )
 
 
+def has_tags(response: Column) -> Column:
+    """Whether the response opens a reasoning block; cheap enough to run at the scan."""
+    return F.contains(response, F.lit("<chains>")) | F.contains(response, F.lit("<REASONING>"))
+
+
 def extract_reasoning_sql(responses: DataFrame) -> DataFrame:
     keys = [c for c in responses.columns if c != "response"]
     return responses.select(*keys, reasoning_sql(F.col("response")).alias("r")).select(
@@ -260,9 +266,9 @@ def classify_gold_sql(questions: DataFrame) -> DataFrame:
 
 def class_agreement(labels: DataFrame, questions: DataFrame) -> DataFrame:
     """Predicted class against the class of the gold query, counted."""
+    rule = classify_gold_sql(questions).select("question_id", "sql_class")
     return (
-        labels.select("question_id", "classification")
-        .join(classify_gold_sql(questions).select("question_id", "sql_class"), "question_id")
+        join_rows(labels.select("question_id", "classification"), rule)
         .groupBy("classification", "sql_class").agg(F.count(F.lit(1)).alias("n_questions"))
     )
 
@@ -270,7 +276,7 @@ def class_agreement(labels: DataFrame, questions: DataFrame) -> DataFrame:
 def changed_by_correction(first: DataFrame, corrected: DataFrame) -> DataFrame:
     """Questions whose SQL differs after correction; a missing SQL counts as a value."""
     return (
-        first.select("question_id", F.col("sql").alias("first_sql"))
-        .join(corrected.select("question_id", F.col("sql").alias("corrected_sql")), "question_id")
+        join_rows(first.select("question_id", F.col("sql").alias("first_sql")),
+                  corrected.select("question_id", F.col("sql").alias("corrected_sql")))
         .where(~F.col("first_sql").eqNullSafe(F.col("corrected_sql")))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import render
 from sqlloom.operators.catalog import schema_texts, serialize_linking_schema, serialize_typed_schema
 from sqlloom.operators.extract import norm_class
@@ -41,7 +42,7 @@ def schema_link_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def classification_prompt(questions: DataFrame, links: DataFrame) -> DataFrame:
     q = questions.select("question_id", "question")
-    return q.join(links.select("question_id", "schema_links"), "question_id").select(
+    return join_rows(q, links.select("question_id", "schema_links")).select(
         "question_id",
         render(T.CLASSIFICATION, question=F.col("question"), schema_links=F.col("schema_links")).alias("prompt"),
     )
@@ -56,10 +57,9 @@ def sql_prompt(questions: DataFrame, links: DataFrame, labels: DataFrame, catalo
         .when(route == "NON-NESTED", render(T.SQL_MEDIUM, **slots))
         .otherwise(render(T.SQL_HARD, **slots))
     )
+    rows = join_rows(questions.select("question_id", "db_id", "question"), links.select("question_id", "schema_links"))
     return (
-        questions.select("question_id", "db_id", "question")
-        .join(links.select("question_id", "schema_links"), "question_id")
-        .join(labels.select("question_id", "classification"), "question_id")
+        join_rows(rows, labels.select("question_id", "classification"))
         .join(schema_texts(catalog).select("db_id", "fields", "foreign_keys"), "db_id")
         .select("question_id", route.alias("route"), "fields", "foreign_keys", prompt.alias("prompt"))
     )
@@ -68,9 +68,9 @@ def sql_prompt(questions: DataFrame, links: DataFrame, labels: DataFrame, catalo
 def correction_prompt(questions: DataFrame, parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Prompt to repair a parsed query; rows without a parsed query have nothing to repair."""
     names = ("fields", "foreign_keys", "primary_keys", "question", "reasoning", "sql")
+    answers = parsed.where(F.col("sql").isNotNull()).select("question_id", "reasoning", "sql")
     return (
-        questions.select("question_id", "db_id", "question")
-        .join(parsed.where(F.col("sql").isNotNull()).select("question_id", "reasoning", "sql"), "question_id")
+        join_rows(questions.select("question_id", "db_id", "question"), answers)
         .join(schema_texts(catalog), "db_id")
         .select("question_id", render(T.CORRECTION, **{n: F.col(n) for n in names}).alias("prompt"))
     )
@@ -107,9 +107,8 @@ def with_prompt_hash(prompts: DataFrame) -> DataFrame:
 
 def pending_prompts(prompts: DataFrame, completions: DataFrame) -> DataFrame:
     """Prompts without a stored completion; only hashes are shuffled."""
-    return with_prompt_hash(prompts).select("question_id", "prompt_hash").join(
-        completions.select("prompt_hash").distinct(), "prompt_hash", "left_anti"
-    )
+    done = completions.select("prompt_hash").distinct()
+    return join_rows(with_prompt_hash(prompts).select("question_id", "prompt_hash"), done, "prompt_hash", "left_anti")
 
 
 def join_completions(prompts: DataFrame, completions: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -120,4 +119,4 @@ def join_completions(prompts: DataFrame, completions: DataFrame, max_attempts: i
         F.max_by("status", "attempt").alias("status"),
         F.max_by("completion", "attempt").alias("completion"),
     )
-    return with_prompt_hash(prompts).select("question_id", "prompt_hash").join(last, "prompt_hash", "left")
+    return join_rows(with_prompt_hash(prompts).select("question_id", "prompt_hash"), last, "prompt_hash", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.operators.catalog import catalog_columns, filtered_schema_text, serialize_foreign_keys
 
 # How much of a schema is kept.
@@ -22,63 +23,58 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def _items(catalog: DataFrame) -> DataFrame:
-    """Tables of each database with their columns, nested, from the raw record."""
-    names = F.col("table_names_original")
+def _weighted_items(catalog: DataFrame) -> DataFrame:
+    """Tables and columns of each database, nested, every name split into weighted tokens.
 
-    def table(t: Column, i: Column) -> Column:
-        own = F.filter("_cols", lambda c: c["tab_idx"] == i)
-        return F.struct(i.alias("tab_idx"), t.alias("table_name"), F.transform(
-            own, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"))
-        ).alias("columns"))
-
-    cols = F.transform("column_names_original", lambda c, i: F.struct(
-        F.get(c, F.lit(0)).try_cast("int").alias("tab_idx"), i.alias("col_idx"), F.get(c, F.lit(1)).alias("column_name")))
-    return catalog.withColumn("_cols", cols).select("db_id", F.transform(names, table).alias("items"))
-
-
-def _postings(catalog: DataFrame) -> DataFrame:
-    """Per database: token -> the items whose name holds it.  A token weighs 1 / number of its items."""
+    A token weighs 1 / number of items of the database that hold it.  The
+    groupings all refine ``db_id``, so the rows are shuffled once.  The empty
+    token keeps items whose name holds none; no question has it.
+    """
     columns = catalog_columns(catalog).where("column_name <> '*'").select(
-        "db_id", "tab_idx", "col_idx", F.col("column_name").alias("name"))
-    tables = catalog.select("db_id", F.posexplode("table_names_original").alias("tab_idx", "name")).select(
-        "db_id", "tab_idx", F.lit(-1).alias("col_idx"), "name")
+        "db_id", "tab_idx", "table_name", "col_idx", F.col("column_name").alias("name"))
+    tables = catalog.select("db_id", F.posexplode("table_names_original").alias("tab_idx", "table_name")).select(
+        "db_id", "tab_idx", "table_name", F.lit(-1).alias("col_idx"), F.col("table_name").alias("name"))
+    items = columns.unionByName(tables).repartition("db_id")
+    tokens = F.array_append(_tokens(F.col("name")), F.lit(""))
+    weighted = (
+        items.select("db_id", F.explode(tokens).alias("token"),
+                     F.struct("tab_idx", "col_idx", "table_name", "name").alias("item"))
+        .groupBy("db_id", "token").agg(F.collect_list("item").alias("held_by"))
+        .withColumn("w", F.lit(1.0) / F.size("held_by"))
+        .select("db_id", F.struct("token", "w").alias("token"), F.explode("held_by").alias("item"))
+        .groupBy("db_id", "item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    )
+    column = F.struct(F.col("item.col_idx").alias("col_idx"), F.col("item.name").alias("column_name"), "tokens")
     return (
-        columns.unionByName(tables)
-        .select("db_id", F.explode(_tokens(F.col("name"))).alias("token"), F.struct("tab_idx", "col_idx").alias("at"))
-        .groupBy("db_id", "token").agg(F.collect_list("at").alias("at"))
-        .groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("token", "at"))).alias("postings"))
+        weighted.groupBy("db_id", F.col("item.tab_idx").alias("tab_idx"), F.col("item.table_name").alias("table_name"))
+        .agg(F.array_sort(F.collect_list(column)).alias("c"))
+        # the table itself sorts first, under column -1
+        .select("db_id", F.struct(
+            "tab_idx", "table_name", F.get("c", F.lit(0))["tokens"].alias("tokens"),
+            F.slice("c", 2, F.size("c")).alias("columns")).alias("t"))
+        .groupBy("db_id").agg(F.array_sort(F.collect_list("t")).alias("items"))
     )
 
 
 def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each question with ``items``, its tables and columns carrying a score."""
-    schema = _items(catalog).join(_postings(catalog), "db_id", "left")
     asked = questions.select("question_id", "db_id", _tokens(F.col("question")).alias("_asked"))
-    hits = F.flatten(F.transform(
-        F.filter("postings", lambda p: F.array_contains("_asked", p["token"])),
-        lambda p: F.transform(p["at"], lambda a: F.struct(
-            a["tab_idx"].alias("t"), a["col_idx"].alias("c"), (F.lit(1.0) / F.size(p["at"])).alias("w"))),
-    ))
 
-    def score(tab_idx: Column, col_idx: Column) -> Column:
-        own = F.filter("_hits", lambda h: (h["t"] == tab_idx) & (h["c"] == col_idx))
-        return F.round(F.aggregate(own, F.lit(0.0), lambda acc, h: acc + h["w"]), 6).alias("score")
+    def score(tokens: Column) -> Column:
+        total = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.when(
+            F.array_contains("_asked", t["token"]), t["w"]).otherwise(0.0))
+        return F.round(total, 6).alias("score")
 
     def table(t: Column) -> Column:
         return F.struct(
-            t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), score(t["tab_idx"], F.lit(-1)),
+            t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), score(t["tokens"]),
             F.transform(t["columns"], lambda c: F.struct(
-                c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), score(t["tab_idx"], c["col_idx"])
-            )).alias("columns"),
+                c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), score(c["tokens"]))
+            ).alias("columns"),
         )
 
-    none = F.array().cast("array<struct<t:int,c:int,w:double>>")
-    return (
-        asked.join(schema, "db_id")
-        .select("question_id", "db_id", "items", F.coalesce(hits, none).alias("_hits"))
-        .select("question_id", "db_id", F.transform("items", table).alias("items"))
-    )
+    return asked.join(_weighted_items(catalog), "db_id").select(
+        "question_id", "db_id", F.transform("items", table).alias("items"))
 
 
 def schema_item_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -99,11 +95,10 @@ def schema_item_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def _best(items: Column, index: str, k: int) -> Column:
     """The k items with the highest score, ties by position."""
+    # 0 - score, since a negated zero would sort apart from zero
     keyed = F.transform(items, lambda i: F.struct(
-        (F.lit(0.0) - i["score"]).alias("neg"), i[index].alias("pos"), i.alias("item")))
-    ordered = F.array_sort(keyed, lambda a, b: F.when(a["neg"] < b["neg"], -1).when(a["neg"] > b["neg"], 1)
-                           .when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
-    return F.transform(F.slice(ordered, 1, k), lambda s: s["item"])
+        (F.lit(0.0) - i["score"]).alias("down"), i[index].alias("pos"), i.alias("item")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["item"])
 
 
 def best_items(scored: DataFrame, k_tables: int = TOP_TABLES, k_columns: int = TOP_COLUMNS) -> DataFrame:
@@ -158,9 +153,6 @@ def external_top_tables(scores: DataFrame, k: int = TOP_TABLES) -> DataFrame:
 def external_top_columns(scores: DataFrame, k_tables: int = TOP_TABLES, k: int = TOP_COLUMNS) -> DataFrame:
     order = Window.partitionBy("question_id", "tab_idx").orderBy(F.desc("score"), "col_idx")
     kept = external_top_tables(scores, k_tables).select("question_id", "tab_idx", "table_rank")
-    return (
-        scores.where(F.col("column_name").isNotNull())
-        .withColumn("column_rank", F.row_number().over(order)).where(F.col("column_rank") <= k)
-        .join(kept, ["question_id", "tab_idx"])
-        .select("question_id", "table_rank", "table_name", "column_rank", "column_name", "score")
-    )
+    best = scores.where(F.col("column_name").isNotNull()).withColumn(
+        "column_rank", F.row_number().over(order)).where(F.col("column_rank") <= k)
+    return join_rows(best, kept, ["question_id", "tab_idx"]).select("question_id", "table_rank", "table_name", "column_rank", "column_name", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import render, strip
 from sqlloom.plans import templates as T
 
@@ -12,7 +13,7 @@ from sqlloom.plans import templates as T
 def valid_samples(annotations: DataFrame, scores: DataFrame) -> DataFrame:
     """Annotated rows with score 1."""
     good = scores.where(F.col("score") == 1).select("question_id")
-    return annotations.join(good, "question_id", "left_semi")
+    return join_rows(annotations, good, how="left_semi")
 
 
 def samples_by_class(annotations: DataFrame, classes: tuple[str, ...] = ("EASY",)) -> DataFrame:
@@ -61,8 +62,8 @@ def token_budget(samples: DataFrame, column: str = "text", budget: int = 512) ->
 
 def dataset_stats(annotations: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows before and after the score filter: by class and database, by class, in total."""
-    scored = annotations.select("question_id", "classification", "db_id").join(
-        scores.select("question_id", "score"), "question_id", "left")
+    scored = join_rows(annotations.select("question_id", "classification", "db_id"),
+                       scores.select("question_id", "score"), how="left")
     return (
         scored.rollup("classification", "db_id")
         .agg(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.operators.catalog import schema_texts
-from sqlloom.operators.extract import extract_label, extract_reasoning_sql, extract_schema_links
+from sqlloom.operators.extract import extract_label, extract_reasoning_sql, extract_schema_links, has_tags
 
 
 def annotate(
@@ -17,13 +18,18 @@ def annotate(
     The responses are reduced to their extracted parts before they are joined.
     All joins but the last use ``question_id``, so each table is shuffled once.
     """
-    parsed = extract_reasoning_sql(answers).where(F.col("sql").isNotNull())
+    # rows without tags have no query; the test is on the raw text because a filter on the
+    # extracted query would be pushed to the scan and repeat the extraction there
+    parsed = extract_reasoning_sql(answers.where(has_tags(F.col("response"))))
+    rows = questions.select("question_id", "db_id", "question", F.col("query").alias("gold_sql"))
+    for part in (
+        extract_schema_links(links),
+        extract_label(classes).select("question_id", "classification"),
+        parsed.select("question_id", F.col("sql").alias("predicted_sql"), "reasoning"),
+    ):
+        rows = join_rows(rows, part)
     return (
-        questions.select("question_id", "db_id", "question", F.col("query").alias("gold_sql"))
-        .join(extract_schema_links(links), "question_id")
-        .join(extract_label(classes).select("question_id", "classification"), "question_id")
-        .join(parsed.select("question_id", F.col("sql").alias("predicted_sql"), "reasoning"), "question_id")
-        .join(schema_texts(catalog).select("db_id", "fields", "foreign_keys"), "db_id")
+        rows.join(schema_texts(catalog).select("db_id", "fields", "foreign_keys"), "db_id")
         .select("question_id", "question", "schema_links", "fields", "foreign_keys", "classification",
                 "predicted_sql", "gold_sql", "db_id", "reasoning")
     )

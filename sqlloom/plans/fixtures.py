@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import once, spread
+from sqlloom.functions.text import render
+
 # The relational tables every derived database draws from.
 TABLES: dict[str, list[tuple[str, str]]] = {
     "region": [("r_regionkey", "number"), ("r_name", "text")],
@@ -46,24 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _template() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(t).alias("t"), F.lit(name).alias("name"),
-            F.array(*[F.struct(F.lit(c).alias("name"), F.lit(ty).alias("type")) for c, ty in cols]).alias("cols"),
-        )
-        for t, (name, cols) in enumerate(TABLES.items())
-    ])
+    """The tables as one array literal."""
+    def table(t: int, name: str, cols: list[tuple[str, str]]) -> str:
+        pairs = ", ".join(f"struct('{c}' AS name, '{kind}' AS type)" for c, kind in cols)
+        return f"struct({t} AS t, '{name}' AS name, array({pairs}) AS cols)"
+
+    return F.expr("array(" + ", ".join(table(t, n, c) for t, (n, c) in enumerate(TABLES.items())) + ")")
 
 
 def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX1: one nested database record per customer."""
     key = F.col("c_custkey")
     kept = F.filter(_template(), lambda t: (key + t["t"]) % 3 != 0)
-    base = table(spark, sf_dir, "customer").select("c_custkey").withColumn("kept", kept)
-    base = base.withColumn(
-        "flat", F.flatten(F.transform("kept", lambda t: F.transform(
-            t["cols"], lambda c: F.concat(t["name"], F.lit("."), c["name"]))))
-    )
+    base = once(spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), kept=kept)
+    base = once(base, flat=F.flatten(F.transform("kept", lambda t: F.transform(
+        t["cols"], lambda c: F.concat(t["name"], F.lit("."), c["name"])))))
 
     def pos(name: Column) -> Column:
         return F.array_position("flat", name).cast("int")
@@ -78,25 +78,26 @@ def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = key % 50
     none = F.array().cast("array<int>")
     none2 = F.array().cast("array<array<int>>")
-    return base.select(
-        F.concat(F.lit("db_"), key.cast("string")).alias("db_id"),
-        F.transform("kept", lambda t: t["name"]).alias("table_names_original"),
-        F.concat(
+    record = {
+        "db_id": F.concat(F.lit("db_"), key.cast("string")),
+        "table_names_original": F.transform("kept", lambda t: t["name"]),
+        "column_names_original": F.concat(
             F.array(F.array(F.lit("-1"), F.lit("*"))),
             F.flatten(F.transform("kept", lambda t, i: F.transform(
                 t["cols"], lambda c: F.array(i.cast("string"), c["name"])))),
-        ).alias("column_names_original"),
-        F.concat(
+        ),
+        "column_types": F.concat(
             F.array(F.lit("text")),
             F.flatten(F.transform("kept", lambda t: F.transform(t["cols"], lambda c: c["type"]))),
-        ).alias("column_types"),
-        F.concat(pks, F.when(bad == 0, F.array(F.lit(999))).otherwise(none)).alias("primary_keys"),
-        F.concat(
+        ),
+        "primary_keys": F.concat(pks, F.when(bad == 0, F.array(F.lit(999))).otherwise(none)),
+        "foreign_keys": F.concat(
             fks,
             F.when(bad == 1, F.array(F.array(F.lit(999), F.lit(1))))
             .when(bad == 2, F.array(F.array(F.lit(0), F.lit(1)))).otherwise(none2),
-        ).alias("foreign_keys"),
-    )
+        ),
+    }
+    return once(base, **record).select(*record)
 
 
 # Question and gold query per event type; {u} is the user id.
@@ -118,8 +119,6 @@ QUESTION_TEMPLATES = {
 
 
 def _by_type(pick: int) -> Column:
-    from sqlloom.functions.text import render
-
     u = F.col("user_id").cast("string")
     out = None
     for kind, texts in QUESTION_TEMPLATES.items():
@@ -130,7 +129,8 @@ def _by_type(pick: int) -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("question_id"), "user_id", "event_type")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("question_id"), "user_id", "event_type")
+    return spread(events, "question_id")
 
 
 def _row_count(df: DataFrame) -> Column:

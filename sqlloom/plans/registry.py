@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlloom.functions.relational import join_rows
 from sqlloom.operators import catalog as C
 from sqlloom.operators import evaluate as E
 from sqlloom.operators import extract as R
@@ -55,7 +57,7 @@ class Inputs:
 
     @cached_property
     def links_by_db(self) -> DataFrame:
-        return self.links.join(self.questions.select("question_id", "db_id"), "question_id")
+        return join_rows(self.links, self.questions.select("question_id", "db_id"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -140,7 +142,7 @@ def read_columnar_json(i: Inputs) -> DataFrame:
 
 def read_predictions_csv(i: Inputs) -> DataFrame:
     path = i.scratch("predictions")
-    rows = i.questions.select("question_id", "question").join(i.links, "question_id").join(i.predictions, "question_id")
+    rows = join_rows(join_rows(i.questions.select("question_id", "question"), i.links), i.predictions)
     sinks.write_predictions_csv(rows, path)
     return readers.read_predictions_csv(i.spark, path)
 
@@ -203,7 +205,7 @@ def parse_fields(i: Inputs) -> DataFrame:
 def accuracy_by_class(i: Inputs) -> DataFrame:
     classes = i.labels.select("question_id", "classification")
     matches = E.exact_match(i.pairs).select("question_id", "db_id", "exact")
-    return E.accuracy_by_class(matches.join(classes, "question_id"))
+    return E.accuracy_by_class(join_rows(matches, classes))
 
 
 def train_eval_union(i: Inputs) -> DataFrame:
@@ -226,7 +228,7 @@ def default_missing(i: Inputs) -> DataFrame:
 
 
 def inference_prompt(i: Inputs) -> DataFrame:
-    return P.inference_prompt(i.questions.select("question_id", "question").join(i.links, "question_id"))
+    return P.inference_prompt(join_rows(i.questions.select("question_id", "question"), i.links))
 
 
 OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -306,5 +308,13 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+_INPUTS: WeakKeyDictionary[SparkSession, dict[str, Inputs]] = WeakKeyDictionary()
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The (unevaluated) input plans of a folder, built once per session."""
+    return _INPUTS.setdefault(spark, {}).setdefault(sf_dir, Inputs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for name, f in OPERATORS.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(inputs(spark, sf_dir))) for name, f in OPERATORS.items()}

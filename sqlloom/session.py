@@ -20,6 +20,8 @@ def local_session(cores: str | int = "*", app: str = "sqlloom", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack capture per expression
         .getOrCreate()
     )
 

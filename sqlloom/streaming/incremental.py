@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlloom import schemas
+from sqlloom.functions.relational import join_rows
 from sqlloom.operators.extract import extract_reasoning_sql
 from sqlloom.operators.prompts import shard_of
 
@@ -47,7 +48,7 @@ def progress_by_shard(questions: DataFrame, annotations: DataFrame, n_shards: in
     """Questions asked and processed in each shard."""
     done = annotations.select("question_id").distinct().withColumn("done", F.lit(1))
     return (
-        questions.select("question_id").join(done, "question_id", "left")
+        join_rows(questions.select("question_id"), done, how="left")
         .groupBy(shard_of(F.col("question_id"), n_shards).alias("shard"))
         .agg(F.count(F.lit(1)).alias("n_asked"), F.count("done").alias("n_processed"))
     )
