@@ -260,11 +260,16 @@ def _foreign_key_texts(fks: Column) -> Column:
     return F.transform(fks, lambda f: F.concat(_qualified(f["l"]), F.lit(" = "), _qualified(f["r"])))
 
 
+def foreign_keys_text() -> Column:
+    """``[a.x = b.y,..]`` of a raw catalog row."""
+    return F.transform(
+        F.array(_column_structs(truncate=False)),
+        lambda cols: bracketed(_foreign_key_texts(_foreign_key_structs(cols))))[0]
+
+
 def serialize_foreign_keys(catalog: DataFrame) -> DataFrame:
     """``[a.x = b.y,..]``, ``[]`` when there is none."""
-    return once(catalog, _cols=_column_structs(truncate=False)).select(
-        "db_id", bracketed(_foreign_key_texts(_foreign_key_structs(F.col("_cols")))).alias("foreign_keys")
-    )
+    return catalog.select("db_id", foreign_keys_text().alias("foreign_keys"))
 
 
 def schema_texts(catalog: DataFrame) -> DataFrame:

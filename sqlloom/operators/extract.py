@@ -203,10 +203,13 @@ def has_tags(response: Column) -> Column:
 
 
 def extract_reasoning_sql(responses: DataFrame) -> DataFrame:
+    """``response`` replaced by ``reasoning``, ``sql`` and ``parse_status``.
+
+    The generator keeps the extraction to one run per row: a later filter on the
+    result would otherwise be pushed below it and repeat it.
+    """
     keys = [c for c in responses.columns if c != "response"]
-    return responses.select(*keys, reasoning_sql(F.col("response")).alias("r")).select(
-        *keys, "r.reasoning", "r.sql", "r.parse_status"
-    )
+    return responses.select(*keys, F.inline(F.array(reasoning_sql(F.col("response")))))
 
 
 def reasoning_steps(parsed: DataFrame) -> DataFrame:

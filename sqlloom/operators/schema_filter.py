@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_rows
-from sqlloom.operators.catalog import catalog_columns, filtered_schema_text, serialize_foreign_keys
+from sqlloom.functions.relational import join_rows, once
+from sqlloom.operators.catalog import filtered_schema_text, foreign_keys_text
 
 # How much of a schema is kept.
 TOP_TABLES = 6
@@ -26,34 +26,36 @@ def _tokens(c: Column) -> Column:
 def _weighted_items(catalog: DataFrame) -> DataFrame:
     """Tables and columns of each database, nested, every name split into weighted tokens.
 
-    A token weighs 1 / number of items of the database that hold it.  The
-    groupings all refine ``db_id``, so the rows are shuffled once.  The empty
-    token keeps items whose name holds none; no question has it.
+    A token weighs 1 / number of items of the database that hold it.  The count
+    is the span of the token in the sorted list of all tokens of the row, so the
+    catalog is not shuffled.  The foreign keys go along for the schema text.
     """
-    columns = catalog_columns(catalog).where("column_name <> '*'").select(
-        "db_id", "tab_idx", "table_name", "col_idx", F.col("column_name").alias("name"))
-    tables = catalog.select("db_id", F.posexplode("table_names_original").alias("tab_idx", "table_name")).select(
-        "db_id", "tab_idx", "table_name", F.lit(-1).alias("col_idx"), F.col("table_name").alias("name"))
-    items = columns.unionByName(tables).repartition("db_id")
-    tokens = F.array_append(_tokens(F.col("name")), F.lit(""))
-    weighted = (
-        items.select("db_id", F.explode(tokens).alias("token"),
-                     F.struct("tab_idx", "col_idx", "table_name", "name").alias("item"))
-        .groupBy("db_id", "token").agg(F.collect_list("item").alias("held_by"))
-        .withColumn("w", F.lit(1.0) / F.size("held_by"))
-        .select("db_id", F.struct("token", "w").alias("token"), F.explode("held_by").alias("item"))
-        .groupBy("db_id", "item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    )
-    column = F.struct(F.col("item.col_idx").alias("col_idx"), F.col("item.name").alias("column_name"), "tokens")
-    return (
-        weighted.groupBy("db_id", F.col("item.tab_idx").alias("tab_idx"), F.col("item.table_name").alias("table_name"))
-        .agg(F.array_sort(F.collect_list(column)).alias("c"))
-        # the table itself sorts first, under column -1
-        .select("db_id", F.struct(
-            "tab_idx", "table_name", F.get("c", F.lit(0))["tokens"].alias("tokens"),
-            F.slice("c", 2, F.size("c")).alias("columns")).alias("t"))
-        .groupBy("db_id").agg(F.array_sort(F.collect_list("t")).alias("items"))
-    )
+    cols = F.transform("column_names_original", lambda c, i: F.struct(
+        F.get(c, F.lit(0)).try_cast("int").alias("tab_idx"), i.alias("col_idx"), F.get(c, F.lit(1)).alias("name")))
+
+    def split_table(t: Column, i: Column) -> Column:
+        own = F.filter("_cols", lambda c: c["tab_idx"] == i)
+        return F.struct(i.alias("tab_idx"), t.alias("table_name"), _tokens(t).alias("tokens"), F.transform(
+            own, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["name"].alias("column_name"),
+                                    _tokens(c["name"]).alias("tokens"))).alias("columns"))
+
+    nested = once(once(catalog, _cols=cols, foreign_keys_text=foreign_keys_text()),
+                  _items=F.transform("table_names_original", split_table))
+    everything = F.concat(
+        F.flatten(F.transform("_items", lambda t: t["tokens"])),
+        F.flatten(F.transform("_items", lambda t: F.flatten(F.transform(t["columns"], lambda c: c["tokens"])))))
+    nested = once(once(nested, _up=F.array_sort(everything)), _down=F.reverse("_up"))
+
+    def weigh(tokens: Column) -> Column:
+        return F.transform(tokens, lambda w: F.struct(w.alias("token"), (
+            F.lit(1.0) / (F.size("_up") + 2 - F.array_position("_up", w) - F.array_position("_down", w))).alias("w")))
+
+    items = F.transform("_items", lambda t: F.struct(
+        t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), weigh(t["tokens"]).alias("tokens"),
+        F.transform(t["columns"], lambda c: F.struct(
+            c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), weigh(c["tokens"]).alias("tokens"))
+        ).alias("columns")))
+    return nested.select("db_id", "foreign_keys_text", items.alias("items"))
 
 
 def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     def score(tokens: Column) -> Column:
         total = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.when(
             F.array_contains("_asked", t["token"]), t["w"]).otherwise(0.0))
-        return F.round(total, 6).alias("score")
+        return (F.floor(total * 1e6 + 0.5) / 1e6).alias("score")
 
     def table(t: Column) -> Column:
         return F.struct(
@@ -74,7 +76,7 @@ def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
         )
 
     return asked.join(_weighted_items(catalog), "db_id").select(
-        "question_id", "db_id", F.transform("items", table).alias("items"))
+        "question_id", "db_id", "foreign_keys_text", F.transform("items", table).alias("items"))
 
 
 def schema_item_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -128,13 +130,13 @@ def top_k_columns(scored: DataFrame, k_tables: int = TOP_TABLES, k: int = TOP_CO
     )
 
 
-def filtered_schema(scored: DataFrame, catalog: DataFrame, kept_only: bool = False) -> DataFrame:
+def filtered_schema(scored: DataFrame, kept_only: bool = False) -> DataFrame:
     """Schema text of the best items of each question, with its foreign keys."""
     items = F.transform("items", lambda t: F.struct(
         t["table_name"].alias("table_name"), F.lit("").alias("table_comment"),
         F.transform(t["columns"], lambda c: c["column_name"]).alias("column_names")))
-    return best_items(scored).join(serialize_foreign_keys(catalog), "db_id").select(
-        "question_id", filtered_schema_text(items, F.col("foreign_keys"), kept_only).alias("filtered_schema")
+    return best_items(scored).select(
+        "question_id", filtered_schema_text(items, F.col("foreign_keys_text"), kept_only).alias("filtered_schema")
     )
 
 
@@ -155,4 +157,5 @@ def external_top_columns(scores: DataFrame, k_tables: int = TOP_TABLES, k: int =
     kept = external_top_tables(scores, k_tables).select("question_id", "tab_idx", "table_rank")
     best = scores.where(F.col("column_name").isNotNull()).withColumn(
         "column_rank", F.row_number().over(order)).where(F.col("column_rank") <= k)
-    return join_rows(best, kept, ["question_id", "tab_idx"]).select("question_id", "table_rank", "table_name", "column_rank", "column_name", "score")
+    return join_rows(best, kept, ["question_id", "tab_idx"]).select(
+        "question_id", "table_rank", "table_name", "column_rank", "column_name", "score")

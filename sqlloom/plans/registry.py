@@ -284,7 +284,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "schema_item_scores": lambda i: S.schema_item_scores(i.questions, i.catalog),
     "top_k_tables": lambda i: S.top_k_tables(i.scored),
     "top_k_columns": lambda i: S.top_k_columns(i.scored),
-    "filtered_schema": lambda i: S.filtered_schema(i.scored, i.catalog),
+    "filtered_schema": lambda i: S.filtered_schema(i.scored),
     "top_k_tables_external": lambda i: S.external_top_tables(i.item_scores, 3),
     "top_k_columns_external": lambda i: S.external_top_columns(i.item_scores, 3, 4),
     "valid_samples": lambda i: i.valid,
