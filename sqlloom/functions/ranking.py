@@ -17,7 +17,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     checkpointed so that a lost executor cannot change the boundaries.  A
     position is then the offset of the partition plus the place inside it; the
     offsets are one row per partition.  ``order`` should end in a unique key,
-    which also spreads a hot leading value over several partitions.
+    which also spreads a hot leading value over several partitions.  The result
+    comes out in that order, partition after partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
     placed = (

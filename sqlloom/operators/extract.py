@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_rows
+from sqlloom.functions.relational import join_catalog, join_rows
 from sqlloom.functions.text import SPACE, before, between, collapse, strip, upper_keywords
 
 # Markers the responses are asked to use.
@@ -124,7 +124,7 @@ def validate_schema_links(links: DataFrame, catalog: DataFrame) -> DataFrame:
         F.filter(link_structs(F.col("schema_links")), valid),
         lambda l: F.concat_ws(" = ", l["left_item"], l["right_item"]),
     )
-    return links.join(known, "db_id", "left").select(
+    return join_catalog(links, known, catalog, "left").select(
         "question_id", "db_id",
         F.when(F.col("_known").isNull(), "[]").otherwise(
             F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]"))).alias("valid_links"),

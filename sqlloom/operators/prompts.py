@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_rows
+from sqlloom.functions.relational import join_catalog, join_rows
 from sqlloom.functions.text import render
 from sqlloom.operators.catalog import schema_texts, serialize_linking_schema, serialize_typed_schema
 from sqlloom.operators.extract import norm_class
@@ -14,15 +14,14 @@ from sqlloom.plans import templates as T
 
 def question_schema(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Attach the typed schema text of its database to each question."""
-    return questions.select("question_id", "db_id", "question").join(
-        serialize_typed_schema(catalog).withColumnRenamed("typed_schema", "schema"), "db_id"
-    ).select("question_id", "db_id", "question", "schema")
+    texts = serialize_typed_schema(catalog).withColumnRenamed("typed_schema", "schema")
+    return join_catalog(questions.select("question_id", "db_id", "question"), texts, catalog).select(
+        "question_id", "db_id", "question", "schema")
 
 
 def questions_without_schema(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    return questions.join(catalog.select("db_id"), "db_id", "left_anti").select(
-        "question_id", "db_id", "question"
-    )
+    rows = questions.select("question_id", "db_id", "question")
+    return join_catalog(rows, catalog.select("db_id"), catalog, "left_anti").select("question_id", "db_id", "question")
 
 
 def baseline_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -33,7 +32,7 @@ def baseline_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def schema_link_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     q = questions.select("question_id", "db_id", "question")
-    return q.join(serialize_linking_schema(catalog), "db_id").select(
+    return join_catalog(q, serialize_linking_schema(catalog), catalog).select(
         "question_id",
         render(T.SCHEMA_LINK, question=F.col("question"), schema_text=F.col("schema_text"),
                fk_text=F.col("fk_text")).alias("prompt"),
@@ -58,22 +57,18 @@ def sql_prompt(questions: DataFrame, links: DataFrame, labels: DataFrame, catalo
         .otherwise(render(T.SQL_HARD, **slots))
     )
     rows = join_rows(questions.select("question_id", "db_id", "question"), links.select("question_id", "schema_links"))
-    return (
-        join_rows(rows, labels.select("question_id", "classification"))
-        .join(schema_texts(catalog).select("db_id", "fields", "foreign_keys"), "db_id")
-        .select("question_id", route.alias("route"), "fields", "foreign_keys", prompt.alias("prompt"))
-    )
+    rows = join_rows(rows, labels.select("question_id", "classification"))
+    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys"), catalog).select(
+        "question_id", route.alias("route"), "fields", "foreign_keys", prompt.alias("prompt"))
 
 
 def correction_prompt(questions: DataFrame, parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Prompt to repair a parsed query; rows without a parsed query have nothing to repair."""
     names = ("fields", "foreign_keys", "primary_keys", "question", "reasoning", "sql")
     answers = parsed.where(F.col("sql").isNotNull()).select("question_id", "reasoning", "sql")
-    return (
-        join_rows(questions.select("question_id", "db_id", "question"), answers)
-        .join(schema_texts(catalog), "db_id")
-        .select("question_id", render(T.CORRECTION, **{n: F.col(n) for n in names}).alias("prompt"))
-    )
+    rows = join_rows(questions.select("question_id", "db_id", "question"), answers)
+    return join_catalog(rows, schema_texts(catalog), catalog).select(
+        "question_id", render(T.CORRECTION, **{n: F.col(n) for n in names}).alias("prompt"))
 
 
 def inference_prompt(rows: DataFrame, schema: str = "schema_links") -> DataFrame:

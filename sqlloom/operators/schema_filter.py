@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_rows, once
+from sqlloom.functions.relational import join_catalog, join_rows, once
 from sqlloom.operators.catalog import filtered_schema_text, foreign_keys_text
 
 # How much of a schema is kept.
@@ -75,7 +75,7 @@ def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
             ).alias("columns"),
         )
 
-    return asked.join(_weighted_items(catalog), "db_id").select(
+    return join_catalog(asked, _weighted_items(catalog), catalog).select(
         "question_id", "db_id", "foreign_keys_text", F.transform("items", table).alias("items"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_rows
+from sqlloom.functions.relational import join_catalog, join_rows
 from sqlloom.operators.catalog import schema_texts
 from sqlloom.operators.extract import extract_label, extract_reasoning_sql, extract_schema_links, has_tags
 
@@ -28,8 +28,6 @@ def annotate(
         parsed.select("question_id", F.col("sql").alias("predicted_sql"), "reasoning"),
     ):
         rows = join_rows(rows, part)
-    return (
-        rows.join(schema_texts(catalog).select("db_id", "fields", "foreign_keys"), "db_id")
-        .select("question_id", "question", "schema_links", "fields", "foreign_keys", "classification",
-                "predicted_sql", "gold_sql", "db_id", "reasoning")
-    )
+    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys"), catalog).select(
+        "question_id", "question", "schema_links", "fields", "foreign_keys", "classification",
+        "predicted_sql", "gold_sql", "db_id", "reasoning")

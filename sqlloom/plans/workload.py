@@ -72,7 +72,7 @@ def w_count_distinct(t: Tables) -> DataFrame:
 
 def w_sort_asc(t: Tables) -> DataFrame:
     rows = t("customer").select("c_custkey", "c_name", "c_acctbal")
-    return number_rows(rows, [F.asc("c_acctbal"), F.asc("c_custkey")], "rank").orderBy("rank")
+    return number_rows(rows, [F.asc("c_acctbal"), F.asc("c_custkey")], "rank")
 
 
 def w_group_top1_count(t: Tables) -> DataFrame:
@@ -130,7 +130,7 @@ def w_join_having_eq(t: Tables) -> DataFrame:
 def w_join_distinct_or(t: Tables) -> DataFrame:
     year = _year("o_orderdate")
     buyers = t("orders").where((year == 1997) | (year == 1998)).select(F.col("o_custkey").alias("c_custkey"))
-    return t("customer").join(buyers, "c_custkey").select("c_name").distinct()
+    return t("customer").join(buyers.distinct(), "c_custkey", "left_semi").select("c_name").distinct()
 
 
 def w_join3_sorted(t: Tables) -> DataFrame:
@@ -142,7 +142,7 @@ def w_join3_sorted(t: Tables) -> DataFrame:
     )
     # lineitem has no unique key here, so all shown columns take part in the order
     order = [F.asc(c) for c in rows.columns]
-    return number_rows(rows, order, "rank").orderBy("rank")
+    return number_rows(rows, order, "rank")
 
 
 def w_join_having_gt(t: Tables) -> DataFrame:
@@ -183,9 +183,10 @@ def w_having_scalar(t: Tables) -> DataFrame:
 
 def w_join_scalar_eq(t: Tables) -> DataFrame:
     # a name is not unique in part; the smallest key makes the sub-query one row
-    key = t("part").where("p_name = 'small ring'").select(F.min("p_partkey"))
-    lines = t("lineitem").where(F.col("l_partkey") == key.scalar())
-    return lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+    part = t("part").where("p_name = 'small ring'").agg(
+        F.min("p_partkey").alias("p_partkey"), F.min_by("p_name", "p_partkey").alias("p_name"))
+    # an aggregate without keys is one row, so the lines of a popular part stay where they are
+    return t("lineitem").join(F.broadcast(part), F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_quantity", "p_name")
 
 
@@ -202,7 +203,8 @@ def w_join3_composite(t: Tables) -> DataFrame:
 
 
 def _users(t: Tables, kind: str) -> DataFrame:
-    return t("events").where(F.col("event_type") == kind).select("user_id")
+    # set operations shuffle their rows; without the copies a busy user is one row per task
+    return t("events").where(F.col("event_type") == kind).select("user_id").distinct()
 
 
 def w_intersect(t: Tables) -> DataFrame:
@@ -210,7 +212,7 @@ def w_intersect(t: Tables) -> DataFrame:
 
 
 def w_except(t: Tables) -> DataFrame:
-    buyers = t("events").where("event_type = 'purchase' AND value > 50").select("user_id")
+    buyers = t("events").where("event_type = 'purchase' AND value > 50").select("user_id").distinct()
     return _users(t, "click").subtract(buyers)
 
 
@@ -236,13 +238,13 @@ def w_group_join_top1(t: Tables) -> DataFrame:
 
 def w_never(t: Tables) -> DataFrame:
     year = t("orders").where(_year("o_orderdate") == 1997).select(F.col("o_custkey").alias("c_custkey"))
-    return t("customer").select("c_custkey").join(year, "c_custkey", "left_anti")
+    return t("customer").select("c_custkey").join(year.distinct(), "c_custkey", "left_anti")
 
 
 def w_impossible_range(t: Tables) -> DataFrame:
     orders = t("orders")
-    return orders.where("o_totalprice > 400000").select("o_orderstatus").intersect(
-        orders.where("o_totalprice < 100000").select("o_orderstatus"))
+    return orders.where("o_totalprice > 400000").select("o_orderstatus").distinct().intersect(
+        orders.where("o_totalprice < 100000").select("o_orderstatus").distinct())
 
 
 SHAPES: dict[str, Callable[[Tables], DataFrame]] = {

@@ -67,4 +67,4 @@ def transcript(samples: DataFrame) -> DataFrame:
 
 def write_transcript(samples: DataFrame, path: str) -> None:
     """Transcript text; entries are in order within and across the part files."""
-    transcript(samples).repartitionByRange("sample_no").sortWithinPartitions("sample_no").select("entry").write.text(path)
+    transcript(samples).select("entry").write.text(path)
