@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlloom.functions.relational import join_catalog, join_rows
 from sqlloom.operators.catalog import schema_texts
-from sqlloom.operators.extract import extract_label, extract_reasoning_sql, extract_schema_links, has_tags
+from sqlloom.operators.extract import extract_label, extract_schema_links, has_tags, reasoning_sql
 
 
 def annotate(
@@ -20,12 +20,14 @@ def annotate(
     """
     # rows without tags have no query; the test is on the raw text because a filter on the
     # extracted query would be pushed to the scan and repeat the extraction there
-    parsed = extract_reasoning_sql(answers.where(has_tags(F.col("response"))))
+    answer = reasoning_sql(F.col("response"))
+    parsed = answers.where(has_tags(F.col("response"))).select("question_id", answer.alias("r")).select(
+        "question_id", F.col("r.sql").alias("predicted_sql"), "r.reasoning")
     rows = questions.select("question_id", "db_id", "question", F.col("query").alias("gold_sql"))
     for part in (
         extract_schema_links(links),
         extract_label(classes).select("question_id", "classification"),
-        parsed.select("question_id", F.col("sql").alias("predicted_sql"), "reasoning"),
+        parsed,
     ):
         rows = join_rows(rows, part)
     return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys"), catalog).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import once, spread
+from sqlloom.functions.relational import join_catalog, once, spread
 from sqlloom.functions.text import render
 
 # The relational tables every derived database draws from.
@@ -294,18 +294,18 @@ def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX10: an outside score for every table and column of the question's database."""
-    from sqlloom.operators.catalog import catalog_columns
-
+    kind = "array<struct<tab_idx:int,table_name:string,col_idx:int,column_name:string>>"
+    tables = F.transform("table_names_original", lambda t, i: F.struct(
+        i.alias("tab_idx"), t.alias("table_name"), F.lit(None).alias("col_idx"), F.lit(None).alias("column_name")))
+    columns = F.transform("column_names_original", lambda c, i: F.struct(
+        c[0].cast("int").alias("tab_idx"), F.get("table_names_original", c[0].cast("int")).alias("table_name"),
+        i.alias("col_idx"), c[1].alias("column_name")))
+    real = F.filter(columns, lambda c: c["tab_idx"] >= 0)
     catalog = raw_catalog(spark, sf_dir)
-    tables = catalog.select("db_id", F.posexplode("table_names_original").alias("tab_idx", "table_name")).select(
-        "db_id", "tab_idx", "table_name", F.lit(None).cast("int").alias("col_idx"),
-        F.lit(None).cast("string").alias("column_name"))
-    columns = catalog_columns(catalog).where("column_name <> '*'").drop("column_type")
-    items = tables.unionByName(columns).groupBy("db_id").agg(
-        F.collect_list(F.struct("tab_idx", "table_name", "col_idx", "column_name")).alias("items"))
+    items = catalog.select("db_id", F.concat(tables.cast(kind), real.cast(kind)).alias("items"))
     idx = F.coalesce("i.col_idx", "i.tab_idx")
     return (
-        questions(spark, sf_dir).select("question_id", "db_id").join(items, "db_id")
+        join_catalog(questions(spark, sf_dir).select("question_id", "db_id"), items, catalog)
         .select("question_id", F.explode("items").alias("i"))
         .select("question_id", "i.*", (((F.col("question_id") * 31 + idx * 17) % 101) / 100.0).alias("score"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.functions.ranking import number_rows
+from sqlloom.functions.relational import join_rows
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
@@ -57,9 +58,13 @@ def write_eval_pairs(rows: DataFrame, path: str) -> None:
 
 
 def transcript(samples: DataFrame) -> DataFrame:
-    """Numbered entries of prompt and answer, in the order of ``question_id``."""
-    numbered = number_rows(samples.select("question_id", "sample", "answer"), [F.asc("question_id")], "sample_no")
-    return numbered.select("sample_no", F.concat(
+    """Entries of prompt and answer, numbered in the order of the (unique) ``question_id``.
+
+    Only the keys are numbered; the text meets its number by a join.
+    """
+    numbers = number_rows(samples.select("question_id"), [F.asc("question_id")], "sample_no")
+    rows = join_rows(samples.select("question_id", "sample", "answer"), numbers)
+    return rows.select("sample_no", F.concat(
         F.lit("Sample "), F.col("sample_no").cast("string"), F.lit(":\n"), F.col("sample"),
         F.lit("\nGenerated SQL:\n"), F.coalesce("answer", F.lit("")), F.lit("\n"),
     ).alias("entry"))
@@ -67,4 +72,5 @@ def transcript(samples: DataFrame) -> DataFrame:
 
 def write_transcript(samples: DataFrame, path: str) -> None:
     """Transcript text; entries are in order within and across the part files."""
-    transcript(samples).select("entry").write.text(path)
+    ordered = transcript(samples).repartitionByRange("sample_no").sortWithinPartitions("sample_no")
+    ordered.select("entry").write.text(path)
