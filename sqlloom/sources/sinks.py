@@ -14,6 +14,11 @@ def write_annotations(annotations: DataFrame, path: str) -> None:
     annotations.write.mode("append").partitionBy("classification").parquet(path)
 
 
+def write_splits(samples: DataFrame, path: str) -> None:
+    """Training samples by split."""
+    samples.write.mode("append").partitionBy("split").parquet(path)
+
+
 def write_columnar_json(df: DataFrame, path: str, key: str, rows_per_document: int = 10_000) -> None:
     """Column-oriented documents of at most ``rows_per_document`` neighbouring keys, one per file.
 
