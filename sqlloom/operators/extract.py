@@ -25,7 +25,7 @@ def schema_links(response: Column, lenient: bool = False) -> Column:
     """Cleaned ``[..]`` text of the first link line, ``[]`` without one."""
     key = LINK_KEY_LENIENT if lenient else LINK_KEY
     # (?md): lines end at \n only, as a split on newlines would have it
-    links = strip(F.regexp_extract(response, rf"(?Umd)^{SPACE}*{key}(.*)$", 1))
+    links = strip(F.regexp_extract(response, rf"(?Umd)^[{SPACE}&&[^\n]]*+{key}(.*)$", 1))
     links = F.btrim(links, F.lit("[]()* "))
     links = F.replace(F.replace(links, F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
     return F.concat(F.lit("["), F.coalesce(links, F.lit("")), F.lit("]"))
@@ -228,10 +228,16 @@ def reasoning_steps(parsed: DataFrame) -> DataFrame:
 
 
 def nth_sql_block(outputs: DataFrame, n: int = 3) -> DataFrame:
-    """The n-th ``<SQL>`` block of ``output`` or null; the tag is case-sensitive."""
+    """The n-th ``<SQL>`` block of ``output`` or null; the tag is case-sensitive.
+
+    Each closing tag ends one block at most, which starts at the first opening
+    tag since the closing tag before; so two splits find all blocks in linear time.
+    """
     keys = [c for c in outputs.columns if c != "output"]
-    found = F.get(F.regexp_extract_all("output", F.lit("(?s)<SQL>(.*?)</SQL>"), F.lit(1)), F.lit(n - 1))
-    return outputs.select(*keys, strip(found).alias("model_predicted_sql"))
+    pieces = F.split("output", "</SQL>")
+    closed = F.slice(pieces, 1, F.size(pieces) - 1)
+    blocks = F.filter(F.transform(closed, lambda p: F.get(F.split(p, "<SQL>", 2), F.lit(1))), lambda b: b.isNotNull())
+    return outputs.select(*keys, strip(F.get(blocks, F.lit(n - 1))).alias("model_predicted_sql"))
 
 
 def after_sql_marker(outputs: DataFrame) -> DataFrame:

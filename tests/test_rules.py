@@ -247,6 +247,26 @@ def test_nth_block_and_marker(spark):
     assert rows(R.after_sql_marker(marked)) == [(1, "select 1"), (2, "plain")]
 
 
+def test_blocks_with_stray_tags(spark):
+    df = spark.createDataFrame(
+        [(1, "</SQL>x<SQL>a<SQL>b</SQL></SQL><SQL></SQL><SQL>c\n</SQL><SQL>open"), (2, None)], "question_id long, output string")
+    assert [rows(R.nth_sql_block(df, n))[0][1] for n in (1, 2, 3, 4)] == ["a<SQL>b", "", "c", None]
+    assert rows(R.nth_sql_block(df))[1] == (2, None)
+
+
+def test_very_long_texts_take_linear_time(spark):
+    tags = F.repeat(F.lit("x <SQL> </chain>\n"), 100_000)
+    blanks = F.repeat(F.lit(" \n"), 50_000)
+    df = spark.range(1).select(F.col("id").alias("question_id"), F.concat(
+        F.lit("<chains>"), tags, F.lit("</chains>"), blanks, F.lit("<SQL> a\n"), blanks, F.lit("Schema Links: [a.b]")).alias("response"))
+    assert R.extract_reasoning_sql(df).first()["parse_status"] == "unclosed"
+    assert R.extract_schema_links(df).first()["schema_links"] == "[a.b]"
+    assert R.nth_sql_block(df.withColumnRenamed("response", "output"), 1).first()["model_predicted_sql"] is None
+    assert R.after_sql_marker(df.withColumnRenamed("response", "output")).first()["generated_sql"].startswith("<chains>")
+    spaced = df.select(F.length(strip(F.concat(F.lit("a"), blanks, F.lit("b"), blanks))).alias("n"))
+    assert spaced.first()["n"] == 100_002
+
+
 def test_sql_class_ignores_literals(spark):
     cases = {"SELECT 'a JOIN b' FROM t": "EASY", "select a from b join c on x": "NON-NESTED",
              "SELECT a FROM t WHERE b IN ( SELECT c FROM d)": "NESTED", "SELECT 1 union SELECT 2": "NESTED"}
