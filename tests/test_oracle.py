@@ -3,8 +3,9 @@
 import __spark_entry__ as entry
 import pytest
 from compare import connect, difference
+from sqlloom.plans import oracle, registry
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
