@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import chat, langid, quality, sharding, simhash
+from sqlloom.llm import chat, langid, pii, quality, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", pii.kind_name(s["kind"]), s["start"], s["end"])), ",")
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS))
+    return found.select("row.doc_id", *[of(k) for k in range(len(pii.BASE_KINDS))], F.sha2(line(base), 256).alias("base_sha256"),
+                        line(F.col("spans")).alias("spans"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_perplexity": op7_perplexity,
