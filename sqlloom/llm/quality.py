@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,14 +142,13 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [float(min(max(x, 0.05), k - 0.05)) for k, x in zip((1, 2, 3), d)])
 
 
-def fit(counts: pd.DataFrame) -> KneserNey:
+def fit(counts: pa.Table) -> KneserNey:
     """The model of each language from its five-byte counts; shorter n-grams count their distinct left extensions."""
-    languages = sorted({None if pd.isna(x) else x for x in counts["lang"]}, key=lambda x: (x is not None, x or ""))
-    number = {x: i for i, x in enumerate(languages)}
-    lang = np.fromiter((number[None if pd.isna(x) else x] for x in counts["lang"]), np.int64, len(counts))
-    keys = counts["code"].to_numpy(np.int64) | lang << _LANG_SHIFT
+    languages = sorted(pa.compute.unique(counts["lang"]).to_pylist(), key=lambda x: (x is not None, x or ""))
+    lang = pa.compute.index_in(counts["lang"], value_set=pa.array(languages, pa.string())).to_numpy().astype(np.int64)
+    keys = counts["code"].to_numpy() | lang << _LANG_SHIFT
     order = np.argsort(keys)
-    levels = [(keys[order], counts["n"].to_numpy(np.int64)[order])]
+    levels = [(keys[order], counts["n"].to_numpy()[order])]
     mask = (1 << _LANG_SHIFT) - 1
     for k in range(ORDER - 1, 0, -1):
         longer, n = levels[0]
@@ -249,7 +248,7 @@ def quality(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     A null or empty text has no words and fails the base rules; a null ``lang`` is a language of its own; a
     null ``doc_id``, repeated rows and extra columns do no harm; an empty table gives an empty result.
     """
-    model = fit(count_grams(docs).toPandas())
+    model = fit(count_grams(docs).toArrow())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     measured = stored(measure(docs, model).withColumn("base_failed", failed).withColumn(
         "ppl", F.when(F.col("n_bytes") > 0, -F.col("log10") / F.col("n_bytes"))), "quality")
