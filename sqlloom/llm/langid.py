@@ -115,18 +115,27 @@ def train(rows: list[tuple[bytes, str]], window: int = 256, dim: int = 6, filter
 
 
 def training_rows(docs: DataFrame, learn: Column, window: int, per_language: int, per_document: int, seed: int) -> list[tuple[bytes, str]]:
-    """A bounded sample: for each language the documents with the smallest hash, a few windows at hashed places of each."""
+    """A bounded sample: for each language the documents with the smallest hash, a few windows at hashed places of each.
+
+    Ranking sees identifiers and languages only, each task passing on its own smallest hashes; the texts of
+    the few chosen documents are read in a second scan.
+    """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    raw = F.col("text").cast("binary")
+    hashed = F.xxhash64(F.lit(seed), "doc_id").alias("_h")
     chosen = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+        docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", hashed)
         .withColumn("_r", rank).where(F.col("_r") <= per_language)
-        .select("lang", raw.alias("raw"), "_h", F.explode(F.sequence(F.lit(0), F.lit(per_document - 1))).alias("_w"))
-        .withColumn("_room", F.greatest(F.octet_length("raw") - window, F.lit(0)) + 1)
-        .select("lang", F.substring("raw", F.pmod(F.xxhash64("_h", "_w"), F.col("_room")).cast("int") + 1, F.lit(window)).alias("raw"))
+        .select(F.col("doc_id").alias("_chosen"), "_h").distinct()
+    )
+    raw = F.col("text").cast("binary")
+    room = F.greatest(F.octet_length("_raw") - window, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64("_h", "_w"), room).cast("int") + 1
+    taken = (  # per_language rows for each language, so the broadcast is bounded
+        docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"))
+        .where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("lang", raw.alias("_raw"), "_h", F.explode(F.sequence(F.lit(0), F.lit(per_document - 1))).alias("_w"))
+        .select("lang", F.substring("_raw", place, F.lit(window)).alias("raw"))
     )
-    return sorted((bytes(r["raw"]), r["lang"]) for r in chosen.collect())
+    return sorted((bytes(r["raw"]), r["lang"]) for r in taken.collect())
 
 
 def identify(docs: DataFrame, learn: Column, window: int = 256, per_language: int = 800, per_document: int = 3, seed: int = 11) -> DataFrame:
