@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import chat, langid, packing, pii, quality, sharding, simhash
+from sqlloom.llm import chat, langid, neighbours, packing, pii, quality, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -26,6 +26,10 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), SEQUENCE_TOKENS)
 
 
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -75,6 +79,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
+    "op2_rp_forest": op2_rp_forest,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
