@@ -3,12 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sqlloom.llm import langid, packing, pii, quality, simhash
+from sqlloom.llm.common import stored
+from sqlloom.llm.queries import SEQUENCE_TOKENS, word_tokenizer
 
-ORACLE_SQL = None  # SQL cannot express the classifier; tests/llm hold the stages against brute force
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter, or no language above three tenths) go."""
+    return langid.known_language(docs, F.lit(True))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or leave their language's perplexity band go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become the mark of their kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents, each with its training sequence and place."""
+    return packing.pack_documents(docs, word_tokenizer(), SEQUENCE_TOKENS)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+ORACLE_SQL = None  # SQL cannot express the trained stages; tests/llm hold them against plain rewritings
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage returns is written and read again by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

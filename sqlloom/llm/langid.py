@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlloom.llm.common import utf8
 
@@ -139,7 +140,7 @@ def training_rows(docs: DataFrame, learn: Column, window: int, per_language: int
 
 
 def identify(docs: DataFrame, learn: Column, window: int = 256, per_language: int = 800, per_document: int = 3, seed: int = 11) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every document.
+    """``row`` (a struct of the document's columns, so no name can clash), ``lang_pred`` and ``score`` of every document.
 
     The network learns from at most ``per_language`` documents of each language for which ``learn`` holds and ``lang``
     is not null (``per_document`` windows each; only these bounded windows come to the driver).  It is
@@ -148,14 +149,14 @@ def identify(docs: DataFrame, learn: Column, window: int = 256, per_language: in
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when there is nothing to
     learn from.  Rows of a null ``doc_id`` and repeated rows are predicted like others, extra columns are
-    ignored, an empty table gives an empty result.
+    carried, an empty table gives an empty result.  No row is shuffled.
     """
     net = train(training_rows(docs, learn, window, per_language, per_document, seed), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores = [], []
-            for text, letters in zip(batch.column(1), batch.column(2)):
+            for text, letters in zip(batch.column(0).field("text"), batch.column(1)):
                 if net is None or not letters.as_py():
                     found.append(UNDETERMINED)
                     scores.append(0.0)
@@ -170,15 +171,15 @@ def identify(docs: DataFrame, learn: Column, window: int = 256, per_language: in
                 found.append(net.languages[best])
                 scores.append(float(min(1.0, total[best] / n)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+                                             names=["row", "lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", letters.alias("_letters"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    rows = docs.select(F.struct("*").alias("row"), letters.alias("_letters"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, learn: Column, least: float = 0.0) -> DataFrame:
-    """The documents with a language: those that are ``und``, or below ``least``, go; columns as they come."""
-    ids = identify(docs, learn).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(
-        F.col("doc_id").alias("_known")).distinct()
-    return docs.join(ids.hint("merge"), docs.doc_id == ids["_known"], "left_semi")
+def known_language(docs: DataFrame, learn: Column, least: float = 0.3) -> DataFrame:
+    """The documents with a language: those that are ``und``, or whose score is below ``least``, go; columns as they come."""
+    kept = identify(docs, learn).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select("row.*")

@@ -91,10 +91,16 @@ def _matches(text: Column, pattern: str, kind: int, needed: Column) -> Column:
     return F.aggregate(context, zero, step, lambda acc: acc["spans"])
 
 
+def _numbered(docs: DataFrame) -> dict[str, str]:
+    """A working name for every column, so that none clashes with the columns of this module."""
+    return {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+
+
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
-    """``row`` (all columns of the document), ``base`` spans, and ``more`` candidates that overlap none of them."""
-    plain = F.coalesce(F.col("_row")[text], F.lit(""))
-    held = once(docs.select(F.struct("*").alias("_row")), _t=F.when(plain.rlike(_FOREIGN), F.regexp_replace(plain, _FOREIGN, "\uf8ff")).otherwise(plain))
+    """The document's columns under numbers, ``base`` spans, and ``more`` candidates that overlap none of them."""
+    names = _numbered(docs)
+    plain = F.coalesce(F.col(names[text]), F.lit(""))
+    held = once(docs.toDF(*names.values()), _t=F.when(plain.rlike(_FOREIGN), F.regexp_replace(plain, _FOREIGN, "\uf8ff")).otherwise(plain))
     t = F.col("_t")
     any_digit = t.rlike("[0-9]")
     dotted = F.regexp_replace(t, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
@@ -118,7 +124,7 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
 
     more = F.transform(free, lambda m: F.struct(kind(m).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
                                                 m["text"].alias("text"), m["before"].alias("before")))
-    return once(kept, more=more).select("_row", "base", "more")
+    return once(kept, more=more).select(*names.values(), "base", "more")
 
 
 def _votes(s: Column) -> Column:
@@ -229,12 +235,18 @@ def find_spans(docs: DataFrame, text: str = "text", classifier: SpanClassifier |
     Null and empty texts have no spans; repeated rows and null identifiers are treated like others; an empty
     table gives an empty result.  No row is shuffled and a text is never cut.
     """
+    names = _numbered(docs)
+    row = F.struct(*[F.col(n).alias(c) for c, n in names.items()])
+    return _found(docs, text, classifier).select(row.alias("row"), "spans")
+
+
+def _found(docs: DataFrame, text: str, classifier: SpanClassifier | None) -> DataFrame:
     judge = classifier or train_classifier(docs, text)
     more = F.filter("more", lambda s: judge.accepts(_votes(s)))
     plain = lambda a: F.transform(a, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         F.regexp_replace(F.replace(s["text"], F.lit(_DOT), F.lit(".")), _GAP, " ").alias("text")))
-    return _candidates(docs, text).select(F.col("_row").alias("row"), F.array_sort(F.concat(plain(F.col("base")), plain(more))).alias("spans"))
+    return _candidates(docs, text).select(*_numbered(docs).values(), F.array_sort(F.concat(plain(F.col("base")), plain(more))).alias("spans"))
 
 
 def kind_name(kind: Column) -> Column:
@@ -246,10 +258,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text; columns as they come; null texts stay null.
     """
-    found = find_spans(docs)
+    names = _numbered(docs)
+    found = _found(docs, "text", None)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    source = F.col("row")["text"]
+    source = F.col(names["text"])
 
     def step(acc: Column, s: Column) -> Column:
         mark = F.concat(F.substring(source, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
@@ -262,4 +275,4 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.when(F.size("spans") > 0, rewritten).otherwise(source)
     changed = once(found, _text=text)
     columns = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
-    return changed.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return changed.select(*[columns.get(c, F.col(n)).alias(c) for c, n in names.items()])

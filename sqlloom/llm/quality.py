@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlloom.llm.common import stored, utf8
 
@@ -184,17 +185,17 @@ def fit(counts: pa.Table) -> KneserNey:
 
 
 def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Counts of every whole text and its log10 probability under its language's model."""
+    """``row`` (the document's columns), counts of every whole text and its log10 probability under its language's model."""
     box = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log10"]
+    names = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "log10"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = box.value
         number = {x: i for i, x in enumerate(net.languages)}
         for batch in batches:
-            rows, lists, langs = [], [], batch.column(1).to_pylist()
+            rows, lists, langs = [], [], batch.column(0).field("lang").to_pylist()
             known: dict[str | None, dict[bytes, int]] = {}
-            for lang, text in zip(langs, batch.column(2)):
+            for lang, text in zip(langs, batch.column(0).field("text")):
                 words, counts = text_counts(text.as_py())
                 index = known.setdefault(lang, {})
                 lists.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
@@ -209,10 +210,11 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
             logs = [float(scores[g][x].sum()) if len(x) else 0.0 for g, x in zip(langs, lists)]
             width = [int(sizes[g][x].sum()) if len(x) else 0 for g, x in zip(langs, lists)]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(width, pa.int64()), pa.array(logs, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(width, pa.int64()), pa.array(logs, pa.float64())], names=names)
 
-    schema = "doc_id bigint, lang string, " + ", ".join(f"{n} bigint" for n in names[2:-1]) + ", log10 double"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    whole = [T.StructField(n, T.LongType()) for n in names[1:-1]]
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *whole, T.StructField("log10", T.DoubleType())]))
 
 
 def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> DataFrame:
@@ -221,7 +223,7 @@ def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> Dat
     Both medians are read off a histogram, so no language is gathered in a task and the bands do not
     depend on the order of rows.
     """
-    base = measured.where(~F.col("base_failed") & F.col("ppl").isNotNull())
+    base = measured.where(~F.col("base_failed") & F.col("ppl").isNotNull()).select(F.col("row")["lang"].alias("lang"), "ppl")
 
     def median(df: DataFrame, value: str, name: str) -> DataFrame:
         bins = df.groupBy("lang", F.round(F.col(value) / grain).cast("bigint").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
@@ -238,7 +240,7 @@ def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> Dat
 
 
 def quality(docs: DataFrame, spread: float = 8.0) -> DataFrame:
-    """Counts, ``base_failed``, ``ppl`` (log10 perplexity a byte) and ``kept`` of every document.
+    """``row`` (the document's columns, so no name can clash), counts, ``base_failed``, ``ppl`` (log10 perplexity a byte) and ``kept``.
 
     Counts of byte 5-grams inside words are taken by Spark over all documents, for each value of ``lang``; the
     model built from them has as many entries as there are distinct 5-grams, which text of one script bounds at
@@ -253,12 +255,11 @@ def quality(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     measured = stored(measure(docs, model).withColumn("base_failed", failed).withColumn(
         "ppl", F.when(F.col("n_bytes") > 0, -F.col("log10") / F.col("n_bytes"))), "quality")
     limits = F.broadcast(bands(measured, spread))  # one row for each language
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    joined = measured.join(limits, F.col("row")["lang"].eqNullSafe(F.col("_lang")), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.select(*measured.columns, "low", "high", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     """The documents that ``quality`` keeps; columns as they come."""
-    ids = quality(docs, spread).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(ids.hint("merge"), docs.doc_id == ids["_good"], "left_semi")
+    return quality(docs, spread).where("kept").select("row.*")

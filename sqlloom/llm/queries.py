@@ -59,13 +59,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ppl")
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ppl")
 
 
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.identify(table(spark, sf_dir, "documents"), ~held_out("doc_id", 3, 1))
-    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out("doc_id", 3, 1))
+    return found.select("row.doc_id", held_out("row.doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

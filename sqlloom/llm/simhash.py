@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlloom.llm.common import discard, stored, utf8
+from sqlloom.llm.common import stored, utf8
 from sqlloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -195,6 +195,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked to one of a smaller ``doc_id``; columns as they come."""
-    groups = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(groups.hint("merge"), docs.doc_id == groups["_copy"], "left_anti")
+    """One document of each group, that of the smallest ``doc_id``; columns as they come.
+
+    Rows that repeat a ``doc_id`` are one document, of which one row stays (the smallest text hash); rows without
+    one all stay.
+    """
+    copies = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = docs.where("doc_id IS NOT NULL").join(copies.hint("merge"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    first = left.withColumn("_once", once).where("_once = 1").drop("_once")
+    return first.unionByName(docs.where("doc_id IS NULL"))
