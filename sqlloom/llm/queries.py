@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import chat, langid, neighbours, packing, pii, quality, sharding, simhash
+from sqlloom.llm import chat, langid, neighbours, packing, pii, quality, scoring, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -63,6 +63,10 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ppl")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out("doc_id", 3, 1))
     return found.select("row.doc_id", held_out("row.doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_perplexity": op7_perplexity,
+    "op8_lm_score": op8_lm_score,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_shuffle_shards": op10_shuffle_shards,
 }
