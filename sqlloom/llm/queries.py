@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import chat, langid, neighbours, packing, pii, quality, scoring, sharding, simhash
+from sqlloom.llm import chat, langid, neighbours, packing, pieces, pii, quality, scoring, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -19,6 +19,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -58,6 +64,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("_loss").cast("bigint").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), with_ids=False)
+    return coded.select("row.doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
 def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ppl")
@@ -87,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op6_pieces": op6_pieces,
     "op7_perplexity": op7_perplexity,
     "op8_lm_score": op8_lm_score,
     "op9_byte_cnn": op9_byte_cnn,
