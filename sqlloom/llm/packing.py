@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -22,6 +23,7 @@ class WordEncoder:
     """Ids of words by a tokenizer that never merges across ASCII white space, remembered from text to text."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of many workers only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -30,8 +32,13 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         # a comma or full stop behind a letter is a token of its own
         cut = {w for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
-        plain = sorted((words - cut | {w[:-1] for w in cut} | {w[-1:] for w in cut}) - self.known.keys())
-        for w, e in zip(plain, self.tokenizer.encode_batch([w.decode("utf-8") for w in plain], add_special_tokens=False)):
+        plain = sorted(w for w in words - cut | {w[:-1] for w in cut} | {w[-1:] for w in cut} if w not in self.known)
+        model = self.tokenizer.model
+        letters = [w for w in plain if w.isascii() and w.isalpha() and w.islower()]
+        for w in letters:  # normal already and one token of the pre-tokenizer: straight to the model
+            self.known[w] = np.array([t.id for t in model.tokenize(w.decode())], "<u4").tobytes()
+        rest = [w for w in plain if w not in self.known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         for w in cut:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
@@ -39,7 +46,7 @@ class WordEncoder:
     def encode(self, raw: bytes) -> bytes:
         """The ids of a text as little-endian 32-bit words."""
         words = (raw if b"<|" in raw else raw.lower()).split()  # the tokenizer lower-cases all but special tokens
-        missing = set(words) - self.known.keys()
+        missing = {w for w in set(words) if w not in self.known}  # taking away all keys would walk over them
         if missing:
             if len(self.known) + len(missing) > _KNOWN_WORDS:
                 self.known.clear()
@@ -177,28 +184,29 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     while high >= 1:
         low = high // 2 if high > capacity // 16 else 0
         docs = stored(items.where((F.col("length") > low) & (F.col("length") <= high)).select("item", "length"), "pack-class")
-        stuck = False
-        while True:
-            n, total = docs.agg(F.count(F.lit(1)), F.sum("length")).first()
-            if not n:
-                break
-            room = gaps.where(F.col("gap") > low).agg(F.sum("gap")).first()[0] or 0
-            new = -(-total // capacity) if stuck else -(-max(0, total - room) // capacity)
+        n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        turn = 0
+        while n:
+            k = F.greatest(F.floor(F.col("gap") / high), F.lit(1)).cast("int")
+            room, places = gaps.where(F.col("gap") > low).agg(F.coalesce(F.sum("gap"), F.lit(0)), F.coalesce(F.sum(k), F.lit(0))).first()
+            # at first as few sequences as the tokens need, then enough slots for the rest
+            new = -(-max(0, total - room) // capacity) if turn < 2 else -(-max(1, n - places) // (capacity // high))
             fresh = spark.range(opened, opened + new).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
-            opened += new
+            opened, turn = opened + new, turn + 1
             usable = gaps.where(F.col("gap") > low).unionAll(fresh)
-            k = F.greatest(F.floor(F.col("gap") / high), F.lit(1)).cast("int")
             slots = usable.select("seq", F.explode(F.concat(
                 F.array(F.col("gap") - (k - 1) * high), F.array_repeat(F.lit(high).cast("bigint"), k - 1))).alias("size"))
             found = _matched(slots, docs)
             used = found.groupBy("seq").agg(F.sum("length").alias("used"))
             shrunk = gaps.unionAll(fresh).join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
             following = stored(shrunk.where("gap > 0"), "pack-gaps")
-            rest = stored(docs.join(found.select("item").hint("merge"), "item", "left_anti"), "pack-class")
-            stuck = found.isEmpty()
             placed.append(found.select("item", "seq"))
+            done, filled = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+            n, total = n - done, total - filled
+            rest = stored(docs.join(found.select("item").hint("merge"), "item", "left_anti"), "pack-class") if n else docs
             discard(gaps)
-            discard(docs)
+            if n:
+                discard(docs)
             gaps, docs = following, rest
         discard(docs)
         high = low
