@@ -147,7 +147,7 @@ class PieceCoder:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words."""
         cuts = [segments_of(t or "") for t in texts]
-        missing = {s for c in cuts for s in c} - self.known.keys()
+        missing = {s for c in cuts for s in c if s not in self.known}
         if missing and len(self.known) + len(missing) > _KNOWN_SEGMENTS:
             self.known.clear()
             missing = {s for c in cuts for s in c}
