@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A catalog is sent to every executor only within both bounds.
-BROADCAST_ROWS = 20_000
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-_MEASURED: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
-
 
 def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """``key NOT IN (SELECT other_key FROM other)`` as a shuffled anti join.
@@ -31,17 +23,6 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
     )
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table of few splits one partition per core before it is expanded.
-
-    A table read in enough splits, as any large one is, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out once per row.
 
@@ -62,24 +43,11 @@ def join_rows(left: DataFrame, right: DataFrame, on: str | list[str] = "question
     return left.join(right.hint("merge"), on, how)
 
 
-def is_small(catalog: DataFrame) -> bool:
-    """Whether the raw catalog is within the broadcast bounds, measured once per DataFrame.
-
-    Reads row sizes until the row bound is passed, so the work is bounded too.
-    """
-    if catalog not in _MEASURED:
-        size = F.octet_length(F.to_json(F.struct("*")))
-        sizes = catalog.select(size).take(BROADCAST_ROWS + 1)
-        _MEASURED[catalog] = len(sizes) <= BROADCAST_ROWS and sum(r[0] for r in sizes) <= BROADCAST_BYTES
-    return _MEASURED[catalog]
-
-
-def join_catalog(rows: DataFrame, derived: DataFrame, catalog: DataFrame, how: str = "inner") -> DataFrame:
+def join_catalog(rows: DataFrame, derived: DataFrame, how: str = "inner", broadcast: bool = False) -> DataFrame:
     """Join rows with something derived from the catalog, one row per database.
 
-    A catalog measured to be small is broadcast.  Otherwise both sides are
-    shuffled by ``db_id`` and a database with very many rows is split by the
-    adaptive skew join, which may do so as each database is one row here.
+    Both sides are shuffled by ``db_id``, at every size; a database with very many rows is split
+    by the adaptive skew join, which may do so as each database is one row here.  A caller who knows that the
+    derived side fits into every executor may ask for it to be broadcast instead.
     """
-    side = F.broadcast(derived) if is_small(catalog) else derived.hint("merge")
-    return rows.join(side, "db_id", how)
+    return rows.join(F.broadcast(derived) if broadcast else derived.hint("merge"), "db_id", how)

@@ -124,7 +124,7 @@ def validate_schema_links(links: DataFrame, catalog: DataFrame) -> DataFrame:
         F.filter(link_structs(F.col("schema_links")), valid),
         lambda l: F.concat_ws(" = ", l["left_item"], l["right_item"]),
     )
-    return join_catalog(links, known, catalog, "left").select(
+    return join_catalog(links, known, "left").select(
         "question_id", "db_id",
         F.when(F.col("_known").isNull(), "[]").otherwise(
             F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]"))).alias("valid_links"),

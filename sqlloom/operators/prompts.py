@@ -15,13 +15,13 @@ from sqlloom.plans import templates as T
 def question_schema(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Attach the typed schema text of its database to each question."""
     texts = serialize_typed_schema(catalog).withColumnRenamed("typed_schema", "schema")
-    return join_catalog(questions.select("question_id", "db_id", "question"), texts, catalog).select(
+    return join_catalog(questions.select("question_id", "db_id", "question"), texts).select(
         "question_id", "db_id", "question", "schema")
 
 
 def questions_without_schema(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = questions.select("question_id", "db_id", "question")
-    return join_catalog(rows, catalog.select("db_id"), catalog, "left_anti").select("question_id", "db_id", "question")
+    return join_catalog(rows, catalog.select("db_id"), "left_anti").select("question_id", "db_id", "question")
 
 
 def baseline_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def baseline_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def schema_link_prompt(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     q = questions.select("question_id", "db_id", "question")
-    return join_catalog(q, serialize_linking_schema(catalog), catalog).select(
+    return join_catalog(q, serialize_linking_schema(catalog)).select(
         "question_id",
         render(T.SCHEMA_LINK, question=F.col("question"), schema_text=F.col("schema_text"),
                fk_text=F.col("fk_text")).alias("prompt"),
@@ -58,7 +58,7 @@ def sql_prompt(questions: DataFrame, links: DataFrame, labels: DataFrame, catalo
     )
     rows = join_rows(questions.select("question_id", "db_id", "question"), links.select("question_id", "schema_links"))
     rows = join_rows(rows, labels.select("question_id", "classification"))
-    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys"), catalog).select(
+    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys")).select(
         "question_id", route.alias("route"), "fields", "foreign_keys", prompt.alias("prompt"))
 
 
@@ -67,7 +67,7 @@ def correction_prompt(questions: DataFrame, parsed: DataFrame, catalog: DataFram
     names = ("fields", "foreign_keys", "primary_keys", "question", "reasoning", "sql")
     answers = parsed.where(F.col("sql").isNotNull()).select("question_id", "reasoning", "sql")
     rows = join_rows(questions.select("question_id", "db_id", "question"), answers)
-    return join_catalog(rows, schema_texts(catalog), catalog).select(
+    return join_catalog(rows, schema_texts(catalog)).select(
         "question_id", render(T.CORRECTION, **{n: F.col(n) for n in names}).alias("prompt"))
 
 

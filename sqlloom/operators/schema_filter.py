@@ -75,7 +75,7 @@ def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
             ).alias("columns"),
         )
 
-    return join_catalog(asked, _weighted_items(catalog), catalog).select(
+    return join_catalog(asked, _weighted_items(catalog)).select(
         "question_id", "db_id", "foreign_keys_text", F.transform("items", table).alias("items"))
 
 

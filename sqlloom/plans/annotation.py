@@ -30,6 +30,6 @@ def annotate(
         parsed,
     ):
         rows = join_rows(rows, part)
-    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys"), catalog).select(
+    return join_catalog(rows, schema_texts(catalog).select("db_id", "fields", "foreign_keys")).select(
         "question_id", "question", "schema_links", "fields", "foreign_keys", "classification",
         "predicted_sql", "gold_sql", "db_id", "reasoning")

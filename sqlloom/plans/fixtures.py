@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.functions.relational import join_catalog, once, spread
+from sqlloom.functions.relational import join_catalog, once
 from sqlloom.functions.text import render
 
 # The relational tables every derived database draws from.
@@ -44,6 +44,17 @@ FOREIGN_KEYS = [
 ]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table of few splits one partition per core before it is expanded.
+
+    A table read in enough splits, as any large one is, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -305,7 +316,7 @@ def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = catalog.select("db_id", F.concat(tables.cast(kind), real.cast(kind)).alias("items"))
     idx = F.coalesce("i.col_idx", "i.tab_idx")
     return (
-        join_catalog(questions(spark, sf_dir).select("question_id", "db_id"), items, catalog)
+        join_catalog(questions(spark, sf_dir).select("question_id", "db_id"), items)
         .select("question_id", F.explode("items").alias("i"))
         .select("question_id", "i.*", (((F.col("question_id") * 31 + idx * 17) % 101) / 100.0).alias("score"))
     )

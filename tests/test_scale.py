@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from sqlloom import schemas
 from sqlloom.functions.ranking import number_rows
-from sqlloom.functions import relational
-from sqlloom.functions.relational import spread
+from sqlloom.functions.relational import join_catalog
 from sqlloom.operators import catalog as C
 from sqlloom.operators import evaluate as E
 from sqlloom.operators import extract as R
@@ -76,11 +75,6 @@ def test_external_top_k_is_cut_before_the_shuffle(spark, sf_dir, tmp_path):
     assert re.search(r"WindowGroupLimit .* Final\n.*\n.*Exchange hashpartitioning\(question_id.*\n\s*\+- WindowGroupLimit .* Partial", text)
 
 
-def test_wide_input_is_not_spread(spark):
-    wide = spark.range(100).repartition(16)
-    assert spread(wide, "id") is wide
-
-
 def test_numbering_with_a_hot_value(spark):
     random.seed(7)
     data = [(5 if random.random() < 0.4 else random.randint(0, 50), i) for i in range(4000)]
@@ -102,23 +96,24 @@ def skewed(spark):
         F.lit("count song name").alias("question"))
 
 
-def test_catalog_is_broadcast_only_when_measured_small(spark, skewed, monkeypatch):
-    def catalog(n):
-        return spark.range(n).select(
-            F.concat(F.lit("db"), F.col("id")).alias("db_id"), F.array(F.lit("t")).alias("table_names_original"),
-            F.array(F.array(F.lit("0"), F.lit("a"))).alias("column_names_original"),
-            F.array(F.lit("text")).alias("column_types"), F.array(F.lit(0)).alias("primary_keys"),
-            F.array(F.array(F.lit(0), F.lit(0))).alias("foreign_keys"))
+def test_catalog_joins_give_equal_rows_either_way(spark, skewed):
+    texts = spark.range(40).select(F.concat(F.lit("db"), "id").alias("db_id"), F.col("id").alias("n"))
+    merged, sent = join_catalog(skewed, texts), join_catalog(skewed, texts, broadcast=True)
+    assert "SortMergeJoin" in plan(merged) and "BroadcastHashJoin" in plan(sent)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, sent.collect()))
+
 
-    assert "BroadcastHashJoin" in plan(P.baseline_prompt(skewed, catalog(30)))
-    monkeypatch.setattr(relational, "BROADCAST_ROWS", 20)
-    assert "SortMergeJoin" in plan(P.baseline_prompt(skewed, catalog(30)))
-    assert "BroadcastHashJoin" in plan(P.baseline_prompt(skewed, catalog(20)))
-    monkeypatch.setattr(relational, "BROADCAST_BYTES", 100)
-    assert "SortMergeJoin" in plan(P.baseline_prompt(skewed, catalog(20)))
+def test_year_filters_reach_the_scan(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else the list of filters is cut
+    try:
+        for name in ("w_join_distinct_or", "w_join_filter", "w_never"):
+            text = plan(registry.queries()[name](spark, sf_dir))
+            assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(\w+date.*LessThan\(\w+date", text), name
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
-def test_hot_database(spark, skewed, monkeypatch):
+def test_hot_database(spark, skewed):
     catalog = spark.createDataFrame(
         [(d, ["song"], [["-1", "*"], ["0", "name"]], ["text", "text"], [1], []) for d in ["hot"] + [f"db{i}" for i in range(40)]],
         schemas.RAW_CATALOG)
@@ -127,8 +122,6 @@ def test_hot_database(spark, skewed, monkeypatch):
                        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB"}):
         for k, v in confs.items():
             spark.conf.set(k, v)
-        if confs:
-            monkeypatch.setattr(relational, "is_small", lambda _: False)
         try:
             assert R.validate_schema_links(links, catalog).where("valid_links = '[song.name]'").count() == 3000
             assert S.top_k_columns(S.scored_items(skewed, catalog)).count() == 3000
