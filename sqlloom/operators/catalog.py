@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.arrays import new_value, runs
 from sqlloom.functions.relational import once
 from sqlloom.functions.text import bracketed, strip
 
@@ -131,10 +132,26 @@ def catalog_foreign_keys(catalog: DataFrame) -> DataFrame:
 
 
 def _last_positions(names: Column) -> Column:
-    """Distinct names in order of first occurrence, each with the position of its last one."""
-    backwards = F.reverse(names)
-    return F.transform(F.array_distinct(names), lambda n: F.struct(
-        n.alias("name"), (F.size(names) - F.array_position(backwards, n)).cast("int").alias("pos")))
+    """Distinct names in order of first occurrence, each with the position of its last one; null is no name."""
+    keyed = F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("pos"))),
+                     lambda k: k["name"].isNotNull())
+    spans = F.transform(runs(F.array_sort(keyed), new_value("name")), lambda r: F.struct(
+        r[0]["pos"].alias("first"), r[0]["name"].alias("name"), F.element_at(r, -1)["pos"].alias("pos")))
+    return F.transform(F.array_sort(spans), lambda s: F.struct(s["name"].alias("name"), s["pos"].alias("pos")))
+
+
+def _columns_per_table() -> Column:
+    """Columns of every table by table index, in file order.
+
+    A mark for each table is sorted in front of its columns, so one sort serves all tables.
+    """
+    marks = F.transform(_TABLES, lambda t, i: F.struct(
+        i.alias("tab_idx"), F.lit(-1).alias("pos"), F.get("_cols", F.lit(-1)).alias("col")))
+    placed = F.transform(
+        F.filter("_cols", lambda c: (c["tab_idx"] >= 0) & (c["tab_idx"] < F.size(_TABLES))),
+        lambda c: F.struct(c["tab_idx"].alias("tab_idx"), c["col_idx"].alias("pos"), c.alias("col")))
+    per_table = runs(F.array_sort(F.concat(marks, placed)), lambda a, x, i: x["pos"] == -1)
+    return F.transform(per_table, lambda r: F.transform(F.slice(r, 2, F.size(r)), lambda m: m["col"]))
 
 
 def catalog_by_db(catalog: DataFrame) -> DataFrame:
@@ -142,14 +159,12 @@ def catalog_by_db(catalog: DataFrame) -> DataFrame:
 
     A repeated table name keeps its last definition and a composite key its last column.
     """
-    # the position is worked out once per table, outside the loop over the columns
     tables = F.transform(_last_positions(F.col(_TABLES)), lambda t: F.struct(
-        t["name"].alias("key"),
-        F.transform(F.filter("_cols", lambda c: c["tab_idx"] == t["pos"]), lambda c: c["name"]).alias("value")))
+        t["name"].alias("key"), F.transform(F.get("_own", t["pos"]), lambda c: c["name"]).alias("value")))
     keys = F.transform(
         _last_positions(F.transform("_pks", lambda p: p["col"]["table_name"])),
         lambda t: F.struct(t["name"].alias("key"), F.get("_pks", t["pos"])["col"]["name"].alias("value")))
-    return _with_columns(catalog).select(
+    return once(_with_columns(catalog), _own=_columns_per_table()).select(
         "db_id",
         F.map_from_entries(tables).alias("tables"),
         F.transform("_fks", lambda f: F.struct(
@@ -159,7 +174,7 @@ def catalog_by_db(catalog: DataFrame) -> DataFrame:
 
 
 def catalog_rejects(catalog: DataFrame) -> DataFrame:
-    """Everything the flat tables leave out, with the reason."""
+    """Everything the flat tables leave out, with the reason, and each ``db_id`` held by several records."""
     cols = F.col("_cols")
 
     def reject(item: str, detail: Column, reason: Column) -> Column:
@@ -173,6 +188,9 @@ def catalog_rejects(catalog: DataFrame) -> DataFrame:
             .when(target["table_name"].isNull(), "bad table index")
         )
 
+    bad_tables = F.transform(
+        F.filter(_tables(), lambda t: t["name"].isNull()),
+        lambda t: reject("table", t["tab_idx"].cast("string"), F.lit("no name")))
     bad_columns = F.transform(
         F.filter(cols, lambda c: ~F.coalesce(c["tab_idx"] == -1, F.lit(False)) & c["table_name"].isNull()),
         lambda c: reject("column", F.coalesce(c["name"], F.lit("")), F.lit("bad table index")),
@@ -202,11 +220,15 @@ def catalog_rejects(catalog: DataFrame) -> DataFrame:
     ).otherwise(F.filter(F.array(reject("", F.lit(""), F.lit(""))), lambda _: F.lit(False)))
 
     none = F.filter(F.array(reject("", F.lit(""), F.lit(""))), lambda _: F.lit(False))
-    found = F.concat(bad_database, *[F.coalesce(a, none) for a in (bad_columns, untyped, bad_pks, bad_fks)])
+    found = F.concat(bad_database, *[F.coalesce(a, none) for a in (bad_tables, bad_columns, untyped, bad_pks, bad_fks)])
+    repeated = catalog.where(F.col("db_id").isNotNull()).groupBy("db_id").count().where("count > 1").select(
+        "db_id", F.lit("database").alias("item"), F.concat(F.col("count").cast("string"), F.lit(" records")).alias("detail"),
+        F.lit("repeated db_id").alias("reason"))
     return (
         once(catalog, _cols=_column_structs(truncate=False))
         .select("db_id", F.explode(found).alias("r"))
         .select("db_id", "r.item", "r.detail", "r.reason")
+        .unionByName(repeated)
     )
 
 
@@ -235,17 +257,27 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
 
 def serialize_fields(catalog: DataFrame) -> DataFrame:
     """``Table t, columns = [*,a,b]`` lines, tables by name, columns in file order."""
-    def line(name: Column) -> Column:
-        own = F.filter("_typed", lambda c: (c["tab_idx"] == -1) | (c["table_name"] == name))
-        items = F.transform(own, lambda c: F.when(c["tab_idx"] == -1, STAR).otherwise(c["name"]))
-        return F.when(
-            F.size(items) > 0, F.concat(F.lit("Table "), name, F.lit(", columns = "), bracketed(items), F.lit("\n"))
-        )
+    def item(table: Column, c: Column, name: Column) -> Column:
+        return F.struct(table.alias("table"), c["col_idx"].alias("pos"), name.alias("name"))
 
-    names = F.array_sort(F.array_distinct(_TABLES))
-    return once(catalog, _typed=_column_structs(truncate=True)).select(
-        "db_id", F.array_join(F.transform(names, line), "").alias("fields")
-    )
+    # the name of a table, with no column at place -1, is sorted in front of its columns
+    named = F.transform(F.filter(F.array_distinct(_TABLES), lambda t: t.isNotNull()), lambda t: F.struct(
+        t.alias("table"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("name")))
+    owned = F.transform(
+        F.filter("_typed", lambda c: (c["tab_idx"] != -1) & c["table_name"].isNotNull()),
+        lambda c: item(c["table_name"], c, c["name"]))
+    stars = F.transform(F.filter("_typed", lambda c: c["tab_idx"] == -1), lambda c: item(F.lit(""), c, F.lit(STAR)))
+
+    def line(run: Column) -> Column:
+        own = F.transform(F.concat(F.slice(run, 2, F.size(run)), F.col("_stars")),
+                          lambda c: F.struct(c["pos"].alias("pos"), c["name"].alias("name")))
+        names = F.transform(F.array_sort(own), lambda c: c["name"])
+        return F.when(F.size(names) > 0, F.concat(
+            F.lit("Table "), run[0]["table"], F.lit(", columns = "), bracketed(names), F.lit("\n")))
+
+    per_table = runs(F.array_sort(F.concat(named, owned)), lambda a, x, i: x["pos"] == -1)
+    rows = once(once(catalog, _typed=_column_structs(truncate=True)), _stars=stars, _own=per_table)
+    return rows.select("db_id", F.array_join(F.transform("_own", line), "").alias("fields"))
 
 
 def serialize_primary_keys(catalog: DataFrame) -> DataFrame:
@@ -285,14 +317,20 @@ def schema_texts(catalog: DataFrame) -> DataFrame:
 
 def serialize_typed_schema(catalog: DataFrame) -> DataFrame:
     """Declaration-order schema with types, key marks and a foreign-key block."""
+    # the marks of the key columns, by column index
+    flags = F.transform(
+        runs(F.array_sort(F.concat(
+            F.transform("_cols", lambda c: F.struct(c["col_idx"].alias("pos"), F.lit(False).alias("key"))),
+            F.transform(F.filter("primary_keys", lambda k: (k >= 0) & (k < F.size("_cols"))),
+                        lambda k: F.struct(k.alias("pos"), F.lit(True).alias("key"))))), new_value("pos")),
+        lambda r: F.element_at(r, -1)["key"])
+
     def column(c: Column, table: Column) -> Column:
-        about = F.concat_ws(
-            " | ", c["type"], F.when(F.array_contains("primary_keys", c["col_idx"]), "primary key")
-        )
+        about = F.concat_ws(" | ", c["type"], F.when(F.get("_flags", c["col_idx"]), "primary key"))
         return F.concat(table["name"], F.lit("."), c["name"], F.lit(" ( "), about, F.lit(" )"))
 
     def table(t: Column) -> Column:
-        own = F.filter("_cols", lambda c: c["tab_idx"] == t["tab_idx"])
+        own = F.get("_own", t["tab_idx"])
         return F.concat(
             F.lit("table "), t["name"], F.lit(" , columns = [ "),
             F.array_join(F.transform(own, lambda c: column(c, t)), " , "), F.lit(" ]\n"),
@@ -303,13 +341,14 @@ def serialize_typed_schema(catalog: DataFrame) -> DataFrame:
         F.size("_fks") > 0, F.concat(F.lit("foreign keys :\n"), F.array_join(keys, ""))
     ).otherwise("foreign keys : None\n")
     text = F.concat(F.array_join(F.transform(_tables(), table), ""), block)
-    return _with_columns(catalog).select("db_id", strip(text).alias("typed_schema"))
+    rows = once(_with_columns(catalog), _own=_columns_per_table(), _flags=flags)
+    return rows.select("db_id", strip(text).alias("typed_schema"))
 
 
 def serialize_linking_schema(catalog: DataFrame) -> DataFrame:
     """Schema without the star and foreign keys as bullets plus a one-line list."""
     def line(t: Column) -> Column:
-        own = F.filter("_cols", lambda c: c["tab_idx"] == t["pos"])
+        own = F.get("_own", t["pos"])
         return F.concat(
             F.lit("Table "), t["name"], F.lit(", columns = "),
             bracketed(F.transform(own, lambda c: c["name"])), F.lit("\n"),
@@ -321,7 +360,7 @@ def serialize_linking_schema(catalog: DataFrame) -> DataFrame:
         F.size("_fks") > 0,
         F.concat(F.lit("Foreign Keys:\n"), bullets, F.lit("\nForeign_keys = "), bracketed(keys)),
     ).otherwise("No Foreign Keys\nForeign_keys = []")
-    return _with_columns(catalog).select(
+    return once(_with_columns(catalog), _own=_columns_per_table()).select(
         "db_id",
         F.concat(F.lit("Database Schema:\n"),
                  F.array_join(F.transform(_last_positions(F.col(_TABLES)), line), "")).alias("schema_text"),

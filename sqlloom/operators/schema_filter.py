@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlloom.functions.arrays import new_value, runs
 from sqlloom.functions.relational import join_catalog, join_rows, once
 from sqlloom.operators.catalog import filtered_schema_text, foreign_keys_text
 
@@ -26,36 +27,42 @@ def _tokens(c: Column) -> Column:
 def _weighted_items(catalog: DataFrame) -> DataFrame:
     """Tables and columns of each database, nested, every name split into weighted tokens.
 
-    A token weighs 1 / number of items of the database that hold it.  The count
-    is the span of the token in the sorted list of all tokens of the row, so the
-    catalog is not shuffled.  The foreign keys go along for the schema text.
+    A token weighs 1 / number of items of the database that hold it.  Items are sorted by
+    (table, column) with the table in front of its columns; their tokens are sorted by token,
+    which gives the counts, and then back by item.  So the work of a row grows as its sorts do,
+    and the catalog is not shuffled.  The foreign keys go along for the schema text.
     """
-    cols = F.transform("column_names_original", lambda c, i: F.struct(
-        F.get(c, F.lit(0)).try_cast("int").alias("tab_idx"), i.alias("col_idx"), F.get(c, F.lit(1)).alias("name")))
-
-    def split_table(t: Column, i: Column) -> Column:
-        own = F.filter("_cols", lambda c: c["tab_idx"] == i)
-        return F.struct(i.alias("tab_idx"), t.alias("table_name"), _tokens(t).alias("tokens"), F.transform(
-            own, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["name"].alias("column_name"),
-                                    _tokens(c["name"]).alias("tokens"))).alias("columns"))
-
-    nested = once(once(catalog, _cols=cols, foreign_keys_text=foreign_keys_text()),
-                  _items=F.transform("table_names_original", split_table))
-    everything = F.concat(
-        F.flatten(F.transform("_items", lambda t: t["tokens"])),
-        F.flatten(F.transform("_items", lambda t: F.flatten(F.transform(t["columns"], lambda c: c["tokens"])))))
-    nested = once(once(nested, _up=F.array_sort(everything)), _down=F.reverse("_up"))
-
-    def weigh(tokens: Column) -> Column:
-        return F.transform(tokens, lambda w: F.struct(w.alias("token"), (
-            F.lit(1.0) / (F.size("_up") + 2 - F.array_position("_up", w) - F.array_position("_down", w))).alias("w")))
-
-    items = F.transform("_items", lambda t: F.struct(
-        t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), weigh(t["tokens"]).alias("tokens"),
-        F.transform(t["columns"], lambda c: F.struct(
-            c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), weigh(c["tokens"]).alias("tokens"))
-        ).alias("columns")))
-    return nested.select("db_id", "foreign_keys_text", items.alias("items"))
+    def item(tab_idx: Column, col_idx: Column, name: Column) -> Column:
+        return F.struct(tab_idx.alias("tab_idx"), col_idx.alias("col_idx"), name.alias("name"))
+
+    tables = F.transform("table_names_original", lambda t, i: item(i, F.lit(-1), t))
+    columns = F.filter(
+        F.transform("column_names_original", lambda c, i: item(
+            F.get(c, F.lit(0)).try_cast("int"), i, F.get(c, F.lit(1)))),
+        lambda c: (c["tab_idx"] >= 0) & (c["tab_idx"] < F.size("table_names_original")))
+    rows = once(catalog, foreign_keys_text=foreign_keys_text(), _items=F.array_sort(F.concat(tables, columns)))
+
+    found = F.flatten(F.transform("_items", lambda c, p: F.transform(
+        F.coalesce(_tokens(c["name"]), F.array().cast("array<string>")),
+        lambda w, k: F.struct(w.alias("token"), p.alias("item"), k.alias("pos")))))
+
+    def token(item: Column, pos: Column, word: Column, w: Column) -> Column:
+        return F.struct(item.alias("item"), pos.alias("pos"), word.alias("token"), w.alias("w"))
+
+    weighed = F.flatten(F.transform(runs(F.array_sort(found), new_value("token")), lambda r: F.transform(
+        r, lambda o: token(o["item"], o["pos"], o["token"], F.lit(1.0) / F.size(r)))))
+    marks = F.transform("_items", lambda c, p: token(p, F.lit(-1), F.lit(""), F.lit(0.0)))
+    rows = once(rows, _tokens=runs(F.array_sort(F.concat(marks, weighed)), lambda a, x, i: x["pos"] == -1))
+
+    with_tokens = F.transform("_items", lambda c, p: F.struct(
+        c["tab_idx"].alias("tab_idx"), c["col_idx"].alias("col_idx"), c["name"].alias("name"),
+        F.transform(F.slice(F.get("_tokens", p), 2, F.size(F.get("_tokens", p))), lambda t: F.struct(
+            t["token"].alias("token"), t["w"].alias("w"))).alias("tokens")))
+    nested = F.transform(runs(with_tokens, lambda a, x, i: x["col_idx"] == -1), lambda r: F.struct(
+        r[0]["tab_idx"].alias("tab_idx"), r[0]["name"].alias("table_name"), r[0]["tokens"].alias("tokens"),
+        F.transform(F.slice(r, 2, F.size(r)), lambda c: F.struct(
+            c["col_idx"].alias("col_idx"), c["name"].alias("column_name"), c["tokens"].alias("tokens"))).alias("columns")))
+    return rows.select("db_id", "foreign_keys_text", nested.alias("items"))
 
 
 def scored_items(questions: DataFrame, catalog: DataFrame) -> DataFrame:
