@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column
@@ -46,9 +47,28 @@ def upper_keywords(sql: Column) -> Column:
     return F.when(sql.rlike(_KEYWORD_TO_FIX), fixed).otherwise(sql)
 
 
+# Words whose spelling does not matter when two queries are compared.
+_QUERY_WORDS = (
+    "SELECT DISTINCT ALL AS FROM WHERE JOIN INNER LEFT RIGHT FULL OUTER CROSS NATURAL ON USING GROUP ORDER BY HAVING LIMIT "
+    "OFFSET ASC DESC NULLS FIRST LAST UNION INTERSECT EXCEPT AND OR NOT IN IS NULL LIKE BETWEEN EXISTS CASE WHEN THEN ELSE "
+    "END CAST WITH COUNT SUM AVG MIN MAX"
+).split()
+
+
+def outside_literals(sql: Column, change: Callable[[Column], Column], literal: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Apply ``change`` to what stands outside single quotes and ``literal`` to what stands inside."""
+    parts = F.transform(F.split(sql, "'"), lambda p, i: F.when(i % 2 == 0, change(p)).otherwise(literal(p)))
+    return F.array_join(parts, "'")
+
+
 def normalise_sql(sql: Column) -> Column:
-    """Form in which two queries are compared: blanks, keywords, final ``;``."""
-    return F.trim(F.regexp_replace(upper_keywords(collapse(sql)), r"(?<![; ])[; ]++\z", ""))
+    """Form in which two queries are compared: blanks and keywords outside literals, final ``;``."""
+    def plain(part: Column) -> Column:
+        words = F.split(F.regexp_replace(part, rf"(?U){SPACE}+", " "), r"(?U)\b")
+        return F.array_join(F.transform(
+            words, lambda w: F.when(F.upper(w).isin(_QUERY_WORDS), F.upper(w)).otherwise(w)), "")
+
+    return F.trim(F.regexp_replace(F.trim(outside_literals(sql, plain)), r"(?<![; ])[; ]++\z", ""))
 
 
 def before(c: Column, marker: str) -> Column:

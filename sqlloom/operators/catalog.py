@@ -255,8 +255,8 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
     )
 
 
-def serialize_fields(catalog: DataFrame) -> DataFrame:
-    """``Table t, columns = [*,a,b]`` lines, tables by name, columns in file order."""
+def _with_fields(catalog: DataFrame) -> DataFrame:
+    """Catalog rows with their field text and the columns it is made of."""
     def item(table: Column, c: Column, name: Column) -> Column:
         return F.struct(table.alias("table"), c["col_idx"].alias("pos"), name.alias("name"))
 
@@ -277,7 +277,12 @@ def serialize_fields(catalog: DataFrame) -> DataFrame:
 
     per_table = runs(F.array_sort(F.concat(named, owned)), lambda a, x, i: x["pos"] == -1)
     rows = once(once(catalog, _typed=_column_structs(truncate=True)), _stars=stars, _own=per_table)
-    return rows.select("db_id", F.array_join(F.transform("_own", line), "").alias("fields"))
+    return rows.withColumn("fields", F.array_join(F.transform("_own", line), ""))
+
+
+def serialize_fields(catalog: DataFrame) -> DataFrame:
+    """``Table t, columns = [*,a,b]`` lines, tables by name, columns in file order."""
+    return _with_fields(catalog).select("db_id", "fields")
 
 
 def serialize_primary_keys(catalog: DataFrame) -> DataFrame:
@@ -306,12 +311,10 @@ def serialize_foreign_keys(catalog: DataFrame) -> DataFrame:
 
 def schema_texts(catalog: DataFrame) -> DataFrame:
     """Fields, primary-key and foreign-key text of each database in one pass."""
-    fields = serialize_fields(_with_columns(catalog).select(
-        F.struct("db_id", "_pks", "_fks").alias("db_id"), _TABLES, _COLUMNS, _TYPES))
-    return fields.select(
-        "db_id.db_id", "fields",
-        bracketed(F.transform("db_id._pks", lambda p: _qualified(p["col"]))).alias("primary_keys"),
-        bracketed(_foreign_key_texts(F.col("db_id._fks"))).alias("foreign_keys"),
+    return _with_fields(_with_columns(catalog)).select(
+        "db_id", "fields",
+        bracketed(F.transform("_pks", lambda p: _qualified(p["col"]))).alias("primary_keys"),
+        bracketed(_foreign_key_texts(F.col("_fks"))).alias("foreign_keys"),
     )
 
 

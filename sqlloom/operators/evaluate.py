@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.functions.relational import join_rows
-from sqlloom.functions.text import normalise_sql
+from sqlloom.functions.text import normalise_sql, outside_literals
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def exact_match(pairs: DataFrame) -> DataFrame:
     ).withColumn("exact", F.coalesce(F.col("gold_norm") == F.col("pred_norm"), F.lit(False)))
 
 
-def execution_match(results: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+def execution_match(results: DataFrame, queries: DataFrame) -> DataFrame:
     """Whether gold and predicted result rows agree as multisets, per query.
 
     Copies are counted before the shuffle, so a query with very many rows is
@@ -37,8 +37,7 @@ def execution_match(results: DataFrame, queries: DataFrame | None = None) -> Dat
             F.sum(F.greatest(-F.col("surplus"), F.lit(0))).alias("n_extra"),
         )
     )
-    if queries is not None:
-        verdict = queries.select("query_id").join(verdict, "query_id", "left").fillna(0, ["n_missing", "n_extra"])
+    verdict = join_rows(queries.select("query_id"), verdict, "query_id", "left").fillna(0, ["n_missing", "n_extra"])
     return verdict.withColumn("matches", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
 
 
@@ -79,31 +78,61 @@ def accuracy_by_class(matches: DataFrame) -> DataFrame:
     )
 
 
-# The compared clauses, where each begins and ends, and what separates its parts.
-_END = r"( WHERE | GROUP BY | HAVING | ORDER BY | LIMIT |$)"
-CLAUSES = {
-    "select": (r"^SELECT (?:DISTINCT )?(.*?)( FROM |$)", ","),
-    "from": (r" FROM (.*?)" + _END, " JOIN |,"),
-    "where": (r" WHERE (.*?)( GROUP BY | HAVING | ORDER BY | LIMIT |$)", "(?i) AND | OR "),
-    "group": (r" GROUP BY (.*?)( HAVING | ORDER BY | LIMIT |$)", ","),
-    "order": (r" ORDER BY (.*?)( LIMIT |$)", ","),
+# Where a clause begins and ends in a lower-cased query, and what separates its parts.
+_TAIL = (" where ", " group by ", " having ", " order by ", " limit ")
+_CLAUSES = {
+    "select": ("^select ", (" from ",), ","),
+    "from": (" from ", _TAIL, " join |,"),
+    "where": (" where ", _TAIL[1:], " and | or "),
+    "group": (" group by ", _TAIL[2:], ","),
+    "having": (" having ", _TAIL[3:], " and | or "),
+    "order": (" order by ", _TAIL[4:], ","),
 }
+_SET_OPERATION = " (union|intersect|except) "
 
 
-def _clause(sql: Column, name: str) -> Column:
-    """Distinct parts of the first clause of that name, lower-cased."""
-    pattern, separator = CLAUSES[name]
-    parts = F.split(F.regexp_extract(sql, pattern, 1), separator)
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(F.trim(p))), lambda p: p != ""))
+def _comparable(sql: Column) -> Column:
+    """Lower-cased query whose literals are written in hexadecimal and whose BETWEEN holds no AND.
+
+    So neither a literal nor a range can be taken for a clause, a connective or a separator.
+    """
+    masked = outside_literals(normalise_sql(sql), F.lower, F.hex)
+    return F.regexp_replace(masked, r" between (\S+) and ", " between $1 ~ ")
+
+
+def _clause_parts(query: Column) -> Column:
+    """Array of (clause, distinct parts) of a comparable query.
+
+    Clauses are those of the first query; a set operation and what follows is a clause of
+    its own, unless it stands inside parentheses.  DISTINCT is a part of the select clause and
+    the connectives of WHERE and HAVING are a clause, so that the order of conditions does not count.
+    """
+    head = F.regexp_extract(query, f"^(.*?){_SET_OPERATION}", 1)
+    opened = F.length(F.replace(head, F.lit(")"), F.lit(""))) - F.length(F.replace(head, F.lit("("), F.lit("")))
+    first = F.when(query.rlike(_SET_OPERATION) & (opened == 0), head).otherwise(query)
+    first = F.regexp_replace(first, "^select distinct ", "select distinct,")
+
+    def body(name: str) -> Column:
+        start, ends, _ = _CLAUSES[name]
+        return F.regexp_extract(first, f"{start}(.*?)({'|'.join(ends)}|$)", 1)
+
+    def clause(name: str, parts: Column) -> Column:
+        trimmed = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+        return F.struct(F.lit(name).alias("clause"), F.array_distinct(trimmed).alias("parts"))
+
+    conditions = F.concat(body("where"), F.lit(" "), body("having"))
+    return F.array(
+        *[clause(n, F.split(body(n), separator)) for n, (_, _, separator) in _CLAUSES.items()],
+        clause("connective", F.regexp_extract_all(conditions, F.lit(" (and|or) "), 1)),
+        clause("set", F.array(F.when(F.length(first) < F.length(query), F.substr(query, F.length(first) + 1)).otherwise(""))),
+    )
 
 
 def clause_match(pairs: DataFrame) -> DataFrame:
     """Precision, recall and F1 of every clause's parts; a clause absent on both sides is a match."""
-    gold, pred = normalise_sql(F.col("gold_sql")), normalise_sql(F.coalesce("pred_sql", F.lit("")))
-    clauses = F.array(*[
-        F.struct(F.lit(n).alias("clause"), _clause(F.col("g"), n).alias("gold"), _clause(F.col("p"), n).alias("pred"))
-        for n in CLAUSES
-    ])
+    clauses = F.zip_with(
+        _clause_parts(F.col("g")), _clause_parts(F.col("p")),
+        lambda g, p: F.struct(g["clause"].alias("clause"), g["parts"].alias("gold"), p["parts"].alias("pred")))
     both = F.size(F.array_intersect("c.gold", "c.pred"))
     n_gold, n_pred = F.size("c.gold"), F.size("c.pred")
     empty = (n_gold == 0) & (n_pred == 0)
@@ -112,7 +141,9 @@ def clause_match(pairs: DataFrame) -> DataFrame:
         return F.round(F.when(empty, 1.0).when(bottom == 0, 0.0).otherwise(top / bottom), 6)
 
     return (
-        pairs.select("question_id", gold.alias("g"), pred.alias("p"))
+        pairs.select(
+            "question_id", _comparable(F.col("gold_sql")).alias("g"),
+            _comparable(F.coalesce("pred_sql", F.lit(""))).alias("p"))
         .select("question_id", F.explode(clauses).alias("c"))
         .select(
             "question_id", "c.clause",

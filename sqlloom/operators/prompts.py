@@ -101,9 +101,10 @@ def with_prompt_hash(prompts: DataFrame) -> DataFrame:
 
 
 def pending_prompts(prompts: DataFrame, completions: DataFrame) -> DataFrame:
-    """Prompts without a stored completion; only hashes are shuffled."""
+    """Prompts without a stored completion, ready to be sent."""
     done = completions.select("prompt_hash").distinct()
-    return join_rows(with_prompt_hash(prompts).select("question_id", "prompt_hash"), done, "prompt_hash", "left_anti")
+    asked = with_prompt_hash(prompts).select("question_id", "prompt_hash", "prompt")
+    return join_rows(asked, done, "prompt_hash", "left_anti")
 
 
 def join_completions(prompts: DataFrame, completions: DataFrame, max_attempts: int = 3) -> DataFrame:

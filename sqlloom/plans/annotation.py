@@ -10,6 +10,29 @@ from sqlloom.operators.catalog import schema_texts
 from sqlloom.operators.extract import extract_label, extract_schema_links, has_tags, reasoning_sql
 
 
+def annotation_rejects(
+    questions: DataFrame, catalog: DataFrame, links: DataFrame, classes: DataFrame, answers: DataFrame
+) -> DataFrame:
+    """Every question that ``annotate`` leaves out, with its reasons; accepted and rejected ones are all questions."""
+    rows = questions.select("question_id", "db_id")
+    tagged = F.coalesce(has_tags(F.col("response")), F.lit(False)).alias("_tagged")
+    for part in (
+        links.select("question_id", F.lit(True).alias("_links")),
+        classes.select("question_id", F.lit(True).alias("_class")),
+        answers.select("question_id", tagged),
+    ):
+        rows = join_rows(rows, part, how="left")
+    rows = join_catalog(rows, catalog.select("db_id", F.lit(True).alias("_known")), "left")
+    reason = F.concat_ws(
+        ", ",
+        F.when(F.col("_links").isNull(), "no link response"),
+        F.when(F.col("_class").isNull(), "no class response"),
+        F.when(F.col("_tagged").isNull(), "no answer").when(~F.col("_tagged"), "answer without tags"),
+        F.when(F.col("_known").isNull(), "unknown database"),
+    )
+    return rows.select("question_id", "db_id", reason.alias("reason")).where(F.col("reason") != "")
+
+
 def annotate(
     questions: DataFrame, catalog: DataFrame, links: DataFrame, classes: DataFrame, answers: DataFrame
 ) -> DataFrame:

@@ -303,6 +303,13 @@ def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.join(smallest, "query_id").select("query_id", F.explode(sides).alias("side"), row_json.alias("row_json"))
 
 
+def executed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX11: the ids that were run; those of 100 and above gave no row on either side."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"))
+    empty = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("query_id"))
+    return nations.unionByName(empty)
+
+
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX10: an outside score for every table and column of the question's database."""
     kind = "array<struct<tab_idx:int,table_name:string,col_idx:int,column_name:string>>"

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from string import Formatter
 
-from sqlloom.functions.text import SQL_KEYWORDS
-from sqlloom.operators.evaluate import CLAUSES
 from sqlloom.plans import fixtures as X
 from sqlloom.plans import templates as T
 
@@ -56,14 +54,31 @@ def _collapse(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
-def _upper(x: str) -> str:
-    for word in SQL_KEYWORDS:
-        x = rf"regexp_replace({x}, '\b{word}\b', '{word}', 'gi')"
+# The keywords that the reasoning parser raises, stated here again so that a wrong list shows.
+_RAISED = ["select", "from", "where", "join", "on", "group by", "order by", "limit", "having", "count", "sum", "avg", "min", "max"]
+_QUERY_WORDS = [
+    "all", "and", "as", "asc", "avg", "between", "by", "case", "cast", "count", "cross", "desc", "distinct", "else", "end", "except",
+    "exists", "first", "from", "full", "group", "having", "in", "inner", "intersect", "is", "join", "last", "left", "like", "limit",
+    "max", "min", "natural", "not", "null", "nulls", "offset", "on", "or", "order", "outer", "right", "select", "sum", "then", "union",
+    "using", "when", "where", "with",
+]
+
+
+def _upper(x: str, words: list[str] = _RAISED) -> str:
+    for word in words:
+        x = rf"regexp_replace({x}, '\b{word}\b', '{word.upper()}', 'gi')"
     return x
 
 
+def _quoted_apart(x: str, outside: str, inside: str) -> str:
+    """Rewrite the pieces ``p`` of a text outside and inside single quotes."""
+    return (f"array_to_string(list_transform(string_split({x}, chr(39)), "
+            f"lambda p, i: CASE WHEN i % 2 = 1 THEN {outside} ELSE {inside} END), chr(39))")
+
+
 def _normalise(x: str) -> str:
-    return rf"trim(regexp_replace({_upper(_collapse(x))}, '[; ]+$', ''))"
+    plain = _upper(r"regexp_replace(p, '\s+', ' ', 'g')", _QUERY_WORDS)
+    return rf"trim(regexp_replace(trim({_quoted_apart(x, plain, 'p')}), '[; ]+$', ''))"
 
 
 _CHAINS = r"'<chains>\s*(.*?)\s*</chains>.*?<SQL>\s*(.*?)\s*</SQL>'"
@@ -189,7 +204,7 @@ CTES: dict[str, str] = {
             reasoning=_strip("regexp_replace(reasoning, '([0-9][.])', chr(10) || chr(92) || '1', 'g')"))} AS text_to_sql FROM valid""",
     "link_prompts": f"""SELECT question_id, {render(T.SCHEMA_LINK, question='question', schema_text='schema_text', fk_text='fk_text')} AS prompt
         FROM q JOIN linking USING (db_id)""",
-    "hashed": "SELECT question_id, sha256(prompt) AS prompt_hash FROM link_prompts",
+    "hashed": "SELECT question_id, sha256(prompt) AS prompt_hash, prompt FROM link_prompts",
     "asked": "SELECT prompt_hash, min(question_id) AS k FROM hashed GROUP BY prompt_hash HAVING min(question_id) % 11 <> 0",
     "completions": """SELECT prompt_hash, a::INTEGER AS attempt, CASE WHEN k % 4 >= a AND a < 3 THEN 'error' ELSE 'ok' END AS status,
             CASE WHEN k % 4 >= a AND a < 3 THEN NULL ELSE 'answer to ' || k END AS completion
@@ -229,20 +244,38 @@ _EXT_TABLES, _EXT_COLUMNS = _ranked("outside_score", 3, 4)
 
 def _clause_sql() -> str:
     """Parts of each clause as lists, then set sizes."""
-    def parts(x: str, name: str) -> str:
-        pattern, sep = CLAUSES[name]
-        return f"string_split_regex(regexp_extract({x}, {lit(pattern)}, 1), {lit(sep)})"
-
+    def body(start: str, *ends: str) -> str:
+        return f"regexp_extract(one, '{start}(.*?)({'|'.join([*ends, '$'])})', 1)"
+
+    where = body(" where ", " group by ", " having ", " order by ", " limit ")
+    having = body(" having ", " order by ", " limit ")
+    lists = {
+        "select": f"string_split({body('^select ', ' from ')}, ',')",
+        "from": f"string_split_regex({body(' from ', ' where ', ' group by ', ' having ', ' order by ', ' limit ')}, ' join |,')",
+        "where": f"string_split_regex({where}, ' and | or ')",
+        "group": f"string_split({body(' group by ', ' having ', ' order by ', ' limit ')}, ',')",
+        "having": f"string_split_regex({having}, ' and | or ')",
+        "order": f"string_split({body(' order by ', ' limit ')}, ',')",
+        "connective": f"regexp_extract_all({where} || ' ' || {having}, ' (and|or) ', 1)",
+        "set": "[tail]",
+    }
     sides = " UNION ALL ".join(
-        f"SELECT question_id, {lit(n)} AS clause, {lit(side)} AS side, unnest({parts(col, n)}) AS part FROM norm"
-        for n in CLAUSES for side, col in (("g", "g"), ("p", "p")))
-    names = ", ".join(f"({lit(n)})" for n in CLAUSES)
+        f"SELECT question_id, {lit(n)} AS clause, side, unnest({parts}) AS part FROM cut" for n, parts in lists.items())
+    names = ", ".join(f"({lit(n)})" for n in lists)
+    word = "' (union|intersect|except) '"
+    masked = _quoted_apart(_normalise("s"), "lower(p)", "hex(p)")
     return f"""SELECT question_id, clause,
             round(CASE WHEN ng = 0 AND np = 0 THEN 1 WHEN np = 0 THEN 0 ELSE b::DOUBLE / np END, 6)::DOUBLE AS precision,
             round(CASE WHEN ng = 0 AND np = 0 THEN 1 WHEN ng = 0 THEN 0 ELSE b::DOUBLE / ng END, 6)::DOUBLE AS recall,
             round(CASE WHEN ng = 0 AND np = 0 THEN 1 ELSE 2 * b::DOUBLE / (ng + np) END, 6)::DOUBLE AS f1
         FROM (
-            WITH norm AS (SELECT question_id, {_normalise('gold_sql')} AS g, {_normalise("coalesce(pred_sql, '')")} AS p FROM pairs),
+            WITH both_sides AS (SELECT question_id, 'g' AS side, gold_sql AS s FROM pairs
+                UNION ALL SELECT question_id, 'p', coalesce(pred_sql, '') FROM pairs),
+            norm AS (SELECT question_id, side, regexp_replace({masked}, ' between (\\S+) and ', ' between \\1 ~ ', 'g') AS t FROM both_sides),
+            split_ AS (SELECT *, string_split_regex(t, {word})[1] AS head FROM norm),
+            cut AS (SELECT question_id, side, CASE WHEN closed THEN substr(t, length(head) + 1) ELSE '' END AS tail,
+                    regexp_replace(CASE WHEN closed THEN head ELSE t END, '^select distinct ', 'select distinct,') AS one
+                FROM (SELECT *, length(replace(head, '(', '')) = length(replace(head, ')', '')) AS closed FROM split_)),
             rows_ AS (SELECT DISTINCT question_id, clause, side, lower(trim(part)) AS part FROM ({sides}) WHERE trim(part) <> ''),
             one AS (SELECT question_id, clause, part, count(*) FILTER (side = 'g') AS g, count(*) FILTER (side = 'p') AS p
                     FROM rows_ GROUP BY ALL)
@@ -339,7 +372,7 @@ STATEMENTS: dict[str, str] = {
     "inference_prompt": f"""SELECT question_id, {render(T.TASK, question='question', schema='schema_links')} AS prompt
         FROM q JOIN links USING (question_id)""",
     "question_shards": "SELECT (question_id % 4)::INTEGER AS shard, count(*) AS n_questions FROM q GROUP BY 1",
-    "pending_prompts": "SELECT question_id, prompt_hash FROM hashed WHERE prompt_hash NOT IN (SELECT prompt_hash FROM completions)",
+    "pending_prompts": "SELECT question_id, prompt_hash, prompt FROM hashed WHERE prompt_hash NOT IN (SELECT prompt_hash FROM completions)",
     "join_completions": """SELECT h.question_id, h.prompt_hash, c.n_attempts, c.attempt, c.status, c.completion FROM hashed h LEFT JOIN
         (SELECT *, count(*) OVER (PARTITION BY prompt_hash) AS n_attempts, row_number() OVER (PARTITION BY prompt_hash ORDER BY attempt DESC) AS r
          FROM completions) c ON c.prompt_hash = h.prompt_hash AND c.r = 1""",
@@ -405,8 +438,13 @@ STATEMENTS: dict[str, str] = {
     "exact_match": "SELECT * FROM exact",
     "execution_match": """WITH c AS (SELECT c_nationkey::BIGINT AS query_id, c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS lo FROM customer),
         n AS (SELECT query_id, CASE WHEN c_custkey <> lo OR query_id % 3 = 0 THEN 1 WHEN query_id % 3 = 1 THEN 2 ELSE 0 END AS copies FROM c)
-        SELECT query_id, sum(greatest(1 - copies, 0))::BIGINT AS n_missing, sum(greatest(copies - 1, 0))::BIGINT AS n_extra,
-            bool_and(copies = 1) AS matches FROM n GROUP BY query_id""",
+        SELECT query_id, coalesce(sum(greatest(1 - copies, 0)), 0)::BIGINT AS n_missing,
+            coalesce(sum(greatest(copies - 1, 0)), 0)::BIGINT AS n_extra, coalesce(bool_and(copies = 1), true) AS matches
+        FROM (SELECT n_nationkey::BIGINT AS query_id FROM nation UNION ALL SELECT r_regionkey + 100 FROM region) ran
+        LEFT JOIN n USING (query_id) GROUP BY query_id""",
+    "annotation_rejects": """SELECT question_id, db_id, concat_ws(', ', CASE WHEN sql IS NULL THEN 'answer without tags' END,
+            CASE WHEN db_id NOT IN (SELECT db_id FROM dbs) THEN 'unknown database' END) AS reason
+        FROM q JOIN parsed USING (question_id) WHERE sql IS NULL OR db_id NOT IN (SELECT db_id FROM dbs)""",
     "typed_export": """SELECT event_id, user_id, event_type, CASE WHEN event_id % 10 <> 0 THEN trunc(value)::BIGINT END AS value FROM events""",
     "default_missing": f"""SELECT question_id, CASE WHEN question_id % 7 = 0 THEN {lit(T.NO_QUESTION)} ELSE question END AS question,
             {lit(T.NO_SCHEMA)} AS schema_links FROM q""",

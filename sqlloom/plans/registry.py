@@ -17,7 +17,7 @@ from sqlloom.operators import prompts as P
 from sqlloom.operators import schema_filter as S
 from sqlloom.operators import training as D
 from sqlloom.plans import fixtures as X
-from sqlloom.plans.annotation import annotate
+from sqlloom.plans.annotation import annotate, annotation_rejects
 from sqlloom.plans.workload import SHAPES
 from sqlloom.session import scratch_dir
 from sqlloom.sources import readers, sinks
@@ -296,7 +296,10 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "dataset_stats": lambda i: D.dataset_stats(i.annotations, i.scores),
     "attach_predictions": lambda i: i.attached,
     "exact_match": lambda i: E.exact_match(i.pairs),
-    "execution_match": lambda i: E.execution_match(X.query_results(i.spark, i.sf_dir)),
+    "execution_match": lambda i: E.execution_match(X.query_results(i.spark, i.sf_dir), X.executed_queries(i.spark, i.sf_dir)),
+    "annotation_rejects": lambda i: annotation_rejects(
+        i.questions, i.catalog, X.link_responses(i.spark, i.sf_dir), X.class_responses(i.spark, i.sf_dir),
+        X.sql_responses(i.spark, i.sf_dir)),
     "typed_export": typed_export,
     "default_missing": default_missing,
     "accuracy_by_class": accuracy_by_class,

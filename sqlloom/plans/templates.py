@@ -1,17 +1,15 @@
-"""Prompt templates.  ``{slot}`` marks a column that is filled in."""
+"""Prompt templates.  ``{slot}`` marks a column that is filled in.
 
-BASELINE = """\
-### Task
-Write one SQL query that answers [QUESTION]{question}[/QUESTION]
-
-### Rules
-- Answer 'I do not know' when the schema below is not sufficient.
+Fixed values, read back by the extractors: the tags ``<chains>``, ``<REASONING>``, ``<SQL>`` and ``[SQL]``, the line
+head ``Schema Links:`` and the mark ``Label: "``.
+"""
 
-### Schema
+BASELINE = """\
+These tables and columns are available:
 {schema}
 
-### Answer
-The query for [QUESTION]{question}[/QUESTION] is:
+A user asks: {question}
+Reply with a single SQL query over them and nothing else. It starts after this mark.
 [SQL]
 """
 
@@ -63,18 +61,16 @@ SQL_MEDIUM = "Answer with a query that joins tables along their keys.\n" + _REAS
 SQL_HARD = "Answer with a query that may use sub-queries or set operations.\n" + _REASON + _SQL_SLOTS
 
 CORRECTION = """\
-Repair the SQLite query where it is wrong and return it unchanged where it is right. Use the values and keys given,
-and keep the query short.
+A draft query follows, with the thoughts that led to it. Say what is wrong with it, if anything, between <REASONING> and
+</REASONING>, and give the final query between <SQL> and </SQL>.
 
-{fields}Foreign_keys = {foreign_keys}
-Primary_keys = {primary_keys}
-#### Question: {question}
-#### Reasoning
-{reasoning}
-#### Query
-{sql}
-#### Repaired query
-<REASONING>
+Draft: {sql}
+Thoughts: {reasoning}
+It should answer: {question}
+
+The database:
+{fields}Keys of the tables: {primary_keys}
+Links between the tables: {foreign_keys}
 """
 
 TASK = """\
@@ -98,5 +94,6 @@ TARGET = """
 
 SINGLE_TEXT = TASK + TARGET
 
+# The texts that stand for a missing slot.
 NO_QUESTION = "No question provided"
 NO_SCHEMA = "No schema provided"

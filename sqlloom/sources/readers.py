@@ -24,6 +24,20 @@ def read_questions(spark: SparkSession, path: str, multi_line: bool = False) ->
         "question_id", F.col("db_id").alias("database"), "question", F.col("query").alias("sql"))
 
 
+def unreadable_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Lines that do not hold one record of the schema, with their file.
+
+    The readers give such a line as a row of nulls; a list over many lines, which needs
+    ``multi_line=True``, shows up here with all its lines.
+    """
+    mark = T.StructType([*schema.fields, T.StructField("_unreadable", T.StringType())])
+    record = F.from_json("value", mark, {"columnNameOfCorruptRecord": "_unreadable"})
+    return (
+        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", record.alias("r"))
+        .where(F.col("r._unreadable").isNotNull()).select("file", F.col("value").alias("line"))
+    )
+
+
 def read_columnar_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Column-oriented documents ``{column: {index: value}}`` to rows.
 
@@ -49,8 +63,15 @@ def read_columnar_json(spark: SparkSession, path: str, columns: list[str]) -> Da
 
 
 def read_predictions_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
-    """CSV with a header; quoted cells may hold line breaks and doubled quotes."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
+    """CSV with a header; quoted cells may hold line breaks and doubled quotes, so a file is one task.
+
+    Columns are taken by the names in the header, in any order; an absent column and a cell that
+    is not of its type are null.
+    """
+    found = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+
+    def column(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`") if field.name in found.columns else F.lit(None)
+        return value.try_cast(field.dataType).alias(field.name)
+
+    return found.select(*[column(f) for f in schema])

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from sqlloom.functions.ranking import number_rows
 from sqlloom.functions.relational import join_rows
+from sqlloom.operators.extract import norm_class
 
 
-def write_annotations(annotations: DataFrame, path: str) -> None:
-    """Parquet by class, so that a class filter reads its own files only."""
-    annotations.write.mode("append").partitionBy("classification").parquet(path)
+def write_annotations(annotations: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parquet by ``class_norm``, one of three classes, so that a filter on it reads its own files only.
+
+    ``classification`` is free text of the model and stays a data column.
+    """
+    by_class = annotations.withColumn("class_norm", norm_class(F.col("classification")))
+    by_class.write.mode(mode).partitionBy("class_norm").parquet(path)
 
 
 def write_splits(samples: DataFrame, path: str) -> None:
@@ -62,6 +67,17 @@ def write_eval_pairs(rows: DataFrame, path: str) -> None:
     pairs.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in pairs.columns])).write.text(path)
 
 
+def write_evaluator_files(rows: DataFrame, pred_path: str, gold_path: str) -> None:
+    """Two line-aligned texts: the predictions, and ``gold<TAB>db_id``.
+
+    Both are in the order of the unique ``question_id`` within and across their part files, so
+    line n of one belongs to line n of the other, wherever the files are cut.
+    """
+    ordered = eval_pairs(rows).repartitionByRange("question_id").sortWithinPartitions("question_id")
+    ordered.select("pred").write.text(pred_path)
+    ordered.select(F.concat_ws("\t", "gold", "db_id")).write.text(gold_path)
+
+
 def transcript(samples: DataFrame) -> DataFrame:
     """Entries of prompt and answer, numbered in the order of the (unique) ``question_id``.
 

@@ -1,5 +1,7 @@
 """Hand-made cases for the rules a registered query alone would not show."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +356,61 @@ def test_clause_match(spark):
     assert got[1, "group"] == (1.0, 1.0, 1.0) and got[2, "from"] == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("gold, pred, clause, f1", [
+    ("SELECT DISTINCT a FROM t", "SELECT a FROM t", "select", 0.666667),
+    ("SELECT DISTINCT a FROM t", "select distinct a from t", "select", 1.0),
+    ("SELECT a FROM t GROUP BY a HAVING COUNT(*) > 5", "SELECT a FROM t GROUP BY a HAVING COUNT(*) > 9", "having", 0.0),
+    ("SELECT a FROM t WHERE x = 1 AND y = 2", "SELECT a FROM t WHERE x = 1 OR y = 2", "connective", 0.0),
+    ("SELECT a FROM t WHERE x = 1 AND y = 2", "SELECT a FROM t WHERE y = 2 AND x = 1", "where", 1.0),
+    ("SELECT a FROM t WHERE n = 'Ab'", "SELECT a FROM t WHERE n = 'aB'", "where", 0.0),
+    ("SELECT a FROM t WHERE n = 'x AND y FROM z'", "SELECT a FROM t WHERE n = 'x AND y FROM w'", "where", 0.0),
+    ("SELECT a FROM t WHERE n BETWEEN 1 AND 2", "SELECT a FROM t WHERE n BETWEEN 1 AND 3", "where", 0.0),
+    ("SELECT a FROM t WHERE n BETWEEN 1 AND 2", "SELECT a FROM t", "connective", 1.0),
+    ("SELECT a FROM t UNION SELECT a FROM s", "SELECT a FROM t", "from", 1.0),
+    ("SELECT a FROM t UNION SELECT a FROM s", "SELECT a FROM t INTERSECT SELECT a FROM s", "set", 0.0),
+    ("SELECT a FROM t WHERE a IN (SELECT b FROM s UNION SELECT c FROM r)", "SELECT a FROM t", "set", 1.0),
+])
+def test_clause_match_cases(spark, gold, pred, clause, f1):
+    df = spark.createDataFrame([(1, gold, pred)], "question_id long, gold_sql string, pred_sql string")
+    assert E.clause_match(df).where(F.col("clause") == clause).first()["f1"] == f1
+
+
+@pytest.mark.parametrize("gold, pred, same", [
+    ("SELECT DISTINCT a FROM t WHERE x = 1 AND y IN (2)", "select distinct a  from t where x = 1 and y in (2);", True),
+    ("SELECT a FROM t WHERE n = 'and  on'", "SELECT a FROM t WHERE n = 'AND ON'", False),
+    ("SELECT a FROM t WHERE n = 'it''s'", "select a from t where n = 'it''s'", True),
+    ("SELECT a FROM t", None, False),
+])
+def test_exact_match_cases(spark, gold, pred, same):
+    df = spark.createDataFrame([(1, gold, pred)], "question_id long, gold_sql string, pred_sql string")
+    assert E.exact_match(df).first()["exact"] is same
+
+
+def test_null_table_name_and_repeated_database(spark):
+    df = spark.createDataFrame([
+        ("d", ["t", None], [["0", "a"], ["1", "b"]], ["text"] * 2, [0], []),
+        ("d", ["u"], [["0", "a"]], ["text"], [0], [])], schemas.RAW_CATALOG)
+    assert sorted(rows(C.catalog_rejects(df))) == [
+        ("d", "column", "b", "bad table index"), ("d", "database", "2 records", "repeated db_id"), ("d", "table", "1", "no name")]
+    assert {k: v for r in C.catalog_by_db(df).collect() for k, v in r["tables"].items()} == {"t": ["a"], "u": ["a"]}
+
+
+def test_wide_database_grows_linearly(spark):
+    """Four times the tables take about four times as long, not sixteen."""
+    def seconds(n):
+        columns = [["-1", "*"]] + [[str(t), f"c_{t}_{c}"] for t in range(n) for c in range(20)]
+        df = spark.createDataFrame([("d", [f"t_{t}" for t in range(n)], columns, ["text"] * len(columns), [1], [])], schemas.RAW_CATALOG)
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            S._weighted_items(df).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    seconds(50)
+    assert seconds(1000) < 8 * max(seconds(250), 0.5)
+
+
 def test_success_rate_without_questions(spark):
     none = spark.createDataFrame([], "question_id long")
     assert rows(E.success_rate(none, none)) == [(0, 0, 0.0)]

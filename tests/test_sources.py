@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sqlloom import schemas
@@ -69,11 +71,45 @@ def test_transcript_is_numbered_in_order(spark, tmp_path):
 
 
 def test_annotations_are_partitioned_by_class(spark, tmp_path):
-    df = spark.createDataFrame([(1, "EASY"), (2, "NESTED")], "question_id long, classification string")
-    sinks.write_annotations(df, str(tmp_path / "a"))
-    easy = spark.read.parquet(str(tmp_path / "a")).where("classification = 'EASY'")
-    assert "PartitionFilters: [isnotnull(classification" in easy._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(1, "EASY"), (2, "NESTED"), (3, ""), (4, "my own / class")], "question_id long, classification string")
+    path = str(tmp_path / "a")
+    sinks.write_annotations(df, path)
+    easy = spark.read.parquet(path).where("class_norm = 'EASY'")
+    assert "PartitionFilters: [isnotnull(class_norm" in easy._jdf.queryExecution().executedPlan().toString()
     assert easy.count() == 1
+    assert rows(spark.read.parquet(path).drop("class_norm")) == rows(df)
+    with pytest.raises(AnalysisException):
+        sinks.write_annotations(df, path)
+    sinks.write_annotations(df, path, mode="overwrite")
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('model_predicted_sql,question_id,question\n"SELECT 1, 2",7,why\nx,seven,how\n')
+    got = readers.read_predictions_csv(spark, str(tmp_path / "p.csv"))
+    assert got.schema == schemas.PREDICTIONS
+    assert sorted(map(tuple, got.collect()), key=str) == [(7, "why", None, "SELECT 1, 2"), (None, "how", None, "x")]
+
+
+def test_unreadable_lines_are_shown(spark, tmp_path):
+    good = {"question_id": 1, "db_id": "d", "question": "q", "query": "s"}
+    (tmp_path / "q.json").write_text(json.dumps(good) + "\n{broken\n\n")
+    (tmp_path / "list.json").write_text(json.dumps([good, good], indent=1))
+    got = readers.unreadable_lines(spark, str(tmp_path), schemas.QUESTIONS)
+    assert [r["line"] for r in got.where("file LIKE '%q.json'").collect()] == ["{broken"]
+    assert got.where("file LIKE '%list.json'").count() > 2
+
+
+def test_evaluator_files_are_line_aligned(spark, tmp_path):
+    df = spark.createDataFrame([(i * 7 % 40, f"SELECT {i * 7 % 40}", None if i == 3 else f"select\n{i * 7 % 40}", "d") for i in range(40)],
+                               "question_id long, gold_sql string, pred_sql string, db_id string").repartition(5)
+    sinks.write_evaluator_files(df, str(tmp_path / "p"), str(tmp_path / "g"))
+
+    def lines(name):
+        return [l for f in sorted((tmp_path / name).glob("part*")) for l in f.read_text().split("\n")[:-1]]
+
+    assert lines("g") == [f"SELECT {i}\td" for i in range(40)]
+    assert lines("p") == ["" if i == 21 else f"select {i}" for i in range(40)]
 
 
 def test_unpivot_keeps_nulls(spark):
