@@ -216,11 +216,11 @@ CTES: dict[str, str] = {
     "token_weight": "SELECT db_id, token, 1::DOUBLE / count(*) AS w FROM item_tokens GROUP BY ALL",
     "asked_tokens": """SELECT DISTINCT question_id, db_id, token FROM
         (SELECT question_id, db_id, unnest(string_split_regex(lower(question), '[^a-z0-9]+')) AS token FROM q) WHERE token <> ''""",
-    "hits": """SELECT question_id, tab_idx, col_idx, sum(w) AS s FROM asked_tokens JOIN item_tokens USING (db_id, token)
+    "hits": """SELECT question_id, tab_idx, coalesce(col_idx, -1) AS k, sum(w) AS s FROM asked_tokens JOIN item_tokens USING (db_id, token)
         JOIN token_weight USING (db_id, token) GROUP BY ALL""",
     "item_score": """SELECT q.question_id, i.tab_idx, i.table_name, i.col_idx, i.column_name, round(coalesce(h.s, 0), 6) AS score
         FROM q JOIN items i ON i.db_id = q.db_id LEFT JOIN hits h ON h.question_id = q.question_id AND h.tab_idx = i.tab_idx
-            AND h.col_idx IS NOT DISTINCT FROM i.col_idx""",
+            AND h.k = coalesce(i.col_idx, -1)""",
     "outside_score": """SELECT q.question_id, i.tab_idx, i.table_name, i.col_idx, i.column_name,
             ((q.question_id * 31 + coalesce(i.col_idx, i.tab_idx) * 17) % 101) / 100::DOUBLE AS score
         FROM q JOIN items i ON i.db_id = q.db_id""",
