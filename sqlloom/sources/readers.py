@@ -38,13 +38,23 @@ def unreadable_lines(spark: SparkSession, path: str, schema: T.StructType) -> Da
     )
 
 
-def read_columnar_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_columnar_json(spark: SparkSession, path: str, columns: list[str] | T.StructType) -> DataFrame:
     """Column-oriented documents ``{column: {index: value}}`` to rows.
 
     One document per file; an index is unique within its document, and a
     document is one task, so large data should come as many documents.  The cells are
     brought together by (document, index), which needs no map look-ups.
+
+    With names all values are text.  With a ``StructType`` they have its types, and ``rejected`` maps the
+    columns whose text is not of their type, null in the row, to that text (null where there is none).
     """
+    if isinstance(columns, T.StructType):
+        text = read_columnar_json(spark, path, columns.names)
+        typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in columns}
+        bad = F.array_compact(F.array(*[
+            F.when(F.col(n).isNotNull() & c.isNull(), F.struct(F.lit(n).alias("key"), F.col(n).alias("value"))) for n, c in typed.items()]))
+        rejected = F.when(F.size(bad) > 0, F.map_from_entries(bad)).alias("rejected")
+        return text.select("document", "idx", *[c.alias(n) for n, c in typed.items()], rejected)
     schema = T.StructType([T.StructField(c, T.MapType(T.StringType(), T.StringType())) for c in columns])
 
     def cells_of(column: str) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlloom import schemas
 from sqlloom.sources import readers, sinks
@@ -33,6 +34,12 @@ def test_columnar_documents(spark, tmp_path):
         ("a.json", 0, "x", None), ("a.json", 10, "y", "5"), ("b.json", 0, "z", None)]
 
 
+def test_columnar_documents_with_types(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"q": {"0": "x", "1": None}, "score": {"0": 1, "1": "high"}}))
+    got = readers.read_columnar_json(spark, str(tmp_path), T.StructType().add("q", "string").add("score", "integer"))
+    assert [tuple(r)[1:] for r in got.orderBy("idx").collect()] == [(0, "x", 1, None), (1, None, None, {"score": "high"})]
+
+
 def test_columnar_documents_round_trip_and_size(spark, tmp_path):
     df = spark.range(25).select("id", F.concat(F.lit('q "'), F.col("id"), F.lit('"\n')).alias("a"),
                                 F.when(F.col("id") % 3 != 0, F.lit("v")).alias("b"))
