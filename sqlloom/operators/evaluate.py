@@ -153,6 +153,11 @@ def clause_match(pairs: DataFrame) -> DataFrame:
     )
 
 
+def all_clauses_match(clauses: DataFrame) -> DataFrame:
+    """``exact`` for every question of ``clause_match``: whether each of its clauses agrees."""
+    return clauses.groupBy("question_id").agg((F.min("f1") == 1).alias("exact"))
+
+
 def success_rate(questions: DataFrame, annotations: DataFrame) -> DataFrame:
     """Questions asked, questions answered, and their ratio in percent (0 without questions)."""
     done = annotations.select("question_id").distinct().withColumn("done", F.lit(1))

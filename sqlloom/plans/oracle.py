@@ -81,28 +81,32 @@ def _normalise(x: str) -> str:
     return rf"trim(regexp_replace(trim({_quoted_apart(x, plain, 'p')}), '[; ]+$', ''))"
 
 
-_CHAINS = r"'<chains>\s*(.*?)\s*</chains>.*?<SQL>\s*(.*?)\s*</SQL>'"
-_REASONING = r"'<REASONING>\s*(.*?)\s*</REASONING>.*?<SQL>\s*(.*?)\s*</SQL>'"
 _NL = "chr(10)"
 
 
 def _parsed(source: str) -> str:
-    """Reasoning, SQL and status of a response table."""
-    def part(n: int, tag_pattern: str) -> str:
-        return f"regexp_extract(response, {tag_pattern}, {n}, 'is')"
-
+    """Reasoning, SQL and status of a response table, by the places of the tags in the lower-cased response.
+
+    ``a`` is where the reasoning begins; ``b``, ``c`` and ``d`` are the places of the next three tags, each
+    counted from the one before and 0 where it is missing.
+    """
+    steps = {
+        "low": "lower(response)",
+        "tag": "CASE WHEN contains(response, '<chains>') THEN 'chains' WHEN contains(response, '<REASONING>') THEN 'reasoning' END",
+        "a": "strpos(low, '<' || tag || '>') + length(tag) + 2",
+        "b": "strpos(substr(low, a), '</' || tag || '>')",
+        "c": "strpos(substr(low, a + b), '<sql>')",
+        "d": "strpos(substr(low, a + b + c + 4), '</sql>')",
+        "status": "CASE WHEN tag IS NULL THEN 'no_tags' WHEN least(b, c, d) > 0 THEN 'ok' ELSE 'unclosed' END",
+    }
+    rows = source
+    for name, value in steps.items():
+        rows = f"(SELECT *, {value} AS {name} FROM {rows})"
     return f"""SELECT question_id,
-        CASE WHEN parse_status = 'no_tags' THEN NULL WHEN parse_status = 'unclosed' THEN {_strip('response')}
-             WHEN has_chains THEN {_collapse(part(1, _CHAINS))} ELSE {_collapse(part(1, _REASONING))} END AS reasoning,
-        CASE WHEN parse_status = 'no_tags' THEN NULL WHEN parse_status = 'unclosed' THEN 'SELECT'
-             ELSE {_upper(_collapse(f"CASE WHEN has_chains THEN {part(2, _CHAINS)} ELSE {part(2, _REASONING)} END"))}
-        END AS sql,
-        parse_status
-    FROM (SELECT *, contains(response, '<chains>') AS has_chains,
-            CASE WHEN NOT contains(response, '<chains>') AND NOT contains(response, '<REASONING>') THEN 'no_tags'
-                 WHEN regexp_matches(response, CASE WHEN contains(response, '<chains>') THEN {_CHAINS}
-                      ELSE {_REASONING} END, 'is') THEN 'ok' ELSE 'unclosed' END AS parse_status
-          FROM {source})"""
+        CASE status WHEN 'ok' THEN {_collapse('substr(response, a, b - 1)')} WHEN 'unclosed' THEN {_strip('response')} END AS reasoning,
+        CASE status WHEN 'ok' THEN {_upper(_collapse('substr(response, a + b + c + 4, d - 1)'))} WHEN 'unclosed' THEN 'SELECT' END AS sql,
+        status AS parse_status
+    FROM {rows}"""
 
 
 _TABLE_ROWS = [(t, name) for t, name in enumerate(X.TABLES)]
@@ -238,7 +242,15 @@ def _ranked(score: str, k_tables: int, k_columns: int) -> tuple[str, str]:
     return tables, columns
 
 
+def _accuracy(matches: str) -> str:
+    """Accuracy of rows (question_id, db_id, ok) by class, by database and in total."""
+    return f"""SELECT CASE grouping(classification, db_id) WHEN 1 THEN 'class' WHEN 2 THEN 'database' ELSE 'total' END AS level,
+            classification, db_id, count(*) AS n, count(*) FILTER (ok) AS n_match, round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS accuracy
+        FROM ({matches}) JOIN class_labels USING (question_id) GROUP BY GROUPING SETS ((classification), (db_id), ())"""
+
+
 _TOP_TABLES, _TOP_COLUMNS = _ranked("item_score", 6, 10)
+_THREE_TABLES, _ = _ranked("item_score", 3, 10)
 _EXT_TABLES, _EXT_COLUMNS = _ranked("outside_score", 3, 4)
 
 
@@ -296,6 +308,13 @@ def _top(inner: str, k: int, order: str) -> str:
     return f"SELECT *, (row_number() OVER (ORDER BY {order}))::INTEGER AS rank FROM ({inner}) ORDER BY {order} LIMIT {k}"
 
 
+_EXECUTION = """WITH c AS (SELECT c_nationkey::BIGINT AS query_id, c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS lo FROM customer),
+    n AS (SELECT query_id, CASE WHEN c_custkey <> lo OR query_id % 3 = 0 THEN 1 WHEN query_id % 3 = 1 THEN 2 ELSE 0 END AS copies FROM c)
+    SELECT query_id, coalesce(sum(greatest(1 - copies, 0)), 0)::BIGINT AS n_missing,
+        coalesce(sum(greatest(copies - 1, 0)), 0)::BIGINT AS n_extra, coalesce(bool_and(copies = 1), true) AS matches
+    FROM (SELECT n_nationkey::BIGINT AS query_id FROM nation UNION ALL SELECT r_regionkey + 100 FROM region) ran
+    LEFT JOIN n USING (query_id) GROUP BY query_id"""
+
 STATEMENTS: dict[str, str] = {
     "read_catalog": """SELECT d.db_id, t.names AS table_names_original, '-1:*,' || c.cols AS column_names_original,
             'text,' || c.types AS column_types,
@@ -414,6 +433,7 @@ STATEMENTS: dict[str, str] = {
         ON f.question_id = p.question_id WHERE p.sql IS DISTINCT FROM f.sql""",
     "schema_item_scores": "SELECT * FROM item_score",
     "top_k_tables": _TOP_TABLES,
+    "top_k_tables_three": _THREE_TABLES,
     "top_k_columns": _TOP_COLUMNS,
     "filtered_schema": f"""WITH top AS ({_TOP_COLUMNS})
         SELECT t.question_id, t.text || 'foreign keys :' || {_NL} || replace(trim(f.foreign_keys, '[]'), ',', {_NL}) AS filtered_schema FROM
@@ -436,22 +456,18 @@ STATEMENTS: dict[str, str] = {
         FROM ann LEFT JOIN scores USING (question_id) GROUP BY ROLLUP (classification, db_id)""",
     "attach_predictions": "SELECT question_id, db_id, gold_sql, pred_sql AS model_predicted_sql FROM pairs",
     "exact_match": "SELECT * FROM exact",
-    "execution_match": """WITH c AS (SELECT c_nationkey::BIGINT AS query_id, c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS lo FROM customer),
-        n AS (SELECT query_id, CASE WHEN c_custkey <> lo OR query_id % 3 = 0 THEN 1 WHEN query_id % 3 = 1 THEN 2 ELSE 0 END AS copies FROM c)
-        SELECT query_id, coalesce(sum(greatest(1 - copies, 0)), 0)::BIGINT AS n_missing,
-            coalesce(sum(greatest(copies - 1, 0)), 0)::BIGINT AS n_extra, coalesce(bool_and(copies = 1), true) AS matches
-        FROM (SELECT n_nationkey::BIGINT AS query_id FROM nation UNION ALL SELECT r_regionkey + 100 FROM region) ran
-        LEFT JOIN n USING (query_id) GROUP BY query_id""",
+    "execution_match": _EXECUTION,
     "annotation_rejects": """SELECT question_id, db_id, concat_ws(', ', CASE WHEN sql IS NULL THEN 'answer without tags' END,
             CASE WHEN db_id NOT IN (SELECT db_id FROM dbs) THEN 'unknown database' END) AS reason
         FROM q JOIN parsed USING (question_id) WHERE sql IS NULL OR db_id NOT IN (SELECT db_id FROM dbs)""",
     "typed_export": """SELECT event_id, user_id, event_type, CASE WHEN event_id % 10 <> 0 THEN trunc(value)::BIGINT END AS value FROM events""",
     "default_missing": f"""SELECT question_id, CASE WHEN question_id % 7 = 0 THEN {lit(T.NO_QUESTION)} ELSE question END AS question,
             {lit(T.NO_SCHEMA)} AS schema_links FROM q""",
-    "accuracy_by_class": """SELECT CASE grouping(classification, db_id) WHEN 1 THEN 'class' WHEN 2 THEN 'database' ELSE 'total' END AS level,
-            classification, db_id, count(*) AS n, count(*) FILTER (exact) AS n_match,
-            round(count(*) FILTER (exact)::DOUBLE / count(*), 6) AS accuracy
-        FROM exact JOIN class_labels USING (question_id) GROUP BY GROUPING SETS ((classification), (db_id), ())""",
+    "accuracy_by_class": _accuracy("SELECT question_id, db_id, exact AS ok FROM exact"),
+    "accuracy_by_class_clauses": _accuracy(f"""SELECT question_id, db_id, m.ok FROM q
+        JOIN (SELECT question_id, min(f1) = 1 AS ok FROM ({_clause_sql()}) GROUP BY question_id) m USING (question_id)"""),
+    "accuracy_by_class_execution": _accuracy(f"""SELECT question_id, db_id, r.matches AS ok FROM q
+        JOIN ({_EXECUTION}) r ON r.query_id = q.question_id"""),
     "clause_match": _clause_sql(),
     "success_rate": """SELECT count(*) AS n_asked, count(ann.question_id) AS n_generated,
             round(count(ann.question_id) * 100::DOUBLE / count(*), 4) AS success_rate FROM q LEFT JOIN ann ON ann.question_id = q.question_id""",
@@ -487,8 +503,9 @@ STATEMENTS: dict[str, str] = {
     "w_join_having_gt": """SELECT c_custkey, c_name, c_nationkey, c_mktsegment, count(o_orderkey) AS n_orders
         FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING count(o_orderkey) > 1""",
     "w_not_in_self": """SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN
-        (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50)""",
-    "w_not_in_other": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)""",
+    "w_not_in_other": """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN
+        (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""",
     "w_distinct_lt_max": "SELECT DISTINCT p_retailprice FROM part WHERE p_retailprice < (SELECT max(p_retailprice) FROM part)",
     "w_join_filter": """SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         WHERE year(l_shipdate) = 1999 AND l_returnflag = 'A' AND o_orderstatus = 'F'""",
@@ -502,7 +519,7 @@ STATEMENTS: dict[str, str] = {
         WHERE p.peak = (SELECT max(c_acctbal) FROM customer)""",
     "w_intersect": "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'",
     "w_except": """SELECT user_id FROM events WHERE event_type = 'click' EXCEPT
-        SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50""",
+        SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100""",
     "w_union": "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier",
     "w_count_star_filter": "SELECT count(*) AS n_events FROM events WHERE value > 100",
     "w_group_join_top1": _top("""SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON c_custkey = o_custkey

@@ -202,10 +202,13 @@ def parse_fields(i: Inputs) -> DataFrame:
         "db_id", "table_pos", "table_name", _joined("column_names"), "status")
 
 
-def accuracy_by_class(i: Inputs) -> DataFrame:
-    classes = i.labels.select("question_id", "classification")
-    matches = E.exact_match(i.pairs).select("question_id", "db_id", "exact")
-    return E.accuracy_by_class(join_rows(matches, classes))
+def _accuracy(i: Inputs, matches: DataFrame) -> DataFrame:
+    known = join_rows(i.questions.select("question_id", "db_id"), i.labels.select("question_id", "classification"))
+    return E.accuracy_by_class(join_rows(matches.select("question_id", "exact"), known))
+
+
+def executed(i: Inputs) -> DataFrame:
+    return E.execution_match(X.query_results(i.spark, i.sf_dir), X.executed_queries(i.spark, i.sf_dir))
 
 
 def train_eval_union(i: Inputs) -> DataFrame:
@@ -283,6 +286,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
         i.parsed, R.extract_reasoning_sql(X.corrected_responses(i.spark, i.sf_dir))),
     "schema_item_scores": lambda i: S.schema_item_scores(i.questions, i.catalog),
     "top_k_tables": lambda i: S.top_k_tables(i.scored),
+    "top_k_tables_three": lambda i: S.top_k_tables(i.scored, 3),  # a derived database holds five tables or more
     "top_k_columns": lambda i: S.top_k_columns(i.scored),
     "filtered_schema": lambda i: S.filtered_schema(i.scored),
     "top_k_tables_external": lambda i: S.external_top_tables(i.item_scores, 3),
@@ -296,13 +300,16 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "dataset_stats": lambda i: D.dataset_stats(i.annotations, i.scores),
     "attach_predictions": lambda i: i.attached,
     "exact_match": lambda i: E.exact_match(i.pairs),
-    "execution_match": lambda i: E.execution_match(X.query_results(i.spark, i.sf_dir), X.executed_queries(i.spark, i.sf_dir)),
+    "execution_match": executed,
     "annotation_rejects": lambda i: annotation_rejects(
         i.questions, i.catalog, X.link_responses(i.spark, i.sf_dir), X.class_responses(i.spark, i.sf_dir),
         X.sql_responses(i.spark, i.sf_dir)),
     "typed_export": typed_export,
     "default_missing": default_missing,
-    "accuracy_by_class": accuracy_by_class,
+    "accuracy_by_class": lambda i: _accuracy(i, E.exact_match(i.pairs)),
+    "accuracy_by_class_clauses": lambda i: _accuracy(i, E.all_clauses_match(E.clause_match(i.pairs))),
+    "accuracy_by_class_execution": lambda i: _accuracy(
+        i, executed(i).select(F.col("query_id").alias("question_id"), F.col("matches").alias("exact"))),
     "clause_match": lambda i: E.clause_match(i.pairs),
     "success_rate": lambda i: E.success_rate(i.questions, i.annotations),
     "stream_extract": stream_extract,

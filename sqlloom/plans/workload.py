@@ -78,7 +78,7 @@ def w_count_distinct(t: Tables) -> DataFrame:
 
 def w_sort_asc(t: Tables) -> DataFrame:
     rows = t("customer").select("c_custkey", "c_name", "c_acctbal")
-    return number_rows(rows, [F.asc("c_acctbal"), F.asc("c_custkey")], "rank")
+    return number_rows(rows, ["c_acctbal", "c_custkey"], "rank")
 
 
 def w_group_top1_count(t: Tables) -> DataFrame:
@@ -146,8 +146,7 @@ def w_join3_sorted(t: Tables) -> DataFrame:
         .select("c_name", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     )
     # lineitem has no unique key here, so all shown columns take part in the order
-    order = [F.asc(c) for c in rows.columns]
-    return number_rows(rows, order, "rank")
+    return number_rows(rows, rows.columns, "rank")
 
 
 def w_join_having_gt(t: Tables) -> DataFrame:
@@ -159,11 +158,12 @@ def w_join_having_gt(t: Tables) -> DataFrame:
 def w_not_in_self(t: Tables) -> DataFrame:
     events = t("events")
     clicks = events.where("event_type = 'click'").select("user_id").distinct()
-    return not_in(clicks, "user_id", events.where("event_type = 'purchase' AND value > 50"), "user_id")
+    return not_in(clicks, "user_id", events.where("event_type = 'purchase' AND value > 100"), "user_id")
 
 
 def w_not_in_other(t: Tables) -> DataFrame:
-    return not_in(t("customer").select("c_custkey", "c_name"), "c_custkey", t("orders"), "o_custkey")
+    large = t("orders").where("o_totalprice > 400000")
+    return not_in(t("customer").select("c_custkey", "c_name"), "c_custkey", large, "o_custkey")
 
 
 def w_distinct_lt_max(t: Tables) -> DataFrame:
@@ -217,7 +217,7 @@ def w_intersect(t: Tables) -> DataFrame:
 
 
 def w_except(t: Tables) -> DataFrame:
-    buyers = t("events").where("event_type = 'purchase' AND value > 50").select("user_id").distinct()
+    buyers = t("events").where("event_type = 'purchase' AND value > 100").select("user_id").distinct()
     return _users(t, "click").subtract(buyers)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.functions.ranking import number_rows
-from sqlloom.functions.relational import join_rows
 from sqlloom.operators.extract import norm_class
 
 
@@ -81,10 +80,9 @@ def write_evaluator_files(rows: DataFrame, pred_path: str, gold_path: str) -> No
 def transcript(samples: DataFrame) -> DataFrame:
     """Entries of prompt and answer, numbered in the order of the (unique) ``question_id``.
 
-    Only the keys are numbered; the text meets its number by a join.
+    The texts are worked out and moved once; the two passes before, for bounds and counts, read keys only.
     """
-    numbers = number_rows(samples.select("question_id"), [F.asc("question_id")], "sample_no")
-    rows = join_rows(samples.select("question_id", "sample", "answer"), numbers)
+    rows = number_rows(samples.select("question_id", "sample", "answer"), ["question_id"], "sample_no")
     return rows.select("sample_no", F.concat(
         F.lit("Sample "), F.col("sample_no").cast("string"), F.lit(":\n"), F.col("sample"),
         F.lit("\nGenerated SQL:\n"), F.coalesce("answer", F.lit("")), F.lit("\n"),

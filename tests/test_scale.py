@@ -85,12 +85,21 @@ def test_numbering_with_a_hot_value(spark):
     random.seed(7)
     data = [(5 if random.random() < 0.4 else random.randint(0, 50), i) for i in range(4000)]
     df = spark.createDataFrame(data, "v int, id long").repartition(7)
-    got = number_rows(df, [F.asc("v"), F.asc("id")], "n").collect()
+    got = number_rows(df, ["v", "id"], "n").collect()
     assert [(r["n"], r["v"], r["id"]) for r in got] == [(n, *vi) for n, vi in enumerate(sorted(data), 1)]
 
 
 def test_numbering_of_nothing(spark):
-    assert number_rows(spark.createDataFrame([], "v int"), [F.asc("v")], "n").collect() == []
+    assert number_rows(spark.createDataFrame([], "v int"), ["v"], "n").collect() == []
+
+
+def test_numbering_of_mixed_keys(spark):
+    data = [(None if i % 9 == 0 else f"k{i % 5}", float("nan") if i % 7 == 0 else i / 3, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "s string, d double, id long").repartition(5)
+    got = number_rows(df, ["s", "d", "id"], "n")
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1] != r[1], 0 if r[1] != r[1] else r[1], r[2]))
+    assert [r["id"] for r in got.collect()] == [r[2] for r in order]
+    assert [r["n"] for r in got.collect()] == list(range(1, 3001))
 
 
 @pytest.fixture
