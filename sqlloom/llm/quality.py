@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW_WORDS = 20, 30, 8
 _FLUSH = 300_000  # distinct words held before their n-grams are passed on
+_SLOTS = 1 << 20
 _LANG_SHIFT = 40  # a key holds five bytes below its language
 
 
@@ -72,6 +73,24 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[take[:len(codes)]], np.concatenate(([0], np.cumsum(sizes - ORDER + 1)[:-1])) if len(words) else first
 
 
+def text_key(text: str | Column) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``lang`` and ``text``, every text of a language once, so that copies weigh nothing.
+
+    Texts are compared by 128-bit hashes. Only those in a slot with a repeated hash are shuffled, after
+    each task has dropped its own copies; the slots are bounded whatever the input, and a text that
+    shares one by chance is shuffled for nothing but not lost.
+    """
+    keyed = docs.select("lang", "text", text_key("text").alias("_key")).withColumn("_slot", F.pmod(F.xxhash64("lang", "_key"), F.lit(_SLOTS)))
+    again = keyed.groupBy("lang", "_key", "_slot").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_slot").distinct()
+    slots = F.broadcast(stored(again, "quality-repeated"))
+    copies = keyed.join(slots, "_slot", "left_semi").dropDuplicates(["lang", "_key"])
+    return keyed.join(slots, "_slot", "left_anti").select("lang", "text").unionAll(copies.select("lang", "text"))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """``lang``, ``code`` and ``n`` over all documents: words are counted in the task, their n-grams pre-aggregated."""
 
@@ -217,13 +236,16 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *whole, T.StructField("log10", T.DoubleType())]))
 
 
-def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> DataFrame:
+def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005, least: float = 0.1) -> DataFrame:
     """Lower and upper log10 perplexity for each language: its median, and ``spread`` median deviations to either side.
 
+    Every distinct text counts once, or one text with over half of a language's rows would shrink the band
+    to itself. A side reaches ``least`` at the least; at sf0.1, 98 in 100 texts of a language lie within 0.08 of the median.
     Both medians are read off a histogram, so no language is gathered in a task and the bands do not
     depend on the order of rows.
     """
-    base = measured.where(~F.col("base_failed") & F.col("ppl").isNotNull()).select(F.col("row")["lang"].alias("lang"), "ppl")
+    base = measured.where(~F.col("base_failed") & F.col("ppl").isNotNull()).groupBy(F.col("row")["lang"].alias("lang"), "_key").agg(F.min("ppl").alias("ppl"))
+    base = stored(base.select("lang", "ppl"), "quality-texts")
 
     def median(df: DataFrame, value: str, name: str) -> DataFrame:
         bins = df.groupBy("lang", F.round(F.col(value) / grain).cast("bigint").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
@@ -234,7 +256,7 @@ def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> Dat
     middle = median(base, "ppl", "_mid")
     off = base.join(middle, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", F.abs(F.col("ppl") - F.col("_mid")).alias("_off"))
     wide = median(off, "_off", "_dev")
-    reach = spread * (F.col("_dev") + grain)
+    reach = F.greatest(spread * (F.col("_dev") + grain), F.lit(least))
     return middle.join(wide.withColumnRenamed("_l", "_l2"), F.col("_l").eqNullSafe(F.col("_l2"))).select(
         F.col("_l").alias("_lang"), (F.col("_mid") - reach).alias("low"), (F.col("_mid") + reach).alias("high"))
 
@@ -242,7 +264,7 @@ def bands(measured: DataFrame, spread: float = 8.0, grain: float = 0.005) -> Dat
 def quality(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     """``row`` (the document's columns, so no name can clash), counts, ``base_failed``, ``ppl`` (log10 perplexity a byte) and ``kept``.
 
-    Counts of byte 5-grams inside words are taken by Spark over all documents, for each value of ``lang``; the
+    Counts of byte 5-grams inside words are taken by Spark over all distinct texts of each value of ``lang``; the
     model built from them has as many entries as there are distinct 5-grams, which text of one script bounds at
     some hundred thousand a language, and is broadcast.  A document is kept if the base rules hold and its
     perplexity lies within the band of its language.
@@ -250,14 +272,14 @@ def quality(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     A null or empty text has no words and fails the base rules; a null ``lang`` is a language of its own; a
     null ``doc_id``, repeated rows and extra columns do no harm; an empty table gives an empty result.
     """
-    model = fit(count_grams(docs).toArrow())
+    model = fit(count_grams(distinct_texts(docs)).toArrow())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     measured = stored(measure(docs, model).withColumn("base_failed", failed).withColumn(
-        "ppl", F.when(F.col("n_bytes") > 0, -F.col("log10") / F.col("n_bytes"))), "quality")
+        "ppl", F.when(F.col("n_bytes") > 0, -F.col("log10") / F.col("n_bytes"))).withColumn("_key", text_key(F.col("row")["text"])), "quality")
     limits = F.broadcast(bands(measured, spread))  # one row for each language
     joined = measured.join(limits, F.col("row")["lang"].eqNullSafe(F.col("_lang")), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return joined.select(*measured.columns, "low", "high", kept.alias("kept"))
+    return joined.select(*measured.drop("_key").columns, "low", "high", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, spread: float = 8.0) -> DataFrame:

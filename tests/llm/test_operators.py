@@ -161,6 +161,17 @@ def test_quality_counts_and_probabilities(docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_copies_of_one_text_leave_the_band_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de'").select("doc_id", "text", "lang")
+    one = docs.where("length(text) BETWEEN 800 AND 1500").orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(3 * docs.count())).select((F.col("id") + 10**7).alias("doc_id"), "text", "lang")
+    assert quality.distinct_texts(docs.unionAll(copies)).count() == docs.select("text").distinct().count()
+    rows = lambda df: {r.doc_id: (r.kept, round(r.low, 9), round(r.high, 9)) for r in quality.quality(df).where("row.doc_id < 10000000").select("row.doc_id", "kept", "low", "high").collect()}
+    alone = rows(docs)
+    assert rows(docs.unionAll(copies)) == alone and sum(k for k, *_ in alone.values()) > 100
+    assert all(high - low >= 0.2 - 1e-9 for _, low, high in alone.values())
+
+
 def test_trie_holds_the_model():
     rng = np.random.default_rng(0)
     words = [bytes(rng.choice(list(b"abcd"), rng.integers(1, 7))) for _ in range(2000)]
