@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sqlloom.llm.common import stored
 
 _BLOCK = 4096  # rows of a leaf that are compared at a time
+_PROBES, _RECALL = 200, 0.95  # queries whose neighbours are found by full comparison, and the share of them that the forest has to meet
 
 
 @dataclass
@@ -77,6 +78,59 @@ def search_leaves(forest: list[Tree], x: np.ndarray, visits: int) -> list[tuple[
     return found
 
 
+def leaf_margins(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """For every row and leaf the largest margin on the way to it; one queue visits leaves in this order."""
+    if not len(tree.cuts):
+        return np.full((len(x), 1), -np.inf)
+    sides = x @ tree.normals.T - tree.cuts
+    inner, leaves = np.full((len(tree.cuts), len(x)), -np.inf), np.full((len(tree.cuts) + 1, len(x)), -np.inf)
+    for node, below_above in enumerate(tree.children):  # a node comes before its children
+        for child, room in zip(below_above, (-sides[:, node], sides[:, node])):
+            margin = np.maximum(inner[node], -room)
+            if child < 0:
+                leaves[-child - 1] = margin
+            else:
+                inner[child] = margin
+    return leaves.T
+
+
+def needed_visits(forest: list[Tree], probes: np.ndarray, owner: np.ndarray, near: np.ndarray, recall: float) -> int:
+    """The leaves to visit until ``recall`` of all neighbours (rows of ``near``, of the probes ``owner``) are met in some tree."""
+    margins = [leaf_margins(t, probes) for t in forest]
+    order = np.sort(np.concatenate(margins, axis=1), axis=1)
+    first = np.min([m[owner, leaves_of(t, near)] for t, m in zip(forest, margins)], axis=0)
+    needed = np.sort([np.searchsorted(order[o], f, side="right") for o, f in zip(owner, first)])
+    return int(needed[int(np.ceil(recall * len(needed))) - 1])
+
+
+def true_neighbours(classes: DataFrame, firsts: np.ndarray, probes: np.ndarray, k: int) -> pa.Table:
+    """``probe``, ``first`` and ``v`` of the k best other classes for each probe, by comparison with every class."""
+    box = classes.sparkSession.sparkContext.broadcast((firsts, probes))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = box.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            score = asked @ _unit(batch.column(1), len(ids)).T
+            score[own[:, None] == ids] = -np.inf
+            near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            at = pa.array(near.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own), dtype=np.int32), near.shape[1])), batch.column(0).take(at),
+                                              pa.array(np.take_along_axis(score, near, axis=1).ravel()), batch.column(1).take(at)], names=["probe", "first", "score", "v"])
+
+    kind = classes.schema["v"].dataType.simpleString()
+    found = classes.select("first", "v").mapInArrow(best, f"probe int, first bigint, score double, v {kind}").where("score > double('-infinity')")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "first")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("probe", "first", "v").toArrow()
+
+
+def _unit(vectors: pa.Array, n: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine in double precision, summed in the same order for equal rows."""
     return (rows * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
@@ -128,9 +182,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, trees: int = 8, visits:
 
     The forest is fitted on at most ``sample_rows`` vectors (those with the smallest hash) that come to the driver; it
     splits until a leaf stands for about ``leaf_rows`` of all rows, or for eight of the sample.  Every row is put into its
-    leaf of every tree.  The defaults find over nine in ten of the true neighbours among fifty thousand vectors without
-    clusters, the hardest case; clustered vectors need fewer ``visits``.  A query takes ``visits`` leaves in the order of one priority queue shared by all
-    trees, and the rows of these leaves are compared exactly on the original vectors.
+    leaf of every tree.  A query takes leaves in the order of one priority queue shared by all trees, and the rows of these
+    leaves are compared exactly on the original vectors.  It takes ``visits`` leaves, or as many more as a fixed number of probes
+    (queries of the smallest hash, compared with every row) need until 95 in 100 of their true neighbours are met; so
+    recall holds at every table size.  Vectors without clusters, the hardest case, need a fixed share of all leaves.
 
     Equal vectors are one class in the index: it stands for its k + 1 smallest identifiers, which is all that a
     ranking with ties to the smaller identifier can use, so a vector that many rows share is no large leaf.
@@ -155,8 +210,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, trees: int = 8, visits:
     box = spark.sparkContext.broadcast(forest)  # bounded by trees x sample_rows / 8 nodes
 
     def unit(batch: pa.RecordBatch, at: int) -> np.ndarray:
-        x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return _unit(batch.column(at), batch.num_rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +233,12 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, trees: int = 8, visits:
     wanted = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v")
     asked = wanted.join(slim.hint("merge"), "v").select("query_id", "first", "v")
     asked = stored(asked, "vector-queries")
+    drawn = asked.select("first", "v").distinct().orderBy(F.xxhash64(F.lit(seed + 1), "first"), "first").limit(_PROBES).toArrow()
+    if drawn.num_rows and kinds > 1:
+        probes = _unit(drawn["v"].combine_chunks(), drawn.num_rows)
+        truth = true_neighbours(slim, drawn["first"].to_numpy(), probes, k)
+        near_truth = _unit(truth["v"].combine_chunks(), truth.num_rows)
+        visits = max(visits, needed_visits(forest, probes, truth["probe"].to_numpy(), near_truth, _RECALL))
     index = slim.mapInArrow(place, kind)
     sizes = index.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * max(leaf_rows, 8 * kinds // len(points)))
     cut = [(r["tree"], r["leaf"], -(-r["n"] // (2 * leaf_rows))) for r in sizes.collect()]  # fewer rows than leaves

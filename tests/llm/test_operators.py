@@ -77,6 +77,27 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(df.where("vec_id < 0"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_neighbours_recall_with_many_leaves(spark):
+    x = np.random.default_rng(4).normal(size=(4000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.nearest(df, lambda i: i % 50 == 0, visits=20, leaf_rows=16).collect()
+    x = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    score = x[::50] @ x.T
+    score[np.arange(80), np.arange(0, 4000, 50)] = -9
+    top = {(50 * q, int(v)) for q, row in enumerate(np.argsort(-score, axis=1)[:, :5]) for v in row}
+    assert len(top & {(r.query_id, r.vec_id) for r in found}) >= 0.9 * len(top)
+
+
+def test_margins_give_the_order_of_the_queue():
+    rng = np.random.default_rng(6)
+    forest = [neighbours.grow_tree(rng.normal(size=(300, 6)), 8, rng) for _ in range(3)]
+    for x in rng.normal(size=(5, 6)):
+        flat = [(m, t, i) for t, tree in enumerate(forest) for i, m in enumerate(neighbours.leaf_margins(tree, x[None])[0])]
+        margin = {(t, i): m for m, t, i in flat}
+        visited = neighbours.search_leaves(forest, x, len(flat))
+        assert [margin[v] for v in visited] == pytest.approx(sorted(m for m, *_ in flat)) and len(set(visited)) == len(flat)
+
+
 def test_personal_data_against_plain_patterns(docs, empty):
     for r in pii.find_spans(docs).collect():
         line = ",".join(f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in r.spans if s.kind < 4)
