@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import chat, langid, neighbours, packing, pieces, pii, quality, scoring, sharding, simhash
+from sqlloom.llm import bpe, chat, langid, neighbours, packing, pieces, pii, quality, scoring, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -92,6 +92,12 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), with_decoded=True)
+    return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_rp_forest": op2_rp_forest,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_shuffle_shards": op10_shuffle_shards,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
