@@ -23,6 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"path": path})
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table made by ``stored`` once more, with columns of its own, to meet itself in a cogroup."""
+    return df.sparkSession.read.schema(df.schema).parquet(df.schema[0].metadata["path"])
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``stored`` that no later step reads."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import bpe, chat, langid, neighbours, packing, pieces, pii, quality, scoring, sharding, simhash
+from sqlloom.llm import bpe, chat, langid, neighbours, packing, phrases, pieces, pii, quality, scoring, sharding, simhash
 from sqlloom.llm.common import held_out, table, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -92,6 +92,10 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), with_decoded=True)
     return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_shuffle_shards": op10_shuffle_shards,
+    "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
 
@@ -128,4 +133,40 @@ ORACLE_SQL: dict[str, str] = {
             FROM source GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
                CAST(plain_chars + openings AS BIGINT) AS formatted_chars FROM joined""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        runs AS (
+            SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') AS words FROM pieces),
+        tokens AS (SELECT lang, piece, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM runs),
+        totals AS (SELECT lang, count(*) AS n FROM tokens GROUP BY lang),
+        spread AS (
+            SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5
+            FROM tokens WINDOW p AS (PARTITION BY piece ORDER BY i)),
+        grams AS (
+            SELECT lang, unnest([1, 2, 3, 4, 5]) AS size,
+                   unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4,
+                           w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5]) AS gram
+            FROM spread),
+        counts AS MATERIALIZED (SELECT lang, size, string_split(gram, ' ') AS gram, count(*) AS a FROM grams WHERE gram IS NOT NULL GROUP BY lang, size, gram HAVING count(*) >= 100),
+        halves AS MATERIALIZED (
+            SELECT *, gram[1:k] AS head, gram[k + 1:size] AS tail FROM counts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < size),
+        cuts AS (
+            SELECT h.lang, h.gram, h.a, k, l.a AS l, r.a AS r
+            FROM halves h JOIN counts l ON l.lang = h.lang AND l.gram = h.head JOIN counts r ON r.lang = h.lang AND r.gram = h.tail),
+        scored AS (
+            SELECT cuts.*, n, CAST((1000::HUGEINT * a * n) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts JOIN totals USING (lang)),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+        inner_grams AS (
+            SELECT lang, a, unnest(list_transform(range(1, size - s + 2), lambda i: gram[i:i + s - 1])) AS gram
+            FROM counts, (SELECT unnest([2, 3, 4]) AS s) WHERE s < size),
+        covered AS (SELECT lang, gram, max(a) AS most FROM inner_grams GROUP BY lang, gram),
+        ranked AS (
+            SELECT w.lang, array_to_string(w.gram, ' ') AS phrase, w.a, l, r, n, score FROM weakest w
+            LEFT JOIN covered c ON c.lang = w.lang AND c.gram = w.gram WHERE c.most IS NULL OR 100 * c.most < 100 * w.a)
+        SELECT * FROM (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked)
+        WHERE rank <= 2000""",
 }
