@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlloom.llm import quotient
-from sqlloom.llm.common import reread, stored, utf8
+from sqlloom.llm.common import numbered_rows, reread, stored, utf8
 
 _BLOCK_BYTES = 16 << 20  # text that shares one local dictionary
 _BREAK = b"\xff"  # never a byte of UTF-8; stands for the end of a piece
@@ -72,16 +72,6 @@ def _coded_blocks(docs: DataFrame) -> DataFrame:
         run, "block bigint, lang string, word string, code int, n bigint, codes binary")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``id``, 1 to the number of rows of a stored table; the driver sees one number for each of its partitions."""
-    at = F.monotonically_increasing_id()
-    part, place = F.shiftright(at, 33).alias("_part"), (at.bitwiseAND((1 << 33) - 1)).alias("_place")
-    rows = df.select("*", part, place)
-    before = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
-        "_part", "coalesce(sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
-    return rows.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias("id"))
-
-
 def _filters(ids: np.ndarray, usable: np.ndarray, orders: range, bits: int, shards: int, block: int) -> Iterator[tuple]:
     """Rows (block, order, shard, filter) of the n-grams of a block; ``usable`` marks the neighbours that may be part of one."""
     for n in orders:
@@ -179,7 +169,7 @@ def frequent_ngrams(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
     words = coded.where("codes IS NULL").select("block", "lang", "word", "code", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    vocabulary = stored(_numbered(stored(often, "phrases-often")), "phrases-vocabulary")
+    vocabulary = stored(numbered_rows(stored(often, "phrases-often")), "phrases-vocabulary")
     bits = max(vocabulary.count().bit_length(), 1)
     quotient.Packing(longest, bits)  # refuses more words than it can number
     names = words.join(vocabulary.select("lang", "word", "id").hint("merge"), ["lang", "word"]).select("block", "code", "id")

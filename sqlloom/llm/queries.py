@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import bpe, chat, langid, neighbours, packing, phrases, pieces, pii, quality, scoring, sharding, simhash
-from sqlloom.llm.common import held_out, table, text_of
+from sqlloom.llm import bpe, chat, langid, neighbours, packing, phrases, pieces, pii, quality, scoring, sharding, simhash, turns
+from sqlloom.llm.common import held_out, stored, table, text_of
 
 SEQUENCE_TOKENS = 2048
 
@@ -92,6 +92,11 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = stored(turns.numbered_turns(table(spark, sf_dir, "conversations")), "trie-ordered")
+    return turns.prefix_trie(*turns.with_shared_heads(ordered))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_shuffle_shards": op10_shuffle_shards,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
@@ -169,4 +175,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT * FROM (
             SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked)
         WHERE rank <= 2000""",
+    # crc32 bit by bit: each digit is a step of its own and eight shifts
+    "op11_prefix_trie": r"""
+        WITH ordered AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        members AS (
+            SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+                string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x:
+                CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM ordered),
+        rebuilt AS (
+            SELECT m.conv_id, place, role, text FROM members m JOIN ordered o ON o.conv_id = m.base WHERE place <= h
+            UNION ALL SELECT m.conv_id, place + 4, role, text FROM members m JOIN ordered o ON o.conv_id = m.conv_id WHERE place > h),
+        convs AS (
+            SELECT m.conv_id, coalesce(t, []) AS t, coalesce(w, []) AS w FROM members m LEFT JOIN (
+                SELECT conv_id, list(length(role) || ':' || role || text ORDER BY place) AS t,
+                       list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY place) AS w FROM rebuilt GROUP BY conv_id) USING (conv_id)),
+        prefixes AS (
+            SELECT conv_id, d, t[1:d] AS p, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS words, len(t) = d AS ends
+            FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM convs)),
+        nodes AS MATERIALIZED (
+            SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(words) AS saved,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS members FROM prefixes GROUP BY p, d),
+        children AS MATERIALIZED (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+        above AS (
+            SELECT n.p[1:k] AS p, sum(saved) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+            FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.p = n.p GROUP BY 1)
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+               CAST(a.saved AS BIGINT) AS saved_tokens, sha256(n.members) AS ends_sha256
+        FROM nodes n JOIN above a ON a.p = n.p LEFT JOIN children c ON c.p = n.p LEFT JOIN nodes u ON n.d > 0 AND u.p = n.p[1:n.d - 1]""",
 }
