@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.functions.arrays import let
 from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import normalise_sql, outside_literals
 
@@ -78,17 +79,16 @@ def accuracy_by_class(matches: DataFrame) -> DataFrame:
     )
 
 
-# Where a clause begins and ends in a lower-cased query, and what separates its parts.
-_TAIL = (" where ", " group by ", " having ", " order by ", " limit ")
-_CLAUSES = {
-    "select": ("^select ", (" from ",), ","),
-    "from": (" from ", _TAIL, " join |,"),
-    "where": (" where ", _TAIL[1:], " and | or "),
-    "group": (" group by ", _TAIL[2:], ","),
-    "having": (" having ", _TAIL[3:], " and | or "),
-    "order": (" order by ", _TAIL[4:], ","),
+# Clauses of the result; ``nested`` holds the parts of sub-queries, ``set`` those behind a set operation.
+CLAUSES = ("select", "from", "where", "group", "having", "order", "connective", "set", "nested")
+# Tokens of a lower-cased query that are no plain words, by kind; an opening brace with SELECT is a ``query``.
+_TOKENS = {
+    "open": ["("], "close": [")"], "comma": [","], "connective": ["and", "or"], "join": ["join"],
+    "clause": ["select", "from", "where", "group by", "having", "order by", "limit"], "set": ["union", "union all", "intersect", "except"],
 }
-_SET_OPERATION = " (union|intersect|except) "
+_TOKEN = r"\(\s*+select\b|[(),]|\b(?:group by|order by|union all)\b|[^\s(),]++"
+_FRAME = "struct<path:string,clause:string,kind:string,text:string>"
+_PART = "struct<path:string,clause:string,text:string>"
 
 
 def _comparable(sql: Column) -> Column:
@@ -100,32 +100,96 @@ def _comparable(sql: Column) -> Column:
     return F.regexp_replace(masked, r" between (\S+) and ", " between $1 ~ ")
 
 
+def _tokens(query: Column) -> Column:
+    """Array of (kind, text)."""
+    def kind(t: Column) -> Column:
+        out = F.when(t.endswith("select") & t.startswith("("), "query")
+        for name, words in _TOKENS.items():
+            out = out.when(t.isin(words), name)
+        return out.otherwise("word")
+
+    return F.transform(F.regexp_extract_all(query, F.lit(_TOKEN), F.lit(0)), lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
+
+
+def _query_parts(query: Column) -> Column:
+    """Array of (path, clause, text) of a comparable query: one pass over its tokens with a stack.
+
+    The state is the open frame, the frames around it and the parts so far.  A frame is a query, a condition in
+    parentheses, or other parentheses, whose text belongs to the part around them.  Each part carries the path of its query: the clauses that
+    sub-queries stand in, the set operations before it and the parentheses of conditions.  A query in
+    parentheses that begins the text, or follows a set operation, is no sub-query.
+    """
+    none = F.array().cast(f"array<{_PART}>")
+
+    def frame(path: Column, clause: Column, kind: Column, text: Column) -> Column:
+        return F.struct(path.alias("path"), clause.alias("clause"), kind.alias("kind"), text.alias("text"))
+
+    def state(top: Column, stack: Column, out: Column) -> Column:
+        return F.struct(top.alias("top"), stack.alias("stack"), out.alias("out"))
+
+    def part(path: Column, clause: Column, text: Column) -> Column:
+        return F.array(F.struct(path.alias("path"), clause.alias("clause"), text.alias("text")))
+
+    def flushed(s: Column) -> Column:
+        return F.when(s["top"]["text"] != "", F.concat(s["out"], part(s["top"]["path"], s["top"]["clause"], s["top"]["text"]))).otherwise(s["out"])
+
+    def longer(text: Column, more: Column | str) -> Column:
+        return F.ltrim(F.concat_ws(" ", text, F.lit(more) if isinstance(more, str) else more))
+
+    def step(s: Column, token: Column) -> Column:
+        path, clause, kind, text = (s["top"][f] for f in ("path", "clause", "kind", "text"))
+        word, blank = token["text"], F.lit("")
+        is_query = kind == "query"
+        in_conditions = (kind != "other") & clause.isin("where", "having")
+        follows = clause.isin("", "set") & is_query
+        around = F.when(follows, s["top"]).otherwise(frame(path, clause, kind, longer(text, "(query)")))
+        as_word = state(frame(path, clause, kind, longer(text, word)), s["stack"], s["out"])
+        return (
+            F.when(token["kind"] == "word", F.when((word == "distinct") & is_query & (clause == "select") & (text == ""), state(
+                s["top"], s["stack"], F.concat(s["out"], part(path, clause, word)))).otherwise(as_word))
+            .when(token["kind"] == "query", state(
+                frame(F.when(follows, path).otherwise(F.concat(path, clause, F.lit("/"))), F.lit("select"), F.lit("query"), blank),
+                F.concat(s["stack"], F.array(around)), s["out"]))
+            .when((token["kind"] == "open") & in_conditions & text.isin("", "not"), state(
+                frame(F.concat(path, text, F.lit("(")), clause, F.lit("condition"), blank),
+                F.concat(s["stack"], F.array(frame(path, clause, kind, blank))), s["out"]))
+            .when(token["kind"] == "open", state(
+                frame(path, clause, F.lit("other"), longer(text, "(")), F.concat(s["stack"], F.array(s["top"])), s["out"]))
+            .when((token["kind"] == "close") & (F.size(s["stack"]) > 0), F.transform(F.array(F.element_at(s["stack"], -1)), lambda o: state(
+                F.when(kind == "other", frame(o["path"], o["clause"], o["kind"], longer(text, ")"))).otherwise(o),
+                F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1), F.when(kind == "other", s["out"]).otherwise(flushed(s))))[0])
+            .when(((token["kind"] == "comma") & is_query & clause.isin("select", "from", "group by", "order by")) | ((token["kind"] == "join") & is_query & (clause == "from")),
+                  state(frame(path, clause, kind, blank), s["stack"], flushed(s)))
+            .when((token["kind"] == "connective") & in_conditions, state(
+                frame(path, clause, kind, blank), s["stack"], F.concat(flushed(s), part(path, F.lit("connective"), word))))
+            .when((token["kind"] == "clause") & is_query, state(frame(path, word, kind, blank), s["stack"], flushed(s)))
+            .when((token["kind"] == "set") & is_query, state(
+                frame(F.concat(path, word, F.lit("/")), F.lit("set"), kind, blank), s["stack"], F.concat(flushed(s), part(path, F.lit("set"), word))))
+            .otherwise(as_word)
+        )
+
+    start = state(frame(*[F.lit(v) for v in ("", "", "query", "")]), F.array().cast(f"array<{_FRAME}>"), none)
+    return F.aggregate(_tokens(query), start, step, flushed)
+
+
 def _clause_parts(query: Column) -> Column:
     """Array of (clause, distinct parts) of a comparable query.
 
-    Clauses are those of the first query; a set operation and what follows is a clause of
-    its own, unless it stands inside parentheses.  DISTINCT is a part of the select clause and
-    the connectives of WHERE and HAVING are a clause, so that the order of conditions does not count.
+    The clauses of the outer query come first.  A part behind a set operation belongs to ``set`` and one of a sub-query to
+    ``nested``, each with its path and clause, so these are compared part by part, too.  DISTINCT is a part of the select clause and the
+    connectives of WHERE and HAVING are a clause, so that the order of conditions does not count.
     """
-    head = F.regexp_extract(query, f"^(.*?){_SET_OPERATION}", 1)
-    opened = F.length(F.replace(head, F.lit(")"), F.lit(""))) - F.length(F.replace(head, F.lit("("), F.lit("")))
-    first = F.when(query.rlike(_SET_OPERATION) & (opened == 0), head).otherwise(query)
-    first = F.regexp_replace(first, "^select distinct ", "select distinct,")
-
-    def body(name: str) -> Column:
-        start, ends, _ = _CLAUSES[name]
-        return F.regexp_extract(first, f"{start}(.*?)({'|'.join(ends)}|$)", 1)
-
-    def clause(name: str, parts: Column) -> Column:
-        trimmed = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-        return F.struct(F.lit(name).alias("clause"), F.array_distinct(trimmed).alias("parts"))
-
-    conditions = F.concat(body("where"), F.lit(" "), body("having"))
-    return F.array(
-        *[clause(n, F.split(body(n), separator)) for n, (_, _, separator) in _CLAUSES.items()],
-        clause("connective", F.regexp_extract_all(conditions, F.lit(" (and|or) "), 1)),
-        clause("set", F.array(F.when(F.length(first) < F.length(query), F.substr(query, F.length(first) + 1)).otherwise(""))),
-    )
+    def placed(p: Column) -> Column:
+        place = F.when(F.contains(p["path"], F.lit("/")) & p["path"].rlike("(select|from|where|group by|having|order by|limit)/"), "nested").when(
+            F.contains(p["path"], F.lit("/")), "set").otherwise(F.substring_index(p["clause"], " ", 1))
+        text = F.concat(p["path"], F.when(place.isin("nested", "set"), F.concat(p["clause"], F.lit(" "))).otherwise(""), p["text"])
+        return F.struct(place.alias("clause"), text.alias("text"))
+
+    def of(parts: Column, name: str) -> Column:
+        own = F.transform(F.filter(parts, lambda p: p["clause"] == name), lambda p: p["text"])
+        return F.struct(F.lit(name).alias("clause"), F.array_distinct(own).alias("parts"))
+
+    return let(F.transform(_query_parts(query), placed), lambda parts: F.array(*[of(parts, n) for n in CLAUSES]))
 
 
 def clause_match(pairs: DataFrame) -> DataFrame:

@@ -217,11 +217,10 @@ CTES: dict[str, str] = {
         UNION ALL SELECT db_id, tab_idx, tname, col_idx, cname, cname FROM dbc""",
     "item_tokens": """SELECT DISTINCT db_id, tab_idx, col_idx, token FROM
         (SELECT db_id, tab_idx, col_idx, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS token FROM items) WHERE token <> ''""",
-    "token_weight": "SELECT db_id, token, 1::DOUBLE / count(*) AS w FROM item_tokens GROUP BY ALL",
     "asked_tokens": """SELECT DISTINCT question_id, db_id, token FROM
         (SELECT question_id, db_id, unnest(string_split_regex(lower(question), '[^a-z0-9]+')) AS token FROM q) WHERE token <> ''""",
-    "hits": """SELECT question_id, tab_idx, coalesce(col_idx, -1) AS k, sum(w) AS s FROM asked_tokens JOIN item_tokens USING (db_id, token)
-        JOIN token_weight USING (db_id, token) GROUP BY ALL""",
+    "weighted": """SELECT db_id, token, tab_idx, coalesce(col_idx, -1) AS k, 1::DOUBLE / count(*) OVER (PARTITION BY db_id, token) AS w FROM item_tokens""",
+    "hits": """SELECT question_id, tab_idx, k, sum(w) AS s FROM asked_tokens JOIN weighted USING (db_id, token) GROUP BY ALL""",
     "item_score": """SELECT q.question_id, i.tab_idx, i.table_name, i.col_idx, i.column_name, round(coalesce(h.s, 0), 6) AS score
         FROM q JOIN items i ON i.db_id = q.db_id LEFT JOIN hits h ON h.question_id = q.question_id AND h.tab_idx = i.tab_idx
             AND h.k = coalesce(i.col_idx, -1)""",
@@ -255,22 +254,25 @@ _EXT_TABLES, _EXT_COLUMNS = _ranked("outside_score", 3, 4)
 
 
 def _clause_sql() -> str:
-    """Parts of each clause as lists, then set sizes."""
-    def body(start: str, *ends: str) -> str:
-        return f"regexp_extract(one, '{start}(.*?)({'|'.join([*ends, '$'])})', 1)"
-
-    where = body(" where ", " group by ", " having ", " order by ", " limit ")
-    having = body(" having ", " order by ", " limit ")
-    lists = {
-        "select": f"string_split({body('^select ', ' from ')}, ',')",
-        "from": f"string_split_regex({body(' from ', ' where ', ' group by ', ' having ', ' order by ', ' limit ')}, ' join |,')",
-        "where": f"string_split_regex({where}, ' and | or ')",
-        "group": f"string_split({body(' group by ', ' having ', ' order by ', ' limit ')}, ',')",
-        "having": f"string_split_regex({having}, ' and | or ')",
-        "order": f"string_split({body(' order by ', ' limit ')}, ',')",
-        "connective": f"regexp_extract_all({where} || ' ' || {having}, ' (and|or) ', 1)",
-        "set": "[tail]",
-    }
+    """Parts of each clause as lists, then set sizes.  A derived query has one sub-query at most."""
+    def bodies(query: str) -> dict[str, str]:
+        def body(start: str, *ends: str) -> str:
+            return f"regexp_extract({query}, '{start}(.*?)({'|'.join([*ends, '$'])})', 1)"
+
+        where = body(" where ", " group by ", " having ", " order by ", " limit ")
+        having = body(" having ", " order by ", " limit ")
+        return {
+            "select": f"string_split({body('^select ', ' from ')}, ',')",
+            "from": f"string_split_regex({body(' from ', ' where ', ' group by ', ' having ', ' order by ', ' limit ')}, ' join |,')",
+            "where": f"string_split_regex({where}, ' and | or ')",
+            "group": f"string_split({body(' group by ', ' having ', ' order by ', ' limit ')}, ',')",
+            "having": f"string_split_regex({having}, ' and | or ')",
+            "order": f"string_split({body(' order by ', ' limit ')}, ',')",
+            "connective": f"regexp_extract_all({where} || ' ' || {having}, ' (and|or) ', 1)",
+        }
+
+    inner = [f"list_transform(list_filter({parts}, lambda x: trim(x) <> ''), lambda x: {lit(n)} || ' ' || trim(x))" for n, parts in bodies("sub").items()]
+    lists = bodies("one") | {"set": "[tail]", "nested": f"flatten([{', '.join(inner)}])"}
     sides = " UNION ALL ".join(
         f"SELECT question_id, {lit(n)} AS clause, side, unnest({parts}) AS part FROM cut" for n, parts in lists.items())
     names = ", ".join(f"({lit(n)})" for n in lists)
@@ -285,9 +287,11 @@ def _clause_sql() -> str:
                 UNION ALL SELECT question_id, 'p', coalesce(pred_sql, '') FROM pairs),
             norm AS (SELECT question_id, side, regexp_replace({masked}, ' between (\\S+) and ', ' between \\1 ~ ', 'g') AS t FROM both_sides),
             split_ AS (SELECT *, string_split_regex(t, {word})[1] AS head FROM norm),
-            cut AS (SELECT question_id, side, CASE WHEN closed THEN substr(t, length(head) + 1) ELSE '' END AS tail,
+            outer_ AS (SELECT question_id, side, CASE WHEN closed THEN substr(t, length(head) + 1) ELSE '' END AS tail,
                     regexp_replace(CASE WHEN closed THEN head ELSE t END, '^select distinct ', 'select distinct,') AS one
                 FROM (SELECT *, length(replace(head, '(', '')) = length(replace(head, ')', '')) AS closed FROM split_)),
+            cut AS (SELECT question_id, side, tail, regexp_replace(one, '\\(select [^()]*(\\([^()]*\\)[^()]*)*\\)', '(query)') AS one,
+                    regexp_extract(one, '\\((select [^()]*(\\([^()]*\\)[^()]*)*)\\)', 1) AS sub FROM outer_),
             rows_ AS (SELECT DISTINCT question_id, clause, side, lower(trim(part)) AS part FROM ({sides}) WHERE trim(part) <> ''),
             one AS (SELECT question_id, clause, part, count(*) FILTER (side = 'g') AS g, count(*) FILTER (side = 'p') AS p
                     FROM rows_ GROUP BY ALL)

@@ -7,35 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlloom import schemas
+from sqlloom.sources.json_spans import read_records
 
 
-def read_catalog(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Nested catalog records; display copies of the names are not read.
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Nested catalog records of a JSON list or of lines, cut in parallel; display copies of the names are not read.
 
-    A JSON list in one file is one task (``multi_line=True``); one record per
-    line is split over many.
+    What is no record is left out here; ``unreadable_records`` gives it.
     """
-    return spark.read.schema(schemas.RAW_CATALOG).option("multiLine", multi_line).json(path)
+    return read_records(spark, path, schemas.RAW_CATALOG).where("rejected IS NULL").drop("rejected")
 
 
-def read_questions(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Questions under the names the prompt builder uses."""
-    return spark.read.schema(schemas.QUESTIONS).option("multiLine", multi_line).json(path).select(
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions under the names the prompt builder uses, from a JSON list or lines, cut in parallel."""
+    return read_records(spark, path, schemas.QUESTIONS).where("rejected IS NULL").select(
         "question_id", F.col("db_id").alias("database"), "question", F.col("query").alias("sql"))
 
 
-def unreadable_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lines that do not hold one record of the schema, with their file.
+def unreadable_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``rejected``: the text of each part of JSON files that is not a record of the schema.
 
-    The readers give such a line as a row of nulls; a list over many lines, which needs
-    ``multi_line=True``, shows up here with all its lines.
+    ``read_records`` gives records and rejects in one scan.
     """
-    mark = T.StructType([*schema.fields, T.StructField("_unreadable", T.StringType())])
-    record = F.from_json("value", mark, {"columnNameOfCorruptRecord": "_unreadable"})
-    return (
-        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", record.alias("r"))
-        .where(F.col("r._unreadable").isNotNull()).select("file", F.col("value").alias("line"))
-    )
+    return read_records(spark, path, schema).where("rejected IS NOT NULL").select("rejected")
 
 
 def read_columnar_json(spark: SparkSession, path: str, columns: list[str] | T.StructType) -> DataFrame:

@@ -375,6 +375,44 @@ def test_clause_match_cases(spark, gold, pred, clause, f1):
     assert E.clause_match(df).where(F.col("clause") == clause).first()["f1"] == f1
 
 
+@pytest.mark.parametrize("gold, pred, clause, f1", [
+    # a sub-query is one part of its clause, and its own clauses are compared apart
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1) GROUP BY a", "SELECT a FROM t WHERE b IN (SELECT c FROM u) GROUP BY a", "where", 1.0),
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1) GROUP BY a", "SELECT a FROM t WHERE b IN (SELECT c FROM u) GROUP BY a", "nested", 0.8),
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1) GROUP BY a", "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1) GROUP BY a", "group", 1.0),
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u GROUP BY d)", "SELECT a FROM t GROUP BY d", "group", 0.0),
+    # the place of a sub-query counts
+    ("SELECT a FROM (SELECT c FROM u) WHERE b > 1", "SELECT a FROM t WHERE b > (SELECT c FROM u)", "nested", 0.0),
+    # a set operation in parentheses is the same without them
+    ("(SELECT a FROM t) UNION (SELECT b FROM s)", "SELECT a FROM t UNION SELECT b FROM s", "set", 1.0),
+    ("(SELECT a FROM t) UNION (SELECT b FROM s)", "SELECT a FROM t UNION SELECT b FROM s", "select", 1.0),
+    ("SELECT a FROM t UNION SELECT b FROM s WHERE b = 1", "SELECT a FROM t UNION SELECT b FROM s", "set", 0.857143),
+    ("SELECT a FROM t WHERE a IN (SELECT b FROM s UNION SELECT c FROM r)", "SELECT a FROM t WHERE a IN (SELECT b FROM s EXCEPT SELECT c FROM r)", "nested", 0.4),
+    # commas, AND and FROM inside a function are no separators
+    ("SELECT f(a, b), extract(year from d) FROM t", "SELECT extract(year from d), f(a, b) FROM t", "select", 1.0),
+    ("SELECT f(a, b) FROM t", "SELECT f(a), b FROM t", "select", 0.0),
+    ("SELECT a FROM t JOIN s ON t.a = s.a AND t.b = s.b", "SELECT a FROM s ON t.a = s.a AND t.b = s.b JOIN t", "from", 1.0),
+    # grouped conditions
+    ("SELECT a FROM t WHERE (x = 1 OR y = 2) AND z = 3", "SELECT a FROM t WHERE z = 3 AND (y = 2 OR x = 1)", "where", 1.0),
+    ("SELECT a FROM t WHERE (x = 1 OR y = 2) AND z = 3", "SELECT a FROM t WHERE x = 1 OR (y = 2 AND z = 3)", "where", 0.333333),
+    ("SELECT a FROM t WHERE NOT (x = 1)", "SELECT a FROM t WHERE (x = 1)", "where", 0.0),
+    ("SELECT a FROM t WHERE x IN ('(SELECT', 'q)')", "SELECT a FROM t WHERE x IN ('(SELECT', 'q)') ORDER BY a", "where", 1.0),
+    # what is not balanced still gives a row for each clause
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u", "SELECT a) FROM t))", "select", 1.0),
+])
+def test_clause_match_of_nested_queries(spark, gold, pred, clause, f1):
+    df = spark.createDataFrame([(1, gold, pred)], "question_id long, gold_sql string, pred_sql string")
+    assert E.clause_match(df).where(F.col("clause") == clause).first()["f1"] == f1
+
+
+def test_clauses_of_deep_and_long_queries(spark):
+    deep = "SELECT a FROM t WHERE b IN (" * 40 + "SELECT 1" + ")" * 40
+    wide = "SELECT " + ", ".join(f"c{i}" for i in range(3000)) + " FROM t"
+    df = spark.createDataFrame([(1, deep, deep), (2, wide, wide), (3, None, None), (4, "", "x")], "question_id long, gold_sql string, pred_sql string")
+    got = {(r["question_id"], r["clause"]): r["f1"] for r in E.clause_match(df).collect()}
+    assert {v for (q, _), v in got.items() if q in (1, 2)} == {1.0} and len(got) == 4 * len(E.CLAUSES)
+
+
 @pytest.mark.parametrize("gold, pred, same", [
     ("SELECT DISTINCT a FROM t WHERE x = 1 AND y IN (2)", "select distinct a  from t where x = 1 and y in (2);", True),
     ("SELECT a FROM t WHERE n = 'and  on'", "SELECT a FROM t WHERE n = 'AND ON'", False),

@@ -1,6 +1,7 @@
 """Round trips through files."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlloom import schemas
-from sqlloom.sources import readers, sinks
+from sqlloom.sources import json_spans, readers, sinks
 
 
 def rows(df):
@@ -20,7 +21,7 @@ def test_catalog_list_in_one_file(spark, tmp_path):
               "column_names": [[-1, "*"], [0, "shown"]], "table_names": ["shown"], "column_types": ["text", "text"],
               "primary_keys": [1], "foreign_keys": [[1, 1]]}
     (tmp_path / "tables.json").write_text(json.dumps([record, {**record, "db_id": "e"}], indent=1))
-    got = readers.read_catalog(spark, str(tmp_path / "tables.json"), multi_line=True)
+    got = readers.read_catalog(spark, str(tmp_path / "tables.json"))
     assert got.schema == schemas.RAW_CATALOG
     assert [r["column_names_original"] for r in got.collect()] == [[["-1", "*"], ["0", "a"]]] * 2
 
@@ -98,13 +99,74 @@ def test_csv_columns_are_taken_by_name(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == [(7, "why", None, "SELECT 1, 2"), (None, "how", None, "x")]
 
 
-def test_unreadable_lines_are_shown(spark, tmp_path):
+def test_unreadable_records_are_shown(spark, tmp_path):
     good = {"question_id": 1, "db_id": "d", "question": "q", "query": "s"}
-    (tmp_path / "q.json").write_text(json.dumps(good) + "\n{broken\n\n")
+    (tmp_path / "q.json").write_text(json.dumps(good) + "\n{broken\n\n" + json.dumps(good) + " tail\n[1]\n")
     (tmp_path / "list.json").write_text(json.dumps([good, good], indent=1))
-    got = readers.unreadable_lines(spark, str(tmp_path), schemas.QUESTIONS)
-    assert [r["line"] for r in got.where("file LIKE '%q.json'").collect()] == ["{broken"]
-    assert got.where("file LIKE '%list.json'").count() > 2
+    got = readers.unreadable_records(spark, str(tmp_path), schemas.QUESTIONS)
+    assert sorted(r["rejected"] for r in got.collect()) == ["tail\n[1", "{broken"]
+    assert readers.read_questions(spark, str(tmp_path)).count() == 4
+
+
+def made_questions(n):
+    rng = random.Random(3)
+    letters = 'ab{}[]",\\é😀\n '
+    return [{"question_id": i, "db_id": f"db_{i}", "question": "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))),
+             "query": "select '}' ", "sql": {"a": [{"b": "}{"}, [1, [2]]], "c": {}}} for i in range(n)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("form", ["compact", "pretty", "lines", "objects", "blank", "long"])
+def test_json_files_are_cut_in_parallel(spark, tmp_path, small_splits, form):
+    records = made_questions(200)
+    if form == "long":  # records that reach over many splits
+        records = [{**r, "question": r["question"] * 400} for r in records[:20]]
+    text = {"compact": json.dumps(records), "long": json.dumps(records), "pretty": json.dumps(records, indent=4, ensure_ascii=False),
+            "lines": "\n".join(map(json.dumps, records)), "objects": "\n".join(json.dumps(r, indent=2) for r in records) + "\n",
+            "blank": "\ufeff \n" + json.dumps(records, indent=1) + "\n\n  "}[form]
+    (tmp_path / "q.json").write_text(text, encoding="utf-8")
+    got = json_spans.read_records(spark, str(tmp_path), schemas.QUESTIONS).collect()
+    assert [r["rejected"] for r in got if r["rejected"]] == []
+    wanted = sorted((r["question_id"], r["db_id"], r["question"], r["query"]) for r in records)
+    assert sorted(tuple(r)[:4] for r in got) == wanted
+    assert json_spans.split_sums(spark, str(tmp_path)).count() > 5  # tasks with a share of the file
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_broken_records_do_not_take_others(spark, tmp_path, small_splits, indent):
+    texts = [json.dumps(r, indent=indent) for r in made_questions(60)]
+    broken = {5: texts[5][:-30], 20: "oops", 30: texts[30].replace('"db_id"', '"db_id', 1), 40: '{"question_id": "x"}', 59: texts[59][:25]}
+    for i, t in broken.items():
+        texts[i] = t
+    (tmp_path / "q.json").write_text("\n".join(texts))
+    got = json_spans.read_records(spark, str(tmp_path), schemas.QUESTIONS).collect()
+    good = {r["question_id"] for r in got if r["rejected"] is None}
+    assert good == set(range(60)) - set(broken)
+    assert "".join("".join(r["rejected"].split()) for r in got if r["rejected"]).count("oops") == 1
+    assert sum(len("".join(r["rejected"].split())) for r in got if r["rejected"]) >= sum(len("".join(t.split())) for t in broken.values()) - 5
+
+
+def test_files_without_records(spark, tmp_path):
+    for name, text in {"a": "", "b": "[]", "c": " \n", "d": "[\n]\n"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert readers.read_catalog(spark, str(tmp_path)).count() == 0
+    assert readers.unreadable_records(spark, str(tmp_path), schemas.QUESTIONS).count() == 0
+
+
+def test_states_of_splits_follow_from_their_sums():
+    # file, split, size, file size, base, indent, ends out/in a string, depth out/in, depth behind the last sure record
+    sums = [("f", 10, 10, 29, 0, -1, 1, 0, 1, -1, {}), ("f", 0, 10, 29, 1, 4, 1, 0, 2, 0, {4: 1}), ("f", 20, 10, 29, 0, -1, 0, 0, 0, 0, {4: 5})]
+    assert json_spans.begin_states(sums) == [("f", 0, 0, 0, 1, 4, True), ("f", 10, 1, 2, 1, 4, True), ("f", 20, 0, 1, 1, 4, False)]
 
 
 def test_evaluator_files_are_line_aligned(spark, tmp_path):
