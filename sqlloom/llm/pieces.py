@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"  # how the vocabulary writes a blank
 _KNOWN_SEGMENTS = 500_000  # segments kept in a worker with their ids; more are encoded anew
-_INDEX_CHARACTERS = 300_000  # text indexed at a time
+_INDEX_CHARACTERS = 600_000  # text indexed at a time
+_ROWS = 1024  # texts whose new segments are indexed together
 _LONG = 256  # longer segments merge through a queue instead of in step with the others
 _SEPARATOR = 1  # no piece holds this code point
 _CODERS: dict[int, PieceCoder] = {}
@@ -40,6 +41,8 @@ class PieceCoder:
             raise ValueError("a piece of this model reaches over a blank")
         self.longest = max(len(spell[i]) for i in plain)
         self.pieces = np.array([spell[i] for i in plain], f"<U{self.longest}")
+        self.last = np.char.ljust(self.pieces, self.longest, chr(0x10FFFF))  # the last string that each piece begins
+        self.sizes = np.char.str_len(self.pieces)
         self.ids = np.array(plain, np.int64)
         self.score = np.full(len(kinds), -np.inf)
         self.score[plain] = [p.get_score(i) for i in plain]
@@ -57,13 +60,12 @@ class PieceCoder:
         order = np.argsort(suffixes, kind="stable")
         ranked = suffixes[order]
         low = np.searchsorted(ranked, self.pieces, side="left")
-        last = np.char.ljust(self.pieces, self.longest, chr(0x10FFFF))
-        count = np.searchsorted(ranked, last, side="right") - low
+        count = np.searchsorted(ranked, self.last, side="right") - low
         found = np.flatnonzero(count)
         n = count[found]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place = order[np.repeat(low[found], n) + inside]
-        key = place * (self.longest + 1) + np.repeat(np.char.str_len(self.pieces[found]), n)
+        key = place * (self.longest + 1) + np.repeat(self.sizes[found], n)
         by_place = np.argsort(key)
         return key[by_place], np.repeat(self.ids[found], n)[by_place]
 
@@ -82,7 +84,8 @@ class PieceCoder:
 
         short = sizes <= _LONG
         done: list[tuple[np.ndarray, np.ndarray]] = []  # start and length of final tokens
-        start = np.concatenate([np.arange(a, a + n) for a, n in zip(first[short], sizes[short])]) if short.any() else np.empty(0, np.int64)
+        own = sizes[short]
+        start = np.arange(own.sum()) + np.repeat(first[short] - (np.cumsum(own) - own), own)
         length = np.ones(len(start), np.int64)
         owner = np.repeat(np.flatnonzero(short), sizes[short])
         while len(start) > 1:
@@ -108,14 +111,15 @@ class PieceCoder:
         start, length = start[order], length[order]
         piece = edge(start, length)
         cut = np.searchsorted(start, first)
-        for segment, a, b in zip(segments, cut.tolist(), [*cut[1:].tolist(), len(start)]):
-            own = piece[a:b]
-            if (own < 0).any():  # characters outside the vocabulary are spelled by bytes
-                out: list[int] = []
-                for i, s in zip(own.tolist(), (start[a:b] - start[a]).tolist()):
-                    out += [i] if i >= 0 else [self.bytes[x] for x in segment[s].encode("utf-8", "replace")]
-                own = np.array(out, np.int64)
-            self.known[segment] = own.astype("<u4").tobytes()
+        ends = np.append(cut[1:], len(start))
+        raw = np.maximum(piece, 0).astype("<u4").tobytes()
+        self.known.update((segment, raw[a:b]) for segment, a, b in zip(segments, (4 * cut).tolist(), (4 * ends).tolist()))
+        # characters outside the vocabulary are spelled by bytes
+        for k in np.unique(np.searchsorted(cut, np.flatnonzero(piece < 0), side="right") - 1).tolist():
+            out: list[int] = []
+            for i, s in zip(piece[cut[k]:ends[k]].tolist(), (start[cut[k]:ends[k]] - start[cut[k]]).tolist()):
+                out += [i] if i >= 0 else [self.bytes[x] for x in segments[k][s].encode("utf-8", "replace")]
+            self.known[segments[k]] = np.array(out, "<u4").tobytes()
 
     def _merge_long(self, first: int, size: int, edges: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         length, after, before = [1] * size, list(range(1, size + 1)), list(range(-1, size - 1))
@@ -200,8 +204,8 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True, text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(box.value)
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, max(whole.num_rows, 1), _ROWS):
+                batch = whole.slice(at, _ROWS)
                 texts = batch.column(0).field(text_column).to_pylist()
                 ids = [np.frombuffer(x, "<u4") for x in coder.encode_batch(texts)]
                 same = [coder.decode(x) == (t or "") for x, t in zip(ids, texts)]
