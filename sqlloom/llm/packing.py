@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm.common import discard, stored, utf8
 
-_KNOWN_WORDS = 600_000  # words kept in a worker with their ids; more are encoded anew
+_KNOWN_WORDS = 1_000_000  # words kept in a worker with their ids; more are encoded anew
+_WORDS_A_CALL = 2000
+_TEXTS_AT_ONCE = 256
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -27,32 +30,45 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        probe = "Ab c,d. e\tf,g"  # what the words below rely on
+        if self.tokenizer.encode(probe, add_special_tokens=False).ids != [
+                i for part in ("ab", "c", ",", "d", ".", "e", "f", ",", "g") for i in self.tokenizer.encode(part, add_special_tokens=False).ids]:
+            raise ValueError("this tokenizer merges across white space or marks, or tells capitals apart")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
         # a comma or full stop behind a letter is a token of its own
         cut = {w for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
         plain = sorted(w for w in words - cut | {w[:-1] for w in cut} | {w[-1:] for w in cut} if w not in self.known)
-        model = self.tokenizer.model
-        letters = [w for w in plain if w.isascii() and w.isalpha() and w.islower()]
-        for w in letters:  # normal already and one token of the pre-tokenizer: straight to the model
-            self.known[w] = np.array([t.id for t in model.tokenize(w.decode())], "<u4").tobytes()
-        rest = [w for w in plain if w not in self.known]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        texts = [w.decode("utf-8") for w in plain]
+        letters = [t for t in texts if t.isalpha()]  # each is one token of the pre-tokenizer, so many go in one call
+        groups = [letters[i:i + _WORDS_A_CALL] for i in range(0, len(letters), _WORDS_A_CALL)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+            if len(ends) == len(group):
+                raw, ends = ids.tobytes(), [0, *ends.tolist()]
+                self.known.update((t.encode(), raw[a:b]) for t, a, b in zip(group, ends, ends[1:]))
+        rest = [t for w, t in zip(plain, texts) if w not in self.known]
+        for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[t.encode()] = np.array(e.ids, "<u4").tobytes()
         for w in cut:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
-    def encode(self, raw: bytes) -> bytes:
-        """The ids of a text as little-endian 32-bit words."""
-        words = (raw if b"<|" in raw else raw.lower()).split()  # the tokenizer lower-cases all but special tokens
-        missing = {w for w in set(words) if w not in self.known}  # taking away all keys would walk over them
+    def encode(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit words; what the texts bring anew is looked up together."""
+        texts = [(raw if b"<|" in raw else raw.lower()).split() for raw in raws]  # the tokenizer lower-cases all but special tokens
+        known = self.known
+        missing = {w for words in texts for w in words if w not in known}
         if missing:
-            if len(self.known) + len(missing) > _KNOWN_WORDS:
-                self.known.clear()
-                missing = set(words)
+            if len(known) + len(missing) > _KNOWN_WORDS:
+                known.clear()
+                missing = {w for words in texts for w in words}
             self._learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+        return [b"".join([known[w] for w in words]) for words in texts]
 
 
 def _encoder(definition: str) -> WordEncoder:
@@ -76,8 +92,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
         encoder = _encoder(box.value)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(utf8(text.as_py())) + end
+            texts = (encoder.encode([utf8(t.as_py()) for t in batch.column(1).slice(i, _TEXTS_AT_ONCE)]) for i in range(0, batch.num_rows, _TEXTS_AT_ONCE))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(texts)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
@@ -170,7 +187,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     class, the larger first.  In a round, the free gaps are cut into slots that hold any piece of the class,
     pieces and slots are range-sorted together, each range is swept for the smallest fitting slot, ranges exchange
     counts of what is left over (the driver sees two numbers a range), and the gaps shrink by what
-    they got.  Sequences are opened when the gaps cannot hold the rest; rounds repeat until the class is placed.
+    they got.  Sequences are opened when the gaps cannot hold the rest; rounds repeat until the class is placed.  Once a round leaves
+    slots empty, no waiting piece fits them, so the next one opens sequences for all: a few rounds a class, whatever the lengths.
 
     Ties (equal lengths) are resolved by rank, repeated rows are placed one by one, and no piece is cut further.
     ``row`` holds the input columns, so names cannot clash; an empty table gives an empty result.
@@ -184,16 +202,22 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     while high >= 1:
         low = high // 2 if high > capacity // 16 else 0
         docs = stored(items.where((F.col("length") > low) & (F.col("length") <= high)).select("item", "length"), "pack-class")
-        n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        turn = 0
+        n, total, least = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
+        turn, done, slots_left, each = 0, 0, False, capacity // high
         while n:
             k = F.greatest(F.floor(F.col("gap") / high), F.lit(1)).cast("int")
-            room, places = gaps.where(F.col("gap") > low).agg(F.coalesce(F.sum("gap"), F.lit(0)), F.coalesce(F.sum(k), F.lit(0))).first()
-            # at first as few sequences as the tokens need, then enough slots for the rest
-            new = -(-max(0, total - room) // capacity) if turn < 2 else -(-max(1, n - places) // (capacity // high))
+            # a gap below the smallest piece is no place for any
+            room, places = gaps.where(F.col("gap") >= least).agg(F.coalesce(F.sum("gap"), F.lit(0)), F.coalesce(F.sum(k), F.lit(0))).first()
+            if turn == 0 or (turn == 1 and done):  # at first as few sequences as the tokens need
+                new = -(-max(0, total - room) // capacity)
+            elif slots_left:  # no piece fits what was left, so all get a place
+                new = -(-n // each)
+            else:
+                new = -(-max(0, n - places) // each)
+            new = max(new, not places)
             fresh = spark.range(opened, opened + new).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
             opened, turn = opened + new, turn + 1
-            usable = gaps.where(F.col("gap") > low).unionAll(fresh)
+            usable = gaps.where(F.col("gap") >= least).unionAll(fresh)
             slots = usable.select("seq", F.explode(F.concat(
                 F.array(F.col("gap") - (k - 1) * high), F.array_repeat(F.lit(high).cast("bigint"), k - 1))).alias("size"))
             found = _matched(slots, docs)
@@ -202,11 +226,12 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             following = stored(shrunk.where("gap > 0"), "pack-gaps")
             placed.append(found.select("item", "seq"))
             done, filled = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-            n, total = n - done, total - filled
+            n, total, slots_left = n - done, total - filled, done < places + new * each
             rest = stored(docs.join(found.select("item").hint("merge"), "item", "left_anti"), "pack-class") if n else docs
             discard(gaps)
             if n:
                 discard(docs)
+                least = rest.agg(F.min("length")).first()[0]
             gaps, docs = following, rest
         discard(docs)
         high = low

@@ -250,3 +250,47 @@ def test_pipeline_keeps_columns(spark):
         left = stage(spark, left, "")
         assert left.columns == docs.columns
     assert 0 < left.count() < docs.count()
+
+
+def test_a_hot_length_needs_few_rounds(spark, monkeypatch):
+    rounds = []
+    matched = packing._matched
+    monkeypatch.setattr(packing, "_matched", lambda slots, docs: rounds.append(1) or matched(slots, docs))
+    lengths = [900] * 2000 + [1300] * 6000 + [7] * 50
+    pieces_ = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    out = packing.pack(pieces_, 2048).select("row.doc_id", "row.length", "sequence_id", "offset").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(out) == len(lengths) and len(rounds) <= 20 and len(by) == 7000
+    for places in by.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+def test_sequences_against_best_fit_decreasing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    packed = packing.pack_documents(docs, word_tokenizer(), 2048).select("length", "sequence_id").collect()
+    free = []
+    for n in sorted((r.length for r in packed), reverse=True):
+        at = min((i for i, g in enumerate(free) if g >= n), key=lambda i: free[i], default=None)
+        if at is None:
+            free.append(2048 - n)
+        else:
+            free[at] -= n
+    assert len({r.sequence_id for r in packed}) <= len(free) + 1
+
+
+def test_pieces_of_a_very_long_text(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    texts = ["word " * 200_000, "x" * 3000 + " " + "😀é" * 500, "ab" * 200 + "中" * 300]
+    for r in pieces.encode(spark.createDataFrame([(t,) for t in texts], "text string"), piece_model()).collect():
+        assert r.ids == sp.encode(r.row.text) and r.round_trip
+
+
+def test_tokenizers_that_merge_over_blanks_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        packing.WordEncoder(f.read())
