@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlloom.llm import quotient
-from sqlloom.llm.common import numbered_rows, reread, stored, utf8
+from sqlloom.llm.common import reread, stored, utf8
 
 _BLOCK_BYTES = 16 << 20  # text that shares one local dictionary
 _BREAK = b"\xff"  # never a byte of UTF-8; stands for the end of a piece
@@ -92,6 +93,72 @@ def _filters(ids: np.ndarray, usable: np.ndarray, orders: range, bits: int, shar
             yield block, n, int(shard[a]), quotient.build(packing, [x[a:b] for x in limbs], counts[a:b])
 
 
+def _frequent_words(words: DataFrame, min_count: int) -> DataFrame:
+    """Words with at least ``min_count`` occurrences, numbered within their partition, in one sorted pass.
+
+    Rows (``part``, ``place``, ``lang``, ``word``, ``f``) name a frequent word, rows (``part``, ``place``, ``block``, ``code``) say where it
+    occurs.  A word is held back only until its count is reached, so one in very many blocks streams through.
+    """
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()),
+                        ("block", pa.int64()), ("code", pa.int32())])
+    null = lambda n, *fields: [pa.nulls(n, schema.field(f).type) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, numbered = TaskContext.get().partitionId(), 0
+        going: tuple[str, str, int, int] | None = None  # a frequent word that may go on: language, word, place, count so far
+        held: list[pa.RecordBatch] = []  # rows of a word that may still become frequent
+
+        def named(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+            lang, word, place, f = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(place, pa.int64()), pa.array(lang, pa.string()),
+                                               pa.array(word, pa.string()), pa.array(f, pa.int64()), *null(len(rows), "block", "code")], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            lang, word, block, code, n = (table.column(c) for c in ("lang", "word", "block", "code", "n"))
+            rows = table.num_rows
+            new = np.concatenate(([True], pc.or_(pc.not_equal(word[1:], word[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False).astype(bool))) if rows > 1 else np.ones(1, bool)
+            starts = np.flatnonzero(new)
+            count = np.add.reduceat(n.to_numpy(), starts)
+            key = lambda i: (lang[int(starts[i])].as_py(), word[int(starts[i])].as_py())
+            place = np.full(len(starts), -1, np.int64)
+            done = []
+            if going and going[:2] == key(0):
+                count[0] += going[3]
+                place[0] = going[2]
+            elif going:
+                done.append(going)
+            frequent = count >= min_count
+            fresh = np.flatnonzero(frequent & (place < 0))
+            place[fresh] = numbered + np.arange(len(fresh))
+            numbered += len(fresh)
+            often = np.flatnonzero(frequent)
+            whole = often[often < len(starts) - 1]  # the last run may go on in the next batch
+            at = pa.array(starts[whole])
+            done += zip(lang.take(at).to_pylist(), word.take(at).to_pylist(), place[whole].tolist(), count[whole].tolist())
+            last = len(starts) - 1
+            going = (*key(last), int(place[last]), int(count[last])) if frequent[last] else None
+            held = [] if going else table.slice(int(starts[last])).to_batches()
+            if done:
+                yield named(done)
+            size = np.diff(np.append(starts, rows))
+            each = np.repeat(place, size)
+            kept = np.flatnonzero(np.repeat(frequent, size))
+            if len(kept):
+                where = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), part, np.int32)), pa.array(each[kept]), *null(len(kept), "lang", "word", "f"),
+                                                  block.take(where).combine_chunks(), code.take(where).combine_chunks()], schema=schema)
+        if going:
+            yield named([going])
+
+    return words.select("lang", "word", "block", "code", "n").repartition("lang", "word").sortWithinPartitions("lang", "word").mapInArrow(
+        run, "part int, place bigint, lang string, word string, f bigint, block bigint, code int")
+
+
 _FILTER_SCHEMA = "block bigint, words int, shard int, filter binary"
 
 
@@ -168,16 +235,21 @@ def frequent_ngrams(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
     coded = stored(_coded_blocks(docs), "phrases-coded")
     words = coded.where("codes IS NULL").select("block", "lang", "word", "code", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    vocabulary = stored(numbered_rows(stored(often, "phrases-often")), "phrases-vocabulary")
-    bits = max(vocabulary.count().bit_length(), 1)
+    found_words = stored(_frequent_words(words, min_count), "phrases-words")
+    named = found_words.where("f IS NOT NULL")
+    sizes = dict(named.groupBy("part").agg(F.max("place") + 1).collect())  # one number a partition
+    before = np.zeros(max(sizes, default=0) + 1, np.int64)
+    for p in range(1, len(before)):
+        before[p] = before[p - 1] + sizes.get(p - 1, 0)
+    vocabulary = named.select("lang", "word", "f", (F.get(F.lit(before), F.col("part")) + F.col("place") + 1).alias("id"))
+    bits = max(sum(sizes.values()).bit_length(), 1)
     quotient.Packing(longest, bits)  # refuses more words than it can number
-    names = words.join(vocabulary.select("lang", "word", "id").hint("merge"), ["lang", "word"]).select("block", "code", "id")
+    names = found_words.where("f IS NULL").select("block", "code", "part", "place")
 
     def pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         codes = np.frombuffer(_joined(left, "codes"), np.int32)
         number = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-        number[right.column("code").to_numpy()] = right.column("id").to_numpy()
+        number[right.column("code").to_numpy()] = before[right.column("part").to_numpy()] + right.column("place").to_numpy() + 1
         ids = number[codes]
         ids = ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))] if len(ids) else ids  # one break is as good as many
         rows = list(_filters(ids, (ids[:-1] != 0) & (ids[1:] != 0), range(2, 3), bits, shards, key[0].as_py()))

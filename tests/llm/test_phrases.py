@@ -83,7 +83,10 @@ def made_rows():
 def test_collocations_against_plain_counts(spark, monkeypatch, min_count, top, cover):
     monkeypatch.setattr(phrases, "_BLOCK_BYTES", 700)  # many blocks
     rows = made_rows()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if cover == 60 else before)  # words that go on over batches
     found = phrases.collocations(spark.createDataFrame(rows, SCHEMA), min_count, top=top, cover_percent=cover)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert tuple(found.columns) == COLUMNS
     assert sorted(tuple(r) for r in found.collect()) == plain(rows, min_count, top, cover)
 
