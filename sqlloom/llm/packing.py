@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sqlloom.llm.common import discard, stored, utf8
 
 _KNOWN_WORDS = 1_000_000  # words kept in a worker with their ids; more are encoded anew
+_RANGE_ROWS = 50_000  # slots and pieces of a range, which one task holds
 _WORDS_A_CALL = 2000
 _TEXTS_AT_ONCE = 256
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -156,10 +157,13 @@ def _runs_between_ranges(counts: dict[tuple[int, int], int]) -> list[tuple[int,
     return runs
 
 
-def _matched(slots: DataFrame, docs: DataFrame) -> DataFrame:
-    """``item``, ``seq``, ``length`` of one round: every document that a slot is left for gets the smallest such slot."""
+def _matched(slots: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """``item``, ``seq``, ``length`` of one round: every document that a slot is left for gets the smallest such slot.
+
+    ``rows`` counts both; ranges hold as many at every size, so there are more of them for larger tables.
+    """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-rows // _RANGE_ROWS)
     both = slots.select("size", F.lit(0).alias("kind"), F.col("seq").alias("id")).unionAll(
         docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("item").alias("id")))
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
@@ -220,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             usable = gaps.where(F.col("gap") >= least).unionAll(fresh)
             slots = usable.select("seq", F.explode(F.concat(
                 F.array(F.col("gap") - (k - 1) * high), F.array_repeat(F.lit(high).cast("bigint"), k - 1))).alias("size"))
-            found = _matched(slots, docs)
+            found = _matched(slots, docs, n + places + new * each)
             used = found.groupBy("seq").agg(F.sum("length").alias("used"))
             shrunk = gaps.unionAll(fresh).join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
             following = stored(shrunk.where("gap > 0"), "pack-gaps")

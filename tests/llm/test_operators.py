@@ -255,7 +255,8 @@ def test_pipeline_keeps_columns(spark):
 def test_a_hot_length_needs_few_rounds(spark, monkeypatch):
     rounds = []
     matched = packing._matched
-    monkeypatch.setattr(packing, "_matched", lambda slots, docs: rounds.append(1) or matched(slots, docs))
+    monkeypatch.setattr(packing, "_matched", lambda *a: rounds.append(1) or matched(*a))
+    monkeypatch.setattr(packing, "_RANGE_ROWS", 3000)  # several ranges
     lengths = [900] * 2000 + [1300] * 6000 + [7] * 50
     pieces_ = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
     out = packing.pack(pieces_, 2048).select("row.doc_id", "row.length", "sequence_id", "offset").collect()
