@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sqlloom.llm import quotient
 from sqlloom.llm.common import reread, stored, utf8
 
-_BLOCK_BYTES = 16 << 20  # text that shares one local dictionary
+_BLOCK_BYTES = 8 << 20  # text that shares one local dictionary
 _BREAK = b"\xff"  # never a byte of UTF-8; stands for the end of a piece
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
 
