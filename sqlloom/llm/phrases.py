@@ -16,6 +16,7 @@ from sqlloom.llm import quotient
 from sqlloom.llm.common import reread, stored, utf8
 
 _BLOCK_BYTES = 8 << 20  # text that shares one local dictionary
+_OCCURRENCES = 1_000_000  # held by a task before they are handed on
 _BREAK = b"\xff"  # never a byte of UTF-8; stands for the end of a piece
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
 
@@ -96,11 +97,12 @@ def _filters(ids: np.ndarray, usable: np.ndarray, orders: range, bits: int, shar
 def _frequent_words(words: DataFrame, min_count: int) -> DataFrame:
     """Words with at least ``min_count`` occurrences, numbered within their partition, in one sorted pass.
 
-    Rows (``part``, ``place``, ``lang``, ``word``, ``f``) name a frequent word, rows (``part``, ``place``, ``block``, ``code``) say where it
-    occurs.  A word is held back only until its count is reached, so one in very many blocks streams through.
+    Rows (``part``, ``place``, ``lang``, ``word``, ``f``) name a frequent word.  Rows (``part``, ``block``, ``codes``, ``places``) tell a block which of
+    its codes are which words, many in a row.  A word is held back only until its count is reached, so one in very
+    many blocks streams through.
     """
     schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()),
-                        ("block", pa.int64()), ("code", pa.int32())])
+                        ("block", pa.int64()), ("codes", pa.binary()), ("places", pa.binary())])
     null = lambda n, *fields: [pa.nulls(n, schema.field(f).type) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,20 @@ def _frequent_words(words: DataFrame, min_count: int) -> DataFrame:
         def named(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
             lang, word, place, f = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(place, pa.int64()), pa.array(lang, pa.string()),
-                                               pa.array(word, pa.string()), pa.array(f, pa.int64()), *null(len(rows), "block", "code")], schema=schema)
+                                               pa.array(word, pa.string()), pa.array(f, pa.int64()), *null(len(rows), "block", "codes", "places")], schema=schema)
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # block, code and place of occurrences not yet handed on
+
+        def occurrences() -> pa.RecordBatch:
+            block, code, place = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            order = np.argsort(block, kind="stable")
+            block, code, place = block[order], code[order].astype("<i4"), place[order].astype("<i8")
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))).tolist()
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            return pa.RecordBatch.from_arrays([
+                pa.array([part] * len(spans), pa.int32()), *null(len(spans), "place", "lang", "word", "f"), pa.array(block[cuts[:-1]]),
+                pa.array([code[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -149,14 +164,16 @@ def _frequent_words(words: DataFrame, min_count: int) -> DataFrame:
             each = np.repeat(place, size)
             kept = np.flatnonzero(np.repeat(frequent, size))
             if len(kept):
-                where = pa.array(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), part, np.int32)), pa.array(each[kept]), *null(len(kept), "lang", "word", "f"),
-                                                  block.take(where).combine_chunks(), code.take(where).combine_chunks()], schema=schema)
+                found.append((block.to_numpy()[kept], code.to_numpy()[kept], each[kept]))
+                if sum(len(f[0]) for f in found) > _OCCURRENCES:
+                    yield occurrences()
+        if found:
+            yield occurrences()
         if going:
             yield named([going])
 
     return words.select("lang", "word", "block", "code", "n").repartition("lang", "word").sortWithinPartitions("lang", "word").mapInArrow(
-        run, "part int, place bigint, lang string, word string, f bigint, block bigint, code int")
+        run, "part int, place bigint, lang string, word string, f bigint, block bigint, codes binary, places binary")
 
 
 _FILTER_SCHEMA = "block bigint, words int, shard int, filter binary"
@@ -244,12 +261,13 @@ def frequent_ngrams(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
     vocabulary = named.select("lang", "word", "f", (F.get(F.lit(before), F.col("part")) + F.col("place") + 1).alias("id"))
     bits = max(sum(sizes.values()).bit_length(), 1)
     quotient.Packing(longest, bits)  # refuses more words than it can number
-    names = found_words.where("f IS NULL").select("block", "code", "part", "place")
+    names = found_words.where("f IS NULL").select("block", "part", "codes", "places")
 
     def pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         codes = np.frombuffer(_joined(left, "codes"), np.int32)
         number = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-        number[right.column("code").to_numpy()] = before[right.column("part").to_numpy()] + right.column("place").to_numpy() + 1
+        for part, own, places in zip(*[right.column(c).to_pylist() for c in ("part", "codes", "places")]):
+            number[np.frombuffer(own, "<i4")] = before[part] + np.frombuffer(places, "<i8") + 1
         ids = number[codes]
         ids = ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))] if len(ids) else ids  # one break is as good as many
         rows = list(_filters(ids, (ids[:-1] != 0) & (ids[1:] != 0), range(2, 3), bits, shards, key[0].as_py()))

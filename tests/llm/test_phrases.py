@@ -82,6 +82,7 @@ def made_rows():
 @pytest.mark.parametrize("min_count,top,cover", [(10, 2000, 100), (3, 5, 60), (40, 2000, 100)])
 def test_collocations_against_plain_counts(spark, monkeypatch, min_count, top, cover):
     monkeypatch.setattr(phrases, "_BLOCK_BYTES", 700)  # many blocks
+    monkeypatch.setattr(phrases, "_OCCURRENCES", 40)
     rows = made_rows()
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if cover == 60 else before)  # words that go on over batches
