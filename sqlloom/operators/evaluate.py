@@ -158,6 +158,7 @@ def _query_parts(query: Column) -> Column:
             .when((token["kind"] == "close") & (F.size(s["stack"]) > 0), F.transform(F.array(F.element_at(s["stack"], -1)), lambda o: state(
                 F.when(kind == "other", frame(o["path"], o["clause"], o["kind"], longer(text, ")"))).otherwise(o),
                 F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1), F.when(kind == "other", s["out"]).otherwise(flushed(s))))[0])
+            .when(token["kind"] == "close", s)  # one too many
             .when(((token["kind"] == "comma") & is_query & clause.isin("select", "from", "group by", "order by")) | ((token["kind"] == "join") & is_query & (clause == "from")),
                   state(frame(path, clause, kind, blank), s["stack"], flushed(s)))
             .when((token["kind"] == "connective") & in_conditions, state(
