@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlloom.session import scratch_dir
+
 _SAMPLES = 32  # sampled keys for each range
 
 
@@ -35,15 +37,20 @@ def _range_of(bounds: list[tuple], fields: list[T.StructField]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= own, at + step).otherwise(at))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, stored: bool = False) -> DataFrame:
     """Add the 1-based position of every row under an ascending total order, nulls first.
 
-    The range of a row follows from its key and bounds sampled once, so a lost executor
-    cannot move a row and nothing has to be stored.  A position is the offset of the range plus the
+    The input is worked out once and stored in the shared scratch folder; bounds and counts then read the stored
+    keys only.  ``stored`` says that the input is a plain scan of a table already, which needs no copy.  The range of a row
+    follows from its key and the bounds, so a lost executor cannot move a row.  A position is the offset of the range plus the
     place inside it; the offsets are one row per range.  ``order`` names columns of plain types and should end in
     a unique key, which also spreads a hot leading value over several ranges.  The result comes out in that order,
-    partition after partition.  The input should give the same rows whenever it is read.
+    partition after partition.
     """
+    if not stored:
+        path = scratch_dir(df.sparkSession, "numbered")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
     part = _range_of(_bounds(df, order), [df.schema[c] for c in order])
     sizes = df.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # one row per range, so both the window and the broadcast are bounded by the number of ranges

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sqlloom.functions.arrays import let
 from sqlloom.functions.relational import join_rows
 from sqlloom.functions.text import normalise_sql, outside_literals
+from sqlloom.operators.execution import execution_match  # noqa: F401
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -23,25 +24,6 @@ def exact_match(pairs: DataFrame) -> DataFrame:
     ).withColumn("exact", F.coalesce(F.col("gold_norm") == F.col("pred_norm"), F.lit(False)))
 
 
-def execution_match(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """Whether gold and predicted result rows agree as multisets, per query.
-
-    Copies are counted before the shuffle, so a query with very many rows is
-    spread over its distinct rows.  ``queries`` lists the ids that were run:
-    without any result row on either side the two results agree.
-    """
-    weight = F.when(F.col("side") == "gold", 1).otherwise(-1)
-    verdict = (
-        results.groupBy("query_id", "row_json").agg(F.sum(weight).alias("surplus"))
-        .groupBy("query_id").agg(
-            F.sum(F.greatest("surplus", F.lit(0))).alias("n_missing"),
-            F.sum(F.greatest(-F.col("surplus"), F.lit(0))).alias("n_extra"),
-        )
-    )
-    verdict = join_rows(queries.select("query_id"), verdict, "query_id", "left").fillna(0, ["n_missing", "n_extra"])
-    return verdict.withColumn("matches", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
-
-
 def typed_export(df: DataFrame) -> DataFrame:
     """Integers as bigint and floats truncated to bigint, NaN and out-of-range values null."""
     def out(name: str, kind: str) -> Column:

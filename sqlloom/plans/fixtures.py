@@ -289,8 +289,9 @@ def completions(prompts: DataFrame) -> DataFrame:
 def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX11: result rows of a gold and a predicted query per nation.
 
-    The predicted side repeats the row of the smallest key for nations 1, 4, ..
-    and lacks it for nations 2, 5, ...
+    The predicted side has its columns in the other order; for nations 0, 3, .. they
+    are renamed, too, and keys are written with a fraction.  It repeats the row of the smallest key for nations
+    1, 4, .. and lacks it for nations 2, 5, ...
     """
     customer = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").cast("long").alias("query_id"), "c_custkey", "c_mktsegment")
@@ -298,9 +299,12 @@ def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_first = F.col("c_custkey") == F.col("first_key")
     kind = F.col("query_id") % 3
     copies = F.when(is_first & (kind == 1), 2).when(is_first & (kind == 2), 0).otherwise(1)
-    row_json = F.to_json(F.struct("c_custkey", "c_mktsegment"))
+    gold = F.to_json(F.struct("c_custkey", "c_mktsegment"))
+    swapped = F.to_json(F.struct("c_mktsegment", "c_custkey"))
+    renamed = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("double").alias("number")))
     sides = F.concat(F.array(F.lit("gold")), F.array_repeat(F.lit("pred"), copies))
-    return customer.join(smallest, "query_id").select("query_id", F.explode(sides).alias("side"), row_json.alias("row_json"))
+    row_json = F.when(F.col("side") == "gold", gold).when(kind == 0, renamed).otherwise(swapped)
+    return customer.join(smallest, "query_id").withColumn("side", F.explode(sides)).select("query_id", "side", row_json.alias("row_json"))
 
 
 def executed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

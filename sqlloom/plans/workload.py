@@ -78,7 +78,7 @@ def w_count_distinct(t: Tables) -> DataFrame:
 
 def w_sort_asc(t: Tables) -> DataFrame:
     rows = t("customer").select("c_custkey", "c_name", "c_acctbal")
-    return number_rows(rows, ["c_acctbal", "c_custkey"], "rank")
+    return number_rows(rows, ["c_acctbal", "c_custkey"], "rank", stored=True)
 
 
 def w_group_top1_count(t: Tables) -> DataFrame:

@@ -80,7 +80,7 @@ def write_evaluator_files(rows: DataFrame, pred_path: str, gold_path: str) -> No
 def transcript(samples: DataFrame) -> DataFrame:
     """Entries of prompt and answer, numbered in the order of the (unique) ``question_id``.
 
-    The texts are worked out and moved once; the two passes before, for bounds and counts, read keys only.
+    The texts are worked out once and stored; bounds and counts read the stored keys only.
     """
     rows = number_rows(samples.select("question_id", "sample", "answer"), ["question_id"], "sample_no")
     return rows.select("sample_no", F.concat(

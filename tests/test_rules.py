@@ -1,6 +1,10 @@
 """Hand-made cases for the rules a registered query alone would not show."""
 
+import json
+import random
 import time
+from collections import Counter
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,6 +338,59 @@ def test_execution_match_tells_copies_apart(spark):
     assert got == {1: (0, 0, True), 2: (0, 1, False), 3: (1, 0, False), 4: (0, 1, False), 5: (0, 0, True)}
 
 
+RESULTS = {  # name: gold rows, predicted rows, missing, extra
+    "swapped": (['{"a":1,"b":"x"}', '{"a":2,"b":"y"}'], ['{"p":"x","q":1}', '{"p":"y","q":2}'], 0, 0),
+    "swapped, other pairs": (['{"a":1,"b":"x"}', '{"a":2,"b":"y"}'], ['{"p":"y","q":1}', '{"p":"x","q":2}'], 2, 2),
+    "numbers": (["[1]", "[2.50]", "[0.1]", "[100000000000000000000]"], ["[1.0]", "[25e-1]", "[1e-1]", "[1e20]"], 0, 0),
+    "text is no number": (["[1]"], ['["1"]'], 1, 1),
+    "large integers": (["[9007199254740993]"], ["[9007199254740992]"], 1, 1),
+    "lists and objects": (['{"a":1,"b":"x"}'], ['["x",1]'], 0, 0),
+    "same values in two columns": (["[1,2]", "[2,3]", "[3,1]"], ["[2,1]", "[3,2]", "[1,3]"], 0, 0),
+    "three alike, turned": (["[1,2,3]", "[2,3,1]", "[3,1,2]"], ["[1,3,2]", "[2,1,3]", "[3,2,1]"], 0, 0),
+    "alike by column only": (["[1,1]", "[2,2]"], ["[1,2]", "[2,1]"], 2, 2),
+    "column twice": (["[1,1,5]", "[2,2,6]"], ["[1,5,1]", "[2,6,2]"], 0, 0),
+    "column twice on one side": (["[1,1,5]", "[2,2,6]"], ["[1,5,5]", "[2,6,6]"], 2, 2),
+    "copies": (["[1,2]", "[1,2]", "[3,4]"], ["[2,1]", "[4,3]", "[4,3]"], 3, 3),  # no columns of equal values, so by place
+    "fewer columns": (["[1,2]"], ["[1]"], 1, 1),
+    "a row too many, columns named alike": (['{"a":1,"b":2}'], ['{"b":2,"a":1}', '{"b":7,"a":8}'], 0, 1),
+    "nulls": (["[null,1]", "[2,null]"], ["[1,null]", "[null,2]"], 0, 0),
+    "null for absent": (['{"a":1,"b":null}', '{"a":2,"b":3}'], ['{"a":1}', '{"b":3,"a":2}'], 0, 0),
+    "true is not 1": (["[true]"], ["[1]"], 1, 1),
+    "no gold rows": ([], ["[1]", "[1]"], 0, 2),
+    "no predicted rows": (["[1,2]"], [], 1, 0),
+    "neither": ([], [], 0, 0),
+    "rows without cells": (["[]", "{}"], ["[]", "[]"], 0, 0),
+    "null texts": ([None], [None], 0, 0),
+    "other text": (["ab", "5"], ["5", "ab"], 0, 0),
+    "five columns, one cell each": ([str([int(i == k) for i in range(5)]) for k in range(5)], [str([int(i == k) for i in range(5)]) for k in (3, 1, 4, 0, 2)], 0, 0),
+}
+
+
+def test_execution_match_over_columns_in_any_order(spark):
+    data = [(n, side, r) for n, (gold, pred, *_) in enumerate(RESULTS.values()) for side, rs in (("gold", gold), ("pred", pred)) for r in rs]
+    results = spark.createDataFrame(data, "query_id long, side string, row_json string")
+    ran = spark.range(len(RESULTS)).withColumnRenamed("id", "query_id")
+    got = {r["query_id"]: (r["n_missing"], r["n_extra"], r["matches"]) for r in E.execution_match(results, ran).collect()}
+    assert {name: got[n] for n, name in enumerate(RESULTS)} == {
+        name: (missing, extra, missing + extra == 0) for name, (_, _, missing, extra) in RESULTS.items()}
+
+
+def test_execution_match_equals_trying_every_order(spark):
+    rng, data, want = random.Random(5), [], {}
+    for n in range(60):
+        width = rng.randint(1, 4)
+        gold = [[rng.choice([0, 1, 2, "a", None]) for _ in range(width)] for _ in range(rng.randint(1, 5))]
+        order = rng.sample(range(width), width)
+        pred = [[row[i] for i in order] for row in rng.sample(gold, len(gold))]
+        if n % 2:
+            pred[0][0] = rng.choice([0, 1, 2, "a", None])
+        data += [(n, side, json.dumps(row)) for side, rows_ in (("gold", gold), ("pred", pred)) for row in rows_]
+        want[n] = any(Counter(tuple(r[i] for i in p) for r in pred) == Counter(map(tuple, gold)) for p in permutations(range(width)))
+    results = spark.createDataFrame(data, "query_id long, side string, row_json string")
+    got = E.execution_match(results, spark.range(60).withColumnRenamed("id", "query_id")).collect()
+    assert {r["query_id"]: r["matches"] for r in got} == want and 30 <= sum(want.values()) < 60
+
+
 def test_typed_export(spark):
     df = spark.createDataFrame([(1, 2.9, "a"), (2, -2.9, None), (3, float("nan"), "c"), (4, float("inf"), "d"), (5, None, "e")],
                                "i int, x double, s string")

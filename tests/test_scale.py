@@ -89,6 +89,20 @@ def test_numbering_with_a_hot_value(spark):
     assert [(r["n"], r["v"], r["id"]) for r in got] == [(n, *vi) for n, vi in enumerate(sorted(data), 1)]
 
 
+def test_numbering_works_its_input_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(3000, numPartitions=5).selectExpr("(id * 7919) % 3000 AS v", "id").mapInArrow(count, "v long, id long")
+    got = number_rows(df, ["v"], "n")
+    assert [r["n"] for r in got.collect()] == [r["v"] + 1 for r in got.collect()] == list(range(1, 3001))
+    assert seen.value == 3000
+
+
 def test_numbering_of_nothing(spark):
     assert number_rows(spark.createDataFrame([], "v int"), ["v"], "n").collect() == []
 
