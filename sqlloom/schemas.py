@@ -26,6 +26,9 @@ RESPONSES = T.StructType([
     T.StructField("response", T.StringType()),
 ])
 
+# Responses as they arrive; a retried one has a higher ``attempt``, which may be absent.
+DELIVERIES = T.StructType([*RESPONSES.fields, T.StructField("attempt", T.IntegerType())])
+
 PREDICTIONS = T.StructType([
     T.StructField("question_id", T.LongType()),
     T.StructField("question", T.StringType()),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +13,12 @@ from sqlloom.operators.prompts import shard_of
 
 
 def read_response_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """JSON-lines response files as they land in ``path``."""
-    return (
-        spark.readStream.schema(schemas.RESPONSES)
+    """JSON-lines response files as they land in ``path``, with the time of their file as ``arrived``."""
+    files = (
+        spark.readStream.schema(schemas.DELIVERIES)
         .option("maxFilesPerTrigger", files_per_batch).json(path)
     )
+    return files.select("*", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file"))
 
 
 def stream_extract(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
@@ -25,7 +26,8 @@ def stream_extract(spark: SparkSession, source: str, sink: str, checkpoint: str)
 
     The checkpoint holds which files were read and the sink its committed
     batches, so a stopped or failed run is continued without loss or repeats.
-    All three folders must be shared by the executors.
+    All three folders must be shared by the executors.  A response may be delivered again or retried: the sink keeps
+    every delivery, no state is held between batches, and ``read_parsed`` gives the last of each question.
     """
     query = (
         extract_reasoning_sql(read_response_stream(spark, source))
@@ -44,6 +46,31 @@ PARSED = T.StructType([
 ])
 
 
+_DELIVERED = T.StructType([
+    *PARSED.fields,
+    T.StructField("attempt", T.IntegerType()),
+    T.StructField("arrived", T.TimestampType()),
+    T.StructField("file", T.StringType()),
+])
+
+
+def read_parsed(spark: SparkSession, sink: str) -> DataFrame:
+    """One row for each question of the sink: its highest attempt, of which the file that arrived last counts.
+
+    Without ``attempt`` a response is attempt 0.  Files of one time go by their path, and lines of one file by what was parsed, so the choice
+    does not depend on the order of tasks.  Rows without a question are kept, each.  Each task passes on one row a question, so a question
+    delivered very often is not gathered in one task.
+    """
+    delivered = spark.read.schema(_DELIVERED).parquet(sink)
+    names = PARSED.names
+    last = Window.partitionBy("question_id").orderBy(
+        F.coalesce("attempt", F.lit(0)).desc(), F.desc("arrived"), F.desc("file"), *[F.desc(n) for n in names[1:]])
+    chosen = (
+        delivered.where("question_id IS NOT NULL").withColumn("_place", F.row_number().over(last)).where("_place = 1")
+    )
+    return chosen.select(names).unionByName(delivered.where("question_id IS NULL").select(names))
+
+
 def progress_by_shard(questions: DataFrame, annotations: DataFrame, n_shards: int = 4) -> DataFrame:
     """Questions asked and processed in each shard."""
     done = annotations.select("question_id").distinct().withColumn("done", F.lit(1))
