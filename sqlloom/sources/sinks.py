@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlloom.functions.ranking import number_rows
 from sqlloom.operators.extract import norm_class
+from sqlloom.session import scratch_dir
 
 
 def write_annotations(annotations: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -70,9 +71,13 @@ def write_evaluator_files(rows: DataFrame, pred_path: str, gold_path: str) -> No
     """Two line-aligned texts: the predictions, and ``gold<TAB>db_id``.
 
     Both are in the order of the unique ``question_id`` within and across their part files, so
-    line n of one belongs to line n of the other, wherever the files are cut.
+    line n of one belongs to line n of the other, wherever the files are cut.  The pairs are worked out
+    once and stored in the shared scratch folder for both.
     """
-    ordered = eval_pairs(rows).repartitionByRange("question_id").sortWithinPartitions("question_id")
+    spark, stored = rows.sparkSession, scratch_dir(rows.sparkSession, "pairs")
+    pairs = eval_pairs(rows)
+    pairs.write.parquet(stored)
+    ordered = spark.read.schema(pairs.schema).parquet(stored).repartitionByRange("question_id").sortWithinPartitions("question_id")
     ordered.select("pred").write.text(pred_path)
     ordered.select(F.concat_ws("\t", "gold", "db_id")).write.text(gold_path)
 
