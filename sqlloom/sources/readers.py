@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlloom import schemas
+from sqlloom.sources.csv_spans import read_csv
 from sqlloom.sources.json_spans import read_records
 
 
@@ -67,15 +68,9 @@ def read_columnar_json(spark: SparkSession, path: str, columns: list[str] | T.St
 
 
 def read_predictions_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
-    """CSV with a header; quoted cells may hold line breaks and doubled quotes, so a file is one task.
+    """CSV with a header in each file, cut in parallel; quoted cells may hold line breaks and doubled quotes.
 
-    Columns are taken by the names in the header, in any order; an absent column and a cell that
+    Columns are taken by the names in the header of their file, in any order; an absent column and a cell that
     is not of its type are null.
     """
-    found = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-
-    def column(field: T.StructField) -> Column:
-        value = F.col(f"`{field.name}`") if field.name in found.columns else F.lit(None)
-        return value.try_cast(field.dataType).alias(field.name)
-
-    return found.select(*[column(f) for f in schema])
+    return read_csv(spark, path, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlloom import schemas
-from sqlloom.sources import json_spans, readers, sinks
+from sqlloom.sources import csv_spans, json_spans, readers, sinks
 
 
 def rows(df):
@@ -99,6 +99,44 @@ def test_csv_columns_are_taken_by_name(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == [(7, "why", None, "SELECT 1, 2"), (None, "how", None, "x")]
 
 
+def test_csv_files_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffquestion_id,question\n1,"a\nb"\n\n2,c\n')
+    (tmp_path / "b.csv").write_bytes(b'"question","other","question_id"\r\n"x, ""y""\r\nz",,3\r\n,"q",4')
+    (tmp_path / "none.csv").write_text("")
+    got = readers.read_predictions_csv(spark, str(tmp_path)).select("question_id", "question")
+    assert rows(got.fillna("", "question")) == [(1, "a\nb"), (2, "c"), (3, 'x, "y"\r\nz'), (4, "")]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    assert readers.read_predictions_csv(spark, str(tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("line, inside, behind", [
+    ("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('b",c', True, False), ('"a""', False, True), ('"a"""', False, False),
+    ('x"y', False, False), ('"a"b"c', False, False), ('","', True, True), ('","', False, False), ('"', True, False), ('""', True, True), ("", True, True)])
+def test_csv_quote_state_of_a_line(line, inside, behind):
+    assert csv_spans.open_behind(line, inside) == behind
+
+
+def test_one_csv_file_is_many_tasks(spark, tmp_path):
+    draw = random.Random(5)
+    bits = ["a", ",", '"', "\n", '",', "\n\n", '\n"', "word ", "\u00e9"]
+    data = [(i, "".join(draw.choices(bits, k=draw.randrange(1, 30))), "x" * draw.choice([1, 1, 1, 4000]) + "\n", "s") for i in range(400)]
+    cell = lambda v: '"' + str(v).replace('"', '""') + '"'
+    text = "question_id,question,schema_links,model_predicted_sql\n" + "\n".join(",".join(map(cell, r)) for r in data) + "\n"
+    (tmp_path / "p.csv").write_text(text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = readers.read_predictions_csv(spark, str(tmp_path / "p.csv"))
+        ends = csv_spans._lines(spark, str(tmp_path / "p.csv")).mapInArrow(
+            csv_spans._ends, "file string, split bigint, ends_0 boolean, ends_1 boolean, header string").collect()
+        begins = csv_spans.begin_states([tuple(r)[:4] for r in ends])
+        assert len(begins) > 20 and 0 < sum(begins.values()) < len(begins)
+        assert rows(got) == data
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_unreadable_records_are_shown(spark, tmp_path):
     good = {"question_id": 1, "db_id": "d", "question": "q", "query": "s"}
     (tmp_path / "q.json").write_text(json.dumps(good) + "\n{broken\n\n" + json.dumps(good) + " tail\n[1]\n")
