@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,32 +10,50 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm.common import discard, stored
 
-_URN = 10**9  # numpy draws hypergeometric counts from fewer balls than this
-
 
 def shard_quotas(rows: int, shards: int) -> list[int]:
     """Exact shard sizes: at most one row apart, the larger ones first."""
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` balls are good, out of ``good`` and ``bad`` ones.
+
+    The law is summed up from its mode by the ratios of neighbouring chances and inverted at a uniform number,
+    the same way at every size.  Counts further from the mode than 12 standard deviations and 64, whose chances
+    together vanish beside the rounding of a double, are not summed, so memory grows with the root of the draw.
+    """
+    low, high = max(0, drawn - bad), min(drawn, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(drawn * (good / total) * (bad / total) * ((total - drawn) / (total - 1)))
+    low, high = max(low, mode - int(12 * spread) - 64), min(high, mode + int(12 * spread) + 64)
+    k = np.arange(low, high)  # the chance of k + 1 over that of k
+    steps = np.log((good - k).astype(float)) + np.log((drawn - k).astype(float)) - np.log(k + 1.0) - np.log((bad - drawn + k + 1).astype(float))
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    chances = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
+
+
 def communication_matrix(counts: list[int], quotas: list[int], seed: int) -> list[list[int]]:
     """How many rows each partition sends to each shard.
 
     Row p is a multivariate hypergeometric draw of ``counts[p]`` balls from what
-    the earlier partitions left of the quotas: the distribution that a uniform
+    the earlier partitions left of the quotas, shard by shard: the distribution that a uniform
     permutation of all rows would give.  Rows add up to the partitions' counts
     and columns to the quotas.
     """
-    rng, left, matrix = np.random.default_rng(seed), np.array(quotas, dtype=np.int64), []
+    rng, left, matrix = np.random.default_rng(seed), list(quotas), []
     for n in counts:
-        total = int(left.sum())
-        if total < _URN:
-            drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
-        else:  # the same law, by n distinct places in the urn
-            places = random.Random(f"{seed}/{len(matrix)}").sample(range(total), n)
-            drawn = np.bincount(np.searchsorted(np.cumsum(left), places, side="right"), minlength=len(left))
-        left = left - drawn
-        matrix.append([int(x) for x in drawn])
+        others, drawn = sum(left), []
+        for quota in left:
+            others -= quota
+            drawn.append(hypergeometric(rng, quota, others, n))
+            n -= drawn[-1]
+        left = [quota - d for quota, d in zip(left, drawn)]
+        matrix.append(drawn)
     return matrix
 
 

@@ -1,5 +1,6 @@
 """The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import math
 import zlib
 
 import brute
@@ -241,6 +242,17 @@ def test_shards_are_exact(docs, empty):
     assert sharding.shuffle_into_shards(empty, 5).count() == 0
 
 
+def test_hypergeometric_draws_follow_their_law():
+    rng = np.random.default_rng(1)
+    for good, bad, drawn in ((7, 9, 6), (3, 30, 12), (20, 2, 15)):
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(20000)], minlength=drawn + 1) / 20000
+        want = [math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(drawn + 1)]
+        assert np.abs(got - want).max() < 0.02
+    big = [sharding.hypergeometric(rng, 10**10, 3 * 10**10, 10**8) for _ in range(300)]
+    spread = (10**8 * 0.25 * 0.75) ** 0.5
+    assert abs(np.mean(big) - 25 * 10**6) < spread / 3 and 0.8 < np.std(big) / spread < 1.2
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
