@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,7 @@ _MORE_KIND = (
 )
 
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,text:string,before:string>>"
+_BLOCK = 4096
 VOTERS = ("shape", "gazetteer", "context", "against", "placeholder")
 FEATURES = ("kind", *VOTERS, "length", "digits")
 
@@ -73,22 +75,49 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(digits)), F.lit(0), add) % 10 == 0
 
 
-def _matches(text: Column, pattern: str, kind: int, needed: Column) -> Column:
-    """Spans of all matches: the text is cut around them and the lengths of the parts are added up."""
-    parts = F.when(needed, F.split(F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT, -1)).otherwise(F.array(F.lit("")))
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    context = F.transform(numbered, lambda p, i: F.struct(
-        F.char_length(p["x"]).cast("bigint").alias("n"), i.alias("i"), F.when(i % 2 == 1, p["x"]).alias("x"),
-        F.when(i % 2 == 0, F.right(p["x"], F.lit(40))).alias("tail")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"), F.array().cast(_SPAN).alias("spans"))
+def _before(df: DataFrame, names: dict[str, str], value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds arrays: what ``combine`` (from 0) makes of the values of all earlier elements, for each element of the named arrays.
+
+    A fold copies its state at every step, so gathering these values in one would cost the square of the length.
+    Here runs of 64 values are combined first, only the runs' results are gathered, and an element adds the earlier ones of its run.
+    """
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("all"))
+
+    def runs(v: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 64).cast("int")), lambda r: F.aggregate(F.slice(v, r * 64 + 1, F.lit(64)), zero, combine))
+
+    def earlier(r: str) -> Column:
+        return F.aggregate(r, start, lambda acc, x: F.struct(
+            combine(acc["sum"], x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")), lambda acc: acc["all"])
+
+    def each(v: str, o: str) -> Column:
+        return F.transform(v, lambda x, i: F.aggregate(F.slice(v, i - i % 64 + 1, i % 64), F.get(o, F.floor(i / 64).cast("int")), combine))
+
+    df = once(df, **{f"{new}_v": F.transform(c, lambda x: value(x).cast("bigint")) for c, new in names.items()})
+    df = once(df, **{f"{new}_r": runs(f"{new}_v") for new in names.values()})
+    df = once(df, **{f"{new}_o": earlier(f"{new}_r") for new in names.values()})
+    df = once(df, **{new: each(f"{new}_v", f"{new}_o") for new in names.values()})
+    return df.drop(*[f"{new}_{x}" for new in names.values() for x in "vro"])
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + p["n"]
-        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), p["x"].alias("text"), acc["before"].alias("before"))
-        return F.struct(end.alias("at"), F.coalesce(p["tail"], F.lit("")).alias("before"),
-                        F.when(p["i"] % 2 == 1, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(context, zero, step, lambda acc: acc["spans"])
+def _parts(text: Column, pattern: str, needed: Column) -> Column:
+    """The text cut around all matches, which are the elements at odd places."""
+    return F.when(needed, F.split(F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT, -1)).otherwise(F.array(F.lit("")))
+
+
+def _matches(parts: str, starts: str, kind: int) -> Column:
+    """Spans of the matches, from the parts of a text and where they start."""
+    def span(x: Column, i: Column) -> Column:
+        at = F.get(starts, i)
+        return F.when(i % 2 == 1, F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.char_length(x)).alias("end"), x.alias("text"),
+                                           F.right(F.get(parts, i - 1), F.lit(40)).alias("before")))
+
+    return F.array_compact(F.transform(parts, span))
 
 
 def _numbered(docs: DataFrame) -> dict[str, str]:
@@ -105,16 +134,30 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
     any_digit = t.rlike("[0-9]")
     dotted = F.regexp_replace(t, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     joined = F.regexp_replace(t, r"(?<=[0-9])[ -](?=[0-9])", _GAP)
-    found = once(
+    cut = once(
         held,
-        _email=_matches(dotted, _EMAIL, 0, t.contains("@")), _ip=_matches(t, _IP, 1, any_digit),
-        _card=_matches(joined, _CARD, 2, t.rlike("[0-9][0-9 -]{14}")), _phone=_matches(t, _PHONE, 3, t.contains("+")),
-        _more=_matches(t, _MORE, 4, F.lit(True)))
+        _p0=_parts(dotted, _EMAIL, t.contains("@")), _p1=_parts(t, _IP, any_digit),
+        _p2=_parts(joined, _CARD, t.rlike("[0-9][0-9 -]{14}")), _p3=_parts(t, _PHONE, t.contains("+")),
+        _p4=_parts(t, _MORE, F.lit(True)))
+    placed = _before(cut, {f"_p{i}": f"_s{i}" for i in range(5)}, F.char_length, lambda a, b: a + b)
+    found = once(placed, **{name: _matches(f"_p{i}", f"_s{i}", i) for i, name in enumerate(("_email", "_ip", "_card", "_phone", "_more"))})
     ip = F.filter("_ip", lambda s: F.forall(F.split(s["text"], r"\."), lambda x: x.cast("double") <= 255))
     card = F.filter("_card", lambda s: F.char_length(_digits(s["text"])).between(16, 19) & _luhn(_digits(s["text"])))
     phone = F.filter("_phone", lambda s: F.char_length(_digits(s["text"])).between(8, 15))
     kept = once(found, base=F.concat("_email", ip, card, phone))
-    free = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # base spans and candidates in one order of places; candidates do not overlap each other, so a base span that begins inside one is the next in order
+    def in_order(c: str, more: int) -> Column:
+        return F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(more).alias("more"), x["end"].alias("end"), x.alias("s")))
+
+    both = F.array_sort(F.concat(in_order("base", 0), in_order("_more", 1)))
+    kept = _before(once(kept, _both=both), {"_both": "_far"}, lambda x: F.when(x["more"] == 0, x["end"]).otherwise(F.lit(0)), _larger)
+
+    def alone(x: Column, i: Column) -> Column:
+        following = F.get("_both", i + 1)
+        inside = following.isNotNull() & (following["more"] == 0) & (following["start"] < x["end"])
+        return F.when((x["more"] == 1) & (F.get("_far", i) <= x["start"]) & ~F.coalesce(inside, F.lit(False)), x["s"])
+
+    free = F.array_compact(F.transform("_both", alone))
 
     def kind(m: Column) -> Column:
         c = F.lit(KINDS.index("secret"))
@@ -260,19 +303,28 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = _numbered(docs)
     found = _found(docs, "text", None)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     source = F.col(names["text"])
-
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.substring(source, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                        F.lit("["), F.upper(kind_name(s["kind"])), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(mark))).otherwise(acc["out"]).alias("out"))
-
-    rewritten = F.aggregate(ordered, zero, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(source, (acc["at"] + 1).cast("int"), F.char_length(source))))
-    text = F.when(F.size("spans") > 0, rewritten).otherwise(source)
-    changed = once(found, _text=text)
+    found = once(found, _ordered=F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+
+    placed = _before(found, {"_ordered": "_at"}, lambda s: s["end"], _larger)
+    # what stays before each mark, and behind the last one (without a kind); a span that begins inside an earlier one has no mark
+    gaps = F.array_compact(F.transform("_ordered", lambda s, i: F.when(s["start"] >= F.get("_at", i), F.struct(
+        F.get("_at", i).alias("start"), s["start"].alias("end"), s["kind"].alias("kind")))))
+    last = F.greatest(F.element_at("_at", -1), F.element_at("_ordered", -1)["end"])
+    rest = F.struct(last.alias("start"), F.char_length(source).cast("bigint").alias("end"), F.lit(None).cast("int").alias("kind"))
+    gaps = F.when(F.size("_ordered") > 0, F.concat(gaps, F.array(rest))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
+    # the text in blocks, as a place is found by walking from the start of its string
+    cut = once(placed, _gaps=gaps, _blocks=F.regexp_extract_all(source, F.lit(f"(?s).{{1,{_BLOCK}}}+"), F.lit(0)))
+
+    def part(g: Column) -> Column:
+        a, b = F.floor(g["start"] / _BLOCK).cast("int"), F.floor(g["end"] / _BLOCK).cast("int")
+        block = lambda i: F.coalesce(F.get("_blocks", i), F.lit(""))
+        head, stop = (g["start"] % _BLOCK + 1).cast("int"), (g["end"] % _BLOCK).cast("int")
+        return F.when(a == b, F.substring(block(a), head, (g["end"] - g["start"]).cast("int"))).otherwise(F.concat(
+            F.substring(block(a), head, F.lit(_BLOCK)), F.array_join(F.slice("_blocks", a + 2, b - a - 1), ""), F.substring(block(b), F.lit(1), stop)))
+
+    rewritten = F.array_join(F.transform("_gaps", lambda g: F.when(g["kind"].isNull(), part(g)).otherwise(
+        F.concat(part(g), F.lit("["), F.upper(kind_name(g["kind"])), F.lit("]")))), "")
+    changed = once(cut, _text=F.when(F.size("_gaps") > 1, rewritten).otherwise(source))
     columns = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
     return changed.select(*[columns.get(c, F.col(n)).alias(c) for c, n in names.items()])

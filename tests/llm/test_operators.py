@@ -1,6 +1,8 @@
 """The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import math
+import random
+import re
 import zlib
 
 import brute
@@ -242,6 +244,27 @@ def test_shards_are_exact(docs, empty):
     assert sharding.shuffle_into_shards(empty, 5).count() == 0
 
 
+def test_spans_of_a_long_text(spark):
+    draw = random.Random(3)
+    bits = ["a@b.co", "Dr. Jane Doe", "123-45-6789", "10.0.0.1", "+1 (212) 555-0100", "(212) 555-0100", "token=abcdefgh1", "token=me@host.example",
+            "4111 1111 1111 1111", "James", "\u00e9\u4e2d", "word", "password: 10.20.30.40x9", "x@James Bond.de"]
+    texts = ["", " ".join(draw.choices(bits, k=3000)), "".join(draw.choices(bits, k=700)), "a@b.co " * 5000 + "z" * 9000 + " a@b.co"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # a candidate stays where no base span overlaps it
+    for r in pii._candidates(docs, "text").collect():
+        found = [m.span() for m in re.finditer(pii._MORE, texts[r["_c0"]])]
+        free = [(a, b) for a, b in found if not any(x.start < b and a < x.end for x in r.base)]
+        assert [(m.start, m.end) for m in r.more] == free and (len(texts[r["_c0"]]) < 10**4 or len(r.base) > 900)
+    spans = {r.row.doc_id: sorted((s.start, s.end, s.kind) for s in r.spans) for r in pii.find_spans(docs).collect()}
+    for r in pii.redact(docs).collect():
+        out, at, source = [], 0, texts[r.doc_id]
+        for a, b, kind in spans[r.doc_id]:
+            if a >= at:
+                out.append(source[at:a] + f"[{pii.KINDS[kind].upper()}]")
+            at = max(at, b)
+        assert r.text == "".join(out) + source[at:]
+
+
 def test_hypergeometric_draws_follow_their_law():
     rng = np.random.default_rng(1)
     for good, bad, drawn in ((7, 9, 6), (3, 30, 12), (20, 2, 15)):
