@@ -97,7 +97,8 @@ def question_shards(questions: DataFrame, n_shards: int = 4) -> DataFrame:
 
 
 def with_prompt_hash(prompts: DataFrame) -> DataFrame:
-    return prompts.withColumn("prompt_hash", F.sha2("prompt", 256))
+    """A ``prompt_hash`` that is stored already stays, and with it the buckets of its table."""
+    return prompts if "prompt_hash" in prompts.columns else prompts.withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
 def pending_prompts(prompts: DataFrame, completions: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def schema_item_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def _best(items: Column, index: str, k: int) -> Column:
+def best(items: Column, index: str, k: int) -> Column:
     """The k items with the highest score, ties by position."""
     # 0 - score, since a negated zero would sort apart from zero
     keyed = F.transform(items, lambda i: F.struct(
@@ -113,15 +113,15 @@ def _best(items: Column, index: str, k: int) -> Column:
 def best_items(scored: DataFrame, k_tables: int = TOP_TABLES, k_columns: int = TOP_COLUMNS) -> DataFrame:
     """Cut ``items`` to the best tables and the best columns of each, in rank order."""
     return scored.withColumn("items", F.transform(
-        _best(F.col("items"), "tab_idx", k_tables),
+        best(F.col("items"), "tab_idx", k_tables),
         lambda t: F.struct(
             t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), t["score"].alias("score"),
-            _best(t["columns"], "col_idx", k_columns).alias("columns")),
+            best(t["columns"], "col_idx", k_columns).alias("columns")),
     ))
 
 
 def top_k_tables(scored: DataFrame, k: int = TOP_TABLES) -> DataFrame:
-    return scored.select("question_id", F.posexplode(_best(F.col("items"), "tab_idx", k)).alias("pos", "t")).select(
+    return scored.select("question_id", F.posexplode(best(F.col("items"), "tab_idx", k)).alias("pos", "t")).select(
         "question_id", (F.col("pos") + 1).alias("table_rank"), "t.tab_idx", "t.table_name", "t.score"
     )
 

@@ -548,9 +548,18 @@ def _mentions(text: str) -> list[str]:
     return [n for n in CTES if n in needed]
 
 
+# Other ways to the same rows: stored, published or counted by batch.
+SAME_ROWS = {
+    "commit_annotations": "write_annotations",
+    "pending_prompts_stored": "pending_prompts",
+    "join_completions_stored": "join_completions",
+    "progress_by_batch": "progress_by_shard",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, body in STATEMENTS.items():
+    for name, body in [*STATEMENTS.items(), *((n, STATEMENTS[like]) for n, like in SAME_ROWS.items())]:
         ctes = ", ".join(f"{n} AS ({CTES[n]})" for n in _mentions(body))
         out[name] = f"WITH {ctes} SELECT * FROM ({body})" if ctes else body
     return out

@@ -13,6 +13,7 @@ from sqlloom.functions.relational import join_rows
 from sqlloom.operators import catalog as C
 from sqlloom.operators import evaluate as E
 from sqlloom.operators import extract as R
+from sqlloom.operators import item_ranker as L
 from sqlloom.operators import prompts as P
 from sqlloom.operators import schema_filter as S
 from sqlloom.operators import training as D
@@ -20,7 +21,7 @@ from sqlloom.plans import fixtures as X
 from sqlloom.plans.annotation import annotate, annotation_rejects
 from sqlloom.plans.workload import SHAPES
 from sqlloom.session import scratch_dir
-from sqlloom.sources import readers, sinks
+from sqlloom.sources import bucketed, commits, readers, sinks
 from sqlloom.streaming import incremental
 
 EVAL_SHARE = 10  # one question in ten belongs to the evaluation split
@@ -154,6 +155,39 @@ def write_annotations(i: Inputs) -> DataFrame:
     return i.spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def commit_annotations(i: Inputs) -> DataFrame:
+    path, even = i.scratch("runs"), F.col("question_id") % 2 == 0
+    for run, rows in (("even", i.annotations.where(even)), ("odd", i.annotations.where(~even)), ("even", i.annotations)):
+        sinks.commit_annotations(rows, path, run)  # the third is a rerun, which writes nothing
+    return commits.read_committed(i.spark, path, i.annotations.schema).drop("run_id")
+
+
+def progress_by_batch(i: Inputs) -> DataFrame:
+    source, counts, state = i.scratch("done"), i.scratch("counts"), i.scratch("state")
+    done = i.annotations.select("question_id")
+    for part in (done.where("question_id % 3 = 0"), done):  # a third is delivered again
+        part.write.mode("append").parquet(source)
+        incremental.stream_progress(i.spark.readStream.schema(done.schema).parquet(source), i.questions, counts, state)
+    return incremental.read_progress(i.spark, counts, i.questions)
+
+
+def ranked_columns(i: Inputs) -> DataFrame:
+    """Trained on the links of half of the questions, applied to all."""
+    ranker = L.fit_ranker(i.questions, i.catalog, i.links_by_db.where("pmod(xxhash64(question_id + 7), 2) = 0"))
+    return L.best_columns(L.ranked_items(i.questions, i.catalog, ranker))
+
+
+def _stored_prompts(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Prompts and completions kept in buckets of their hash."""
+    tables = []
+    for name, rows in (("prompts", P.with_prompt_hash(i.link_prompts)), ("completions", i.completions)):
+        path = i.scratch(name)
+        table = path.rpartition("/")[2].replace("-", "_")
+        bucketed.append(rows, table, "prompt_hash", 8, path)
+        tables.append(i.spark.table(table))
+    return tables[0], tables[1]
+
+
 def write_eval_pairs(i: Inputs) -> DataFrame:
     path = i.scratch("pairs")
     sinks.write_eval_pairs(i.pairs, path)
@@ -243,6 +277,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "read_columnar_json": read_columnar_json,
     "read_predictions_csv": read_predictions_csv,
     "write_annotations": write_annotations,
+    "commit_annotations": commit_annotations,
     "unpivot_export": lambda i: sinks.unpivot_export(i.questions, "question_id"),
     "write_eval_pairs": write_eval_pairs,
     "write_transcript": write_transcript,
@@ -271,6 +306,8 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "question_shards": lambda i: P.question_shards(i.questions),
     "pending_prompts": lambda i: P.pending_prompts(i.link_prompts, i.completions),
     "join_completions": lambda i: P.join_completions(i.link_prompts, i.completions),
+    "pending_prompts_stored": lambda i: P.pending_prompts(*_stored_prompts(i)),
+    "join_completions_stored": lambda i: P.join_completions(*_stored_prompts(i)),
     "extract_schema_links": lambda i: i.links,
     "explode_schema_links": lambda i: R.explode_schema_links(i.links),
     "schema_link_usage": lambda i: R.schema_link_usage(i.links_by_db),
@@ -292,6 +329,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "top_k_tables_three": lambda i: S.top_k_tables(i.scored, 3),  # a derived database holds five tables or more
     "top_k_columns": lambda i: S.top_k_columns(i.scored),
     "filtered_schema": lambda i: S.filtered_schema(i.scored),
+    "top_k_columns_trained": ranked_columns,
     "top_k_tables_external": lambda i: S.external_top_tables(i.item_scores, 3),
     "top_k_columns_external": lambda i: S.external_top_columns(i.item_scores, 3, 4),
     "valid_samples": lambda i: i.valid,
@@ -317,6 +355,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "success_rate": lambda i: E.success_rate(i.questions, i.annotations),
     "stream_extract": stream_extract,
     "progress_by_shard": lambda i: incremental.progress_by_shard(i.questions, i.annotations),
+    "progress_by_batch": progress_by_batch,
     **{name: (lambda i, f=f: f(i.table)) for name, f in SHAPES.items()},
 }
 

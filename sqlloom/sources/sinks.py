@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sqlloom.functions.ranking import number_rows
 from sqlloom.operators.extract import norm_class
 from sqlloom.session import scratch_dir
+from sqlloom.sources.commits import commit
 
 
 def write_annotations(annotations: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -19,6 +20,14 @@ def write_annotations(annotations: DataFrame, path: str, mode: str = "errorifexi
     by_class.write.mode(mode).partitionBy("class_norm").parquet(path)
 
 
+def commit_annotations(annotations: DataFrame, path: str, run: str) -> bool:
+    """Annotations of one run, by ``class_norm``, published whole; False if the run had been published.
+
+    A run that failed at any step may be started again: ``commits.read_committed`` gives one copy of it.
+    """
+    return commit(annotations.sparkSession, path, run, lambda folder: write_annotations(annotations, folder))
+
+
 def write_splits(samples: DataFrame, path: str) -> None:
     """Training samples by split."""
     samples.write.mode("append").partitionBy("split").parquet(path)
@@ -82,6 +91,14 @@ def write_evaluator_files(rows: DataFrame, pred_path: str, gold_path: str) -> No
     ordered.select(F.concat_ws("\t", "gold", "db_id")).write.text(gold_path)
 
 
+def commit_evaluator_files(rows: DataFrame, path: str, run: str) -> bool:
+    """Both files of ``write_evaluator_files`` as ``pred`` and ``gold`` of one folder, published together.
+
+    ``commits.committed_folders`` gives the folder; an evaluator never meets one file of a run without the other.
+    """
+    return commit(rows.sparkSession, path, run, lambda folder: write_evaluator_files(rows, f"{folder}/pred", f"{folder}/gold"))
+
+
 def transcript(samples: DataFrame) -> DataFrame:
     """Entries of prompt and answer, numbered in the order of the (unique) ``question_id``.
 

@@ -10,6 +10,8 @@ from sqlloom import schemas
 from sqlloom.functions.relational import join_rows
 from sqlloom.operators.extract import extract_reasoning_sql
 from sqlloom.operators.prompts import shard_of
+from sqlloom.session import scratch_dir
+from sqlloom.sources.commits import commit, read_committed
 
 
 def read_response_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -79,3 +81,42 @@ def progress_by_shard(questions: DataFrame, annotations: DataFrame, n_shards: in
         .groupBy(shard_of(F.col("question_id"), n_shards).alias("shard"))
         .agg(F.count(F.lit(1)).alias("n_asked"), F.count("done").alias("n_processed"))
     )
+
+
+_COUNTS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("n_processed", T.LongType())])
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stream_progress(done: DataFrame, questions: DataFrame, path: str, checkpoint: str, n_shards: int = 4) -> None:
+    """Add the questions that newly arrived in the stream ``done`` to the counts in ``path``; returns when all are counted.
+
+    Each batch publishes its counts as a run of its own id, so a batch that is repeated after a failure
+    counts once.  The ids seen are keyed state in RocksDB on the executors' disks, one a question, kept in ``checkpoint``: a question
+    delivered again, in whatever batch, is not counted again, and earlier batches are not read.  Ids of no question and null ids are not counted.
+    """
+    spark, asked = done.sparkSession, questions.select("question_id")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        ids = scratch_dir(spark, "ids")
+        batch.write.parquet(ids)  # the state needs every partition of a batch to run, also where its counts are published already
+        counts = join_rows(spark.read.schema(batch.schema).parquet(ids), asked, how="left_semi").groupBy(
+            shard_of(F.col("question_id"), n_shards).alias("shard")).agg(F.count(F.lit(1)).alias("n_processed"))
+        commit(spark, path, f"batch-{batch_id}", lambda folder: counts.write.parquet(folder))
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (
+            done.select("question_id").dropDuplicates(["question_id"])
+            .writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    query.awaitTermination()
+
+
+def read_progress(spark: SparkSession, path: str, questions: DataFrame, n_shards: int = 4) -> DataFrame:
+    """Questions asked and processed in each shard, by the counts that ``stream_progress`` published with the same shards."""
+    asked = questions.groupBy(shard_of(F.col("question_id"), n_shards).alias("shard")).agg(F.count(F.lit(1)).alias("n_asked"))
+    done = read_committed(spark, path, _COUNTS).groupBy("shard").agg(F.sum("n_processed").alias("n_processed"))
+    return asked.join(done, "shard", "left").select("shard", "n_asked", F.coalesce("n_processed", F.lit(0)).alias("n_processed"))
