@@ -17,7 +17,7 @@ from sqlloom.operators import schema_filter as S
 from sqlloom.plans import registry
 
 # a write-and-read-back query shows the plan of its reader only
-LAZY = [n for n in registry.OPERATORS if not n.startswith(("read_", "write_", "stream_"))]
+LAZY = [n for n in registry.OPERATORS if not n.startswith(("read_", "write_", "commit_", "stream_", "progress_by_batch"))]
 SORTED = {"w_sort_asc", "w_join3_sorted"}
 
 
