@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -194,6 +196,20 @@ def test_broken_records_do_not_take_others(spark, tmp_path, small_splits, indent
     assert sum(len("".join(r["rejected"].split())) for r in got if r["rejected"]) >= sum(len("".join(t.split())) for t in broken.values()) - 5
 
 
+def test_a_split_is_scanned_in_blocks(monkeypatch):
+    texts = ["[\n" + "".join(random.Random(1).choices('{["\\\\\n ,a\t]', k=3000))] + [f',\n{{"question": "a\\"{{b {i}"' for i in range(40_000)]
+    columns = [pa.array(["f"] * len(texts)), pa.array([0] * len(texts), pa.int64()), pa.array([1 << 40] * len(texts), pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["file", "split", "size", "value"])
+    tracemalloc.start()
+    try:
+        in_blocks = next(json_spans._sums(iter([batch]))).to_pylist()
+        assert tracemalloc.get_traced_memory()[1] < 50 * in_blocks[0]["size"]  # 80 bytes a byte, and more, for a split at once
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(json_spans, "_BLOCK", 100)
+    assert next(json_spans._sums(iter([batch]))).to_pylist() == in_blocks
+
+
 def test_files_without_records(spark, tmp_path):
     for name, text in {"a": "", "b": "[]", "c": " \n", "d": "[\n]\n"}.items():
         (tmp_path / f"{name}.json").write_text(text)
