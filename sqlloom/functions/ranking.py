@@ -9,15 +9,15 @@ from pyspark.sql import types as T
 from sqlloom.session import scratch_dir
 
 _SAMPLES = 32  # sampled keys for each range
+ROWS_PER_RANGE = 50_000
 
 
-def _bounds(df: DataFrame, order: list[str]) -> list[tuple]:
+def _bounds(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
     """Keys that cut the table into ranges of about equal size.
 
     The sample is the keys of smallest hash, so it is the same in every run; each task passes on a
     bounded number, and few rows give few ranges.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*order)
     sample = keys.orderBy(F.xxhash64(*order), *order).limit(_SAMPLES * ranges).orderBy(*order).collect()
     return [tuple(r) for r in sample[_SAMPLES::_SAMPLES]]
@@ -51,7 +51,9 @@ def number_rows(df: DataFrame, order: list[str], name: str, stored: bool = False
         path = scratch_dir(df.sparkSession, "numbered")
         df.write.parquet(path)
         df = df.sparkSession.read.schema(df.schema).parquet(path)
-    part = _range_of(_bounds(df, order), [df.schema[c] for c in order])
+    # a range is sorted by one task, so there are more of them in a larger table
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
+    part = _range_of(_bounds(df, order, ranges), [df.schema[c] for c in order])
     sizes = df.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # one row per range, so both the window and the broadcast are bounded by the number of ranges
     offsets = sizes.selectExpr(
@@ -60,7 +62,7 @@ def number_rows(df: DataFrame, order: list[str], name: str, stored: bool = False
     )
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
-        df.withColumn("_part", part).repartitionByRange("_part").withColumn("_place", inside)
+        df.withColumn("_part", part).repartitionByRange(ranges, "_part").withColumn("_place", inside)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_place"))
         .drop("_part", "_offset", "_place")

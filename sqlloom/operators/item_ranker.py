@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from sqlloom.functions.relational import join_catalog, join_rows, once
 from sqlloom.operators.extract import link_structs, validate_schema_links
-from sqlloom.operators.schema_filter import TOP_COLUMNS, best, scored_items
+from sqlloom.operators.schema_filter import TOP_COLUMNS, _weighted_items, best, score_items, scored_items
+from sqlloom.session import scratch_dir
 
 #: Questions read for training, those of smallest hash; the only sample here.
 SAMPLE_QUESTIONS = 2000
 #: Weights for hashed tokens of names.
 TOKEN_WEIGHTS = 128
-#: Numeric features, in the order of ``_numbers``.
+#: Numeric features, in the order of ``_numbers``; ``ASKED`` depend on the question.
 NUMBERS = ("is_table", "overlap", "any_overlap", "table_overlap", "nearness", "primary_key", "foreign_key", "number", "text", "time")
+ASKED = ("overlap", "any_overlap", "table_overlap")
 
 
 @dataclass(frozen=True)
@@ -51,25 +53,33 @@ def _hashes(kind: str, table: Column, column: Column, n: int) -> Column:
 def _numbers(t: Column, position: Column, c: Column | None) -> Column:
     """The numeric features of table ``t``, or of its column ``c`` at ``position``."""
     own = t if c is None else c
+    plain = _plain_numbers(position, c)
+    return F.array(
+        plain["is_table"], own["score"], (own["score"] > 0).cast("double"), t["score"], *[plain[n] for n in NUMBERS[4:]])
+
 
+def _plain_numbers(position: Column, c: Column | None) -> dict[str, Column]:
+    """The numeric features that do not depend on the question."""
     def typed(name: str) -> Column:
         return F.lit(0.0) if c is None else _flag(F.get("column_types", c["col_idx"]) == name)
 
     def key(holds: Column | None) -> Column:
         return F.lit(0.0) if holds is None else _flag(holds)
 
-    return F.array(
-        F.lit(1.0 if c is None else 0.0), own["score"], (own["score"] > 0).cast("double"), t["score"],
-        F.lit(1.0) / (position + 1),
-        key(None if c is None else F.array_contains("primary_keys", c["col_idx"])),
-        key(None if c is None else F.array_contains("_linked_keys", c["col_idx"])),
-        typed("number"), typed("text"), typed("time"))
+    return {
+        "is_table": F.lit(1.0 if c is None else 0.0), "nearness": F.lit(1.0) / (position + 1),
+        "primary_key": key(None if c is None else F.array_contains("primary_keys", c["col_idx"])),
+        "foreign_key": key(None if c is None else F.array_contains("_linked_keys", c["col_idx"])),
+        "number": typed("number"), "text": typed("text"), "time": typed("time")}
+
+
+def _known(catalog: DataFrame) -> DataFrame:
+    return catalog.select("db_id", "column_types", "primary_keys", F.flatten("foreign_keys").alias("_linked_keys"))
 
 
 def _with_features(questions: DataFrame, catalog: DataFrame, n_tokens: int) -> DataFrame:
     """``items`` with the features ``x`` and token places ``h`` of each table and column; no shuffle of items."""
-    known = catalog.select("db_id", "column_types", "primary_keys", F.flatten("foreign_keys").alias("_linked_keys"))
-    rows = join_catalog(scored_items(questions, catalog), known)
+    rows = join_catalog(scored_items(questions, catalog), _known(catalog))
 
     def column(t: Column):
         return lambda c, j: F.struct(
@@ -97,11 +107,16 @@ def training_rows(questions: DataFrame, catalog: DataFrame, links: DataFrame,
     """``label`` and ``features`` of each item of the sampled questions.
 
     ``links`` has question_id, db_id and schema_links.  Questions without a valid link teach nothing and are left out before the sample
-    is taken; which questions are taken follows from their ids alone.
+    is taken; which questions are taken follows from their ids alone.  The sample is worked out once and stored, and
+    features are worked out for its questions only.
     """
     taught = linked_items(links, catalog).where(F.size("linked") > 0)
     sample = taught.orderBy(F.xxhash64("question_id"), "question_id").limit(n_questions)
-    rows = join_rows(_with_features(questions, catalog, n_tokens), sample)
+    path = scratch_dir(questions.sparkSession, "sample")
+    sample.write.parquet(path)
+    sample = questions.sparkSession.read.schema(sample.schema).parquet(path)
+    asked = join_rows(questions, sample.select("question_id").distinct(), how="left_semi")
+    rows = join_rows(_with_features(asked, catalog, n_tokens), sample)
     label = F.array_contains("linked", F.concat_ws(".", F.col("t.table_name"), F.col("c.column_name")))
     table_label = F.exists("linked", lambda l: F.startswith(l, F.concat(F.col("t.table_name"), F.lit("."))))
     as_table = F.struct(F.lit(-1).alias("col_idx"), F.lit(None).cast("string").alias("column_name"),
@@ -122,6 +137,9 @@ def fit_ranker(questions: DataFrame, catalog: DataFrame, links: DataFrame, n_que
     Where no item is linked, or every one, there is nothing to tell apart and all weights are zero: every item then scores one half.
     """
     rows = training_rows(questions, catalog, links, n_questions, n_tokens)
+    path = scratch_dir(questions.sparkSession, "training")
+    rows.write.parquet(path)  # the fit reads them several times
+    rows = questions.sparkSession.read.schema(rows.schema).parquet(path)
     seen = {r["label"] for r in rows.select("label").distinct().collect()}  # two values at most
     if len(seen) < 2:
         return ItemRanker((0.0,) * len(NUMBERS), (0.0,) * n_tokens, 0.0)
@@ -136,21 +154,37 @@ def ranked_items(questions: DataFrame, catalog: DataFrame, ranker: ItemRanker) -
     Feed it to ``top_k_tables``, ``top_k_columns`` or ``filtered_schema``.  Questions of unknown databases are left out,
     null names score by their other features, and equal scores go by position there.
     """
-    rows = _with_features(questions, catalog, len(ranker.tokens))
-    by_place = F.array(*[F.lit(w) for w in ranker.tokens])
+    n = len(ranker.tokens)
+    weights = dict(zip(NUMBERS, ranker.numbers))
 
-    def score(i: Column) -> Column:
+    def fixed(t: Column, position: Column, c: Column | None) -> Column:
+        """What an item adds up to whatever the question is."""
         total = F.lit(ranker.intercept)
-        for n, w in enumerate(ranker.numbers):
-            total = total + F.get(i["x"], F.lit(n)) * F.lit(w)
-        total = F.aggregate(i["h"], total, lambda acc, p: acc + F.get("_weights", p))
+        for name, x in _plain_numbers(position, c).items():
+            total = total + x * F.lit(weights[name])
+        places = _hashes("t", t["table_name"], F.lit(None).cast("string"), n) if c is None else _hashes("c", t["table_name"], c["column_name"], n)
+        return F.aggregate(places, total, lambda acc, p: acc + F.get("_weights", p)).alias("fixed")
+
+    def table(t: Column, i: Column) -> Column:
+        return F.struct(
+            t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), t["tokens"].alias("tokens"), fixed(t, i, None),
+            F.transform(t["columns"], lambda c, j: F.struct(
+                c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), c["tokens"].alias("tokens"), fixed(t, j, c))).alias("columns"))
+
+    known = once(join_catalog(_weighted_items(catalog), _known(catalog)), _weights=F.array(*[F.lit(w) for w in ranker.tokens]))
+    weighed = once(known, weighed=F.transform("items", table)).select("db_id", "foreign_keys_text", F.col("weighed").alias("items"))
+
+    def score(t: Column, own: Column) -> Column:
+        total = own["fixed"]
+        for name, x in zip(ASKED, (own["score"], (own["score"] > 0).cast("double"), t["score"])):
+            total = total + x * F.lit(weights[name])
         return F.round(F.lit(1.0) / (F.exp(-total) + 1), 6).alias("score")
 
     items = F.transform("items", lambda t: F.struct(
-        t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), score(t),
+        t["tab_idx"].alias("tab_idx"), t["table_name"].alias("table_name"), score(t, t),
         F.transform(t["columns"], lambda c: F.struct(
-            c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), score(c))).alias("columns")))
-    return once(once(rows, _weights=by_place), scored=items).select(
+            c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), score(t, c))).alias("columns")))
+    return once(score_items(questions, weighed, "fixed"), scored=items).select(
         "question_id", "db_id", "foreign_keys_text", F.col("scored").alias("items"))
 
 
@@ -158,7 +192,7 @@ def best_columns(scored: DataFrame, k: int = TOP_COLUMNS) -> DataFrame:
     """The k best columns of a question over all tables of its database, ties by position."""
     columns = F.flatten(F.transform("items", lambda t: F.transform(t["columns"], lambda c: F.struct(
         t["table_name"].alias("table_name"), c["col_idx"].alias("col_idx"), c["column_name"].alias("column_name"), c["score"].alias("score")))))
-    return scored.select("question_id", F.posexplode(best(columns, "col_idx", k)).alias("pos", "c")).select(
+    return once(scored, _best=best(columns, "col_idx", k)).select("question_id", F.posexplode("_best").alias("pos", "c")).select(
         "question_id", (F.col("pos") + 1).alias("column_rank"), "c.table_name", "c.column_name", "c.score")
 
 

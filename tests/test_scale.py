@@ -7,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlloom import schemas
+from sqlloom.functions import ranking
 from sqlloom.functions.ranking import number_rows
 from sqlloom.functions.relational import join_catalog
 from sqlloom.operators import catalog as C
 from sqlloom.operators import evaluate as E
 from sqlloom.operators import extract as R
+from sqlloom.operators import item_ranker as L
 from sqlloom.operators import prompts as P
 from sqlloom.operators import schema_filter as S
+from sqlloom.plans import fixtures as X
 from sqlloom.plans import registry
 
 # a write-and-read-back query shows the plan of its reader only
@@ -191,3 +194,32 @@ def test_outside_scores_against_brute_force(spark):
             columns = sorted([(-d[5], d[3], d[4]) for d in data if d[0] == q and d[1] == t and d[4] is not None])[:10]
             expected |= {(q, n, f"t{t}", m, c, -s) for m, (s, _, c) in enumerate(columns, 1)}
     assert {tuple(r) for r in S.external_top_columns(df).collect()} == expected
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 100)
+    for rows, tasks in ((10, spark.sparkContext.defaultParallelism), (2950, 30)):
+        df = spark.range(0, rows, 1, 40)  # many splits, as a file of few row groups may have
+        got = X.spread(df, "id")
+        assert got.rdd.getNumPartitions() == tasks and got.count() == rows
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 100)
+    got = number_rows(spark.range(2000).selectExpr("id * 7 % 2000 AS v"), ["v"], "n")
+    assert "rangepartitioning(_part" in plan(got) and re.search(r"rangepartitioning\(_part#\d+ ASC NULLS FIRST, 20\)", plan(got))
+    assert all(r["n"] == r["v"] + 1 for r in got.collect())
+
+
+def test_scores_and_clauses_are_worked_out_once(spark, sf_dir):
+    i = registry.inputs(spark, sf_dir)
+    for df in (S.top_k_tables(i.scored), S.top_k_columns(i.scored), S.schema_item_scores(i.questions, i.catalog), E.clause_match(i.pairs)):
+        filters = [l for l in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in l]
+        assert not any("lambda" in l for l in filters)
+
+
+def test_training_works_out_features_of_its_sample_only(spark, sf_dir):
+    i = registry.inputs(spark, sf_dir)
+    rows = L.training_rows(i.questions, i.catalog, i.links_by_db, n_questions=5)
+    assert "LeftSemi" in plan(rows)
+    assert rows.select("features").count() > 5
