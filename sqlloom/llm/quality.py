@@ -19,7 +19,10 @@ ORDER = 5  # bytes of a word and its boundary
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW_WORDS = 20, 30, 8
-_FLUSH = 300_000  # distinct words held before their n-grams are passed on
+_FLUSH = 50_000  # distinct words held, over all languages, before their n-grams are added up
+_HELD = 400_000  # distinct n-grams held, over all languages, before they are passed on
+_SLICE = 16_384  # words spelled at once
+_PART = 2 << 20  # bytes of text measured at once
 _SLOTS = 1 << 20
 _LANG_SHIFT = 40  # a key holds five bytes below its language
 
@@ -73,6 +76,25 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[take[:len(codes)]], np.concatenate(([0], np.cumsum(sizes - ORDER + 1)[:-1])) if len(words) else first
 
 
+def spelled(counts: Counter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct five-byte codes of counted words and their counts, a slice of the words at a time."""
+    words, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    for i in range(0, len(words), _SLICE):
+        codes, first = word_grams(words[i:i + _SLICE])
+        yield added([(codes, np.repeat(times[i:i + _SLICE], np.diff(np.append(first, len(codes)))))])
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+    return codes[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
 def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")))
 
@@ -94,25 +116,34 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def count_grams(docs: DataFrame) -> DataFrame:
     """``lang``, ``code`` and ``n`` over all documents: words are counted in the task, their n-grams pre-aggregated."""
 
-    def emit(lang: str | None, counts: Counter) -> pa.RecordBatch:
-        codes, first = word_grams(list(counts))
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.diff(np.concatenate((first, [len(codes)]))))
-        seen, inverse = np.unique(codes, return_inverse=True)
-        total = np.zeros(len(seen), np.int64)
-        np.add.at(total, inverse, times)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(total)], names=["lang", "code", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, Counter] = {}
+        words: dict[str | None, Counter] = {}
+        grams: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        new = 0
+
+        def spell() -> None:
+            for lang in list(words):
+                counts = words.pop(lang)
+                grams[lang] = added([*spelled(counts), *([grams[lang]] if lang in grams else [])])
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, n) in grams.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
+            grams.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                counts = held.setdefault(lang.as_py(), Counter())
+                counts = words.setdefault(lang.as_py(), Counter())
+                before = len(counts)
                 counts.update(utf8(text.as_py()).split())
-                if len(counts) > _FLUSH:
-                    yield emit(lang.as_py(), held.pop(lang.as_py()))
-        for lang, counts in held.items():
-            if counts:
-                yield emit(lang, counts)
+                new += len(counts) - before
+                if new > _FLUSH:
+                    spell()
+                    new = 0
+                    if sum(len(codes) for codes, _ in grams.values()) > _HELD:
+                        yield from emit()
+        spell()
+        yield from emit()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
@@ -203,6 +234,35 @@ def fit(counts: pa.Table) -> KneserNey:
     return KneserNey(languages, grams, contexts)
 
 
+def text_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Beginnings and ends of runs of texts; the texts of one run end within the same ``_PART`` bytes."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.append(np.flatnonzero(np.diff(ends // _PART)) + 1, len(ends)).tolist()
+    return zip([0, *cuts], cuts)
+
+
+def measure_texts(net: KneserNey, number: dict[str | None, int], langs: list[str | None], texts: pa.Array) -> tuple[list, list, list]:
+    """Counts, predicted bytes and log10 probability of some texts; a distinct word is looked up once for each language."""
+    rows, lists, known = [], [], {}
+    for lang, text in zip(langs, texts):
+        words, counts = text_counts(text.as_py())
+        index = known.setdefault(lang, {})
+        lists.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+        rows.append((len(words), *counts))
+    scores, sizes = {}, {}
+    for lang, index in known.items():
+        words, score, size = list(index), [], []
+        for i in range(0, len(words), _SLICE):
+            codes, first = word_grams(words[i:i + _SLICE])
+            seen, inverse = np.unique(codes, return_inverse=True)
+            score.append(np.add.reduceat(net.log10(seen, number[lang])[inverse], first))
+            size.append(np.diff(np.append(first, len(codes))))
+        if words:
+            scores[lang], sizes[lang] = np.concatenate(score), np.concatenate(size)
+    logs = [float(scores[g][x].sum()) if len(x) else 0.0 for g, x in zip(langs, lists)]
+    return rows, [int(sizes[g][x].sum()) if len(x) else 0 for g, x in zip(langs, lists)], logs
+
+
 def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
     """``row`` (the document's columns), counts of every whole text and its log10 probability under its language's model."""
     box = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,22 +272,9 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
         net = box.value
         number = {x: i for i, x in enumerate(net.languages)}
         for batch in batches:
-            rows, lists, langs = [], [], batch.column(0).field("lang").to_pylist()
-            known: dict[str | None, dict[bytes, int]] = {}
-            for lang, text in zip(langs, batch.column(0).field("text")):
-                words, counts = text_counts(text.as_py())
-                index = known.setdefault(lang, {})
-                lists.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-                rows.append((len(words), *counts))
-            scores, sizes = {}, {}
-            for lang, index in known.items():
-                if index:
-                    codes, first = word_grams(list(index))
-                    seen, inverse = np.unique(codes, return_inverse=True)
-                    scores[lang] = np.add.reduceat(net.log10(seen, number[lang])[inverse], first)
-                    sizes[lang] = np.diff(np.concatenate((first, [len(codes)])))
-            logs = [float(scores[g][x].sum()) if len(x) else 0.0 for g, x in zip(langs, lists)]
-            width = [int(sizes[g][x].sum()) if len(x) else 0 for g, x in zip(langs, lists)]
+            texts, langs = batch.column(0).field("text"), batch.column(0).field("lang").to_pylist()
+            done = [measure_texts(net, number, langs[i:j], texts[i:j]) for i, j in text_parts(texts)]
+            rows, width, logs = ([x for part in done for x in part[k]] for k in range(3))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(width, pa.int64()), pa.array(logs, pa.float64())], names=names)
 

@@ -175,6 +175,30 @@ def test_pieces_against_the_library(docs, empty):
     assert pieces.encode(empty, piece_model()).count() == 0
 
 
+def test_quality_spells_bounded_slices_of_words(monkeypatch):
+    words = {b"w%d" % i: i % 5 + 1 for i in range(2 * quality._SLICE + 3)}
+    codes, first = quality.word_grams(list(words))
+    whole = quality.added([(codes, np.repeat(list(words.values()), np.diff(np.append(first, len(codes)))))])
+    texts = pa.array([" ".join(w.decode() for w in words), None, "w1 w2 " * 20])
+    sizes, spell = [], quality.word_grams
+    monkeypatch.setattr(quality, "word_grams", lambda w: sizes.append(len(w)) or spell(w))
+    found = quality.added(list(quality.spelled(words)))
+    assert all(map(np.array_equal, found, whole))
+    model = quality.fit(pa.table({"lang": pa.array([None] * len(whole[0]), pa.string()), "code": whole[0], "n": whole[1]}))
+    rows, width, logs = quality.measure_texts(model, {None: 0}, [None] * 3, texts)
+    assert max(sizes) == quality._SLICE
+    assert [r[0] for r in rows] == [len(words), 0, 40] and width == [len(codes), 0, 120]
+    assert logs == pytest.approx([model.log10(codes, 0).sum(), 0, 20 * model.log10(spell([b"w1", b"w2"])[0], 0).sum()])
+
+
+def test_quality_texts_are_measured_in_parts():
+    texts = pa.array(["x" * 1000, None] * 4000 + ["y" * (3 * quality._PART)] + ["z"] * 5)
+    parts = list(quality.text_parts(texts))
+    assert [i for i, _ in parts] == [0, *[j for _, j in parts[:-1]]] and parts[-1][1] == len(texts)
+    assert max(sum(len(t or "") for t in texts[i:j].to_pylist()[1:]) for i, j in parts) <= quality._PART
+    assert list(quality.text_parts(texts[:0])) == [(0, 0)]
+
+
 def test_quality_counts_and_probabilities(docs, empty):
     for r in quality.quality(docs).collect():
         words = (r.row.text or "").split()
