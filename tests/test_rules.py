@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sqlloom import schemas
 from sqlloom.functions.relational import not_in
-from sqlloom.functions.text import collapse, normalise_sql, strip, upper_keywords
+from sqlloom.functions.text import SQL_KEYWORDS, collapse, normalise_sql, strip, upper_keywords
 from sqlloom.operators import catalog as C
 from sqlloom.operators import evaluate as E
 from sqlloom.operators import extract as R
@@ -516,3 +516,21 @@ def test_not_in_null_rules(spark, listed, kept):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(v,) for v in listed], "v int")
     assert [r["k"] for r in not_in(left, "k", right, "v").orderBy(F.asc_nulls_last("k")).collect()] == kept
+
+
+def test_a_response_is_cut_once(spark):
+    rows = spark.createDataFrame([(1, "")], "question_id long, response string")
+    plan = R.extract_reasoning_sql(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 8  # four cuts for either kind of tag
+    assert plan.count("regexp_replace(") < 20
+
+
+def test_only_keywords_that_occur_are_replaced_and_all_spellings_are_found(spark):
+    texts = ["select a from b", "Group By x order by y Having count(*) > 1", "group  by limits", "ſelect lımit joİn mın lİmit", "é select min_x Max(x)",
+             "", None, "SELECT 1", "on ON oN _on on_ 1on", "sum avg min max limit where join"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for word in SQL_KEYWORDS:
+        plain = F.regexp_replace(plain, rf"(?iU)\b{word}\b", word)
+    for r in df.select("t", upper_keywords(F.col("t")).alias("found"), plain.alias("wanted")).collect():
+        assert r.found == r.wanted, r.t
