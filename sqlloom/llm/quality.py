@@ -184,8 +184,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts 1, 2 and 3 or more; plain values where too few counts are there to estimate them."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    return discounts([int((counts == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """Discounts for counts 1, 2 and 3 or more from how many n-grams have counts 1 to 4; plain values where too few are there."""
     if not all(n):
         return np.array([0.0, 0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])

@@ -48,6 +48,18 @@ def elias_fano_get(ef: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
     return value
 
 
+def _successor(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The place of each symbol among the ascending symbols from ``low`` to ``high``; -1 if it is not there."""
+    end = high.copy()
+    while (low < high).any():
+        open_ = low < high
+        mid = (low + high) // 2
+        less = open_ & (symbols[np.minimum(mid, len(symbols) - 1)] < symbol)
+        low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    hit = (low < end) & (symbols[np.minimum(low, len(symbols) - 1)] == symbol) if len(symbols) else np.zeros(len(symbol), bool)
+    return np.where(hit, low, -1)
+
+
 def _quantised(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of one byte and the book of values they stand for: means of equally full bins."""
     codes = np.full(len(values), _NONE, np.uint8)
@@ -126,14 +138,7 @@ class Trie:
             low, high = np.zeros(len(symbol), np.int64), np.full(len(symbol), len(symbols))
         else:
             low, high = elias_fano_get(self.children[k - 1], node), elias_fano_get(self.children[k - 1], node + 1)
-        end = high.copy()
-        while (low < high).any():
-            open_ = low < high
-            mid = (low + high) // 2
-            less = open_ & (symbols[np.minimum(mid, len(symbols) - 1)] < symbol)
-            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        hit = (low < end) & (symbols[np.minimum(low, len(symbols) - 1)] == symbol) if len(symbols) else np.zeros(len(symbol), bool)
-        return np.where(hit, low, -1)
+        return _successor(symbols, low, high, symbol)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of every five-byte code: the longest known n-gram, and the backoffs on the way to it."""
@@ -161,3 +166,31 @@ class Trie:
                 total[left] += self.parts["root"][0]
         total[left] += np.log10(1 / 256)
         return total
+
+
+class PairTrie:
+    """Counts of pairs of token numbers in two levels: contexts, and each one's followers in a row, with Elias-Fano pointers."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, n: np.ndarray):
+        """Distinct pairs, ascending."""
+        self.contexts, start = np.unique(first, return_index=True)
+        self.child, self.symbols, self.n = elias_fano(np.append(start, len(first))), second, n
+        self._kinds = np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)], axis=1) if len(start) else np.zeros((0, 3), np.int64)
+
+    def _node(self, first: np.ndarray) -> np.ndarray:
+        return _successor(self.contexts, np.zeros(len(first), np.int64), np.full(len(first), len(self.contexts)), first)
+
+    def counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """How often each pair was counted, by successor search among the followers of its context."""
+        node, found = self._node(first), np.zeros(len(first), np.int64)
+        live = np.flatnonzero(node >= 0)
+        node = node[live]
+        at = _successor(self.symbols, elias_fano_get(self.child, node), elias_fano_get(self.child, node + 1), second[live])
+        found[live[at >= 0]] = self.n[at[at >= 0]]
+        return found
+
+    def kinds(self, first: np.ndarray) -> np.ndarray:
+        """Followers of each context that were counted once, twice and more often."""
+        node, found = self._node(first), np.zeros((len(first), 3), np.int64)
+        found[node >= 0] = self._kinds[node[node >= 0]]
+        return found

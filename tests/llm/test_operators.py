@@ -248,6 +248,47 @@ def test_scores_against_plain_counts(docs, empty):
     assert scoring.score(empty, F.lit(False)).count() == 0
 
 
+def test_scores_read_tokens_behind_the_token_before(spark, monkeypatch):
+    """Against a plain model of pairs, over several blocks and shards, with contexts that several shards hold."""
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a b", "b c d", "a", "e f", "g"]) if i % 3 else rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for i in range(60)]
+    texts += [None, "", "never seen", "a b c d", "d a c b", texts[5]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [*(t or "").lower().split(), None]
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    pairs = Counter((a, b) for i, t in rows if not held(i) for a, b in zip([None, *tokens(t)], tokens(t)))
+    cut = quality.discounts([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)])
+    words = sorted(w for w in c if w)
+    codes = [quality.word_grams([w.encode() if w else b"\x03"])[0] for w in [*words, None]]
+    n = Counter()
+    for w, code in zip([*words, None], codes):
+        n.update({int(x): c[w] * int((code == x).sum()) for x in np.unique(code)})
+    model = quality.fit(pa.table({"lang": pa.array([None] * len(n), pa.string()), "code": list(n), "n": list(n.values())}))
+    trie = tries.Trie(tries.build(model))
+
+    def plain(t):
+        score = 0.0
+        for a, b in zip([None, *tokens(t)], tokens(t)):
+            p = (c[b] + len(c) * 10 ** scoring.word_scores(trie, [b.encode() if b else b"\x03"])[0]) / (sum(c.values()) + len(c))
+            if c[a]:
+                followers = [x for (y, _), x in pairs.items() if y == a]
+                p = (pairs[a, b] - cut[min(pairs[a, b], 3)] + sum(cut[min(x, 3)] for x in followers) * p) / c[a]
+            score += math.log10(p)
+        return score
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    is_held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    for shard in (scoring._SHARD, 40, 7):
+        monkeypatch.setattr(scoring, "_SHARD", shard)
+        out = {r.doc_id: r.score for r in scoring.score(docs, is_held).collect()}
+        assert len(out) == len(rows) and all(abs(out[i] - plain(t)) < 1e-4 for i, t in rows)
+    assert out[63] > out[64]  # the same words, out of order
+    assert scoring.score(docs, F.lit(True)).agg(F.max("score")).first()[0] < 0
+
+
 def test_language_of_held_out_texts(spark, docs, empty):
     df = QUERIES["op9_byte_cnn"](spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert df.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
