@@ -248,6 +248,22 @@ def test_scores_against_plain_counts(docs, empty):
     assert scoring.score(empty, F.lit(False)).count() == 0
 
 
+def test_score_blocks_do_not_grow_with_input_partitions(spark):
+    """A partition of 4.4 million tokens, some of them in texts with many distinct words, comes as several blocks."""
+    one = spark.range(44, numPartitions=1).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 7 == 2).alias("held_out"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: (i % F.when(F.col("id") % 11 == 0, 100_000).otherwise(50)).cast("string")), " ").alias("text"))
+    blocks = one.mapInArrow(scoring._blocks, "block bigint, doc_id array<bigint>, held_out array<boolean>, sizes binary, tokens binary, "
+                                             "words array<string>, n array<bigint>, n_tokens bigint, n_ends bigint").collect()
+    assert len(blocks) == len({b.block for b in blocks}) == 3 and sorted(i for b in blocks for i in b.doc_id) == list(range(44))
+    assert all(b.n_tokens < scoring._TOKENS + 100_001 and len(b.words) < scoring._WORDS + 100_001 for b in blocks)
+    assert sum(b.n_tokens for b in blocks) == 44 * 100_001 and sum(sum(b.n) + b.n_ends for b in blocks) == 100_001 * sum(i % 7 != 2 for i in range(44))
+    for b in blocks:
+        words = np.array(b.words)[scoring.unpacked(b.tokens, np.int32)]
+        at = np.cumsum(scoring.unpacked(b.sizes, np.int32))
+        assert all((w == [str(j % (50 if i % 11 else 100_000)) for j in range(100_000)]).all() for i, w in zip(b.doc_id, np.split(words, at[:-1])))
+
+
 def test_scores_read_tokens_behind_the_token_before(spark, monkeypatch):
     """Against a plain model of pairs, over several blocks and shards, with contexts that several shards hold."""
     from collections import Counter
