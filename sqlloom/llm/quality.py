@@ -237,10 +237,10 @@ def fit(counts: pa.Table) -> KneserNey:
     return KneserNey(languages, grams, contexts)
 
 
-def text_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Beginnings and ends of runs of texts; the texts of one run end within the same ``_PART`` bytes."""
+def text_parts(texts: pa.Array, size: int = _PART) -> Iterator[tuple[int, int]]:
+    """Beginnings and ends of runs of texts; the texts of one run end within the same ``size`` bytes."""
     ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = np.append(np.flatnonzero(np.diff(ends // _PART)) + 1, len(ends)).tolist()
+    cuts = np.append(np.flatnonzero(np.diff(ends // size)) + 1, len(ends)).tolist()
     return zip([0, *cuts], cuts)
 
 

@@ -411,3 +411,25 @@ def test_tokenizers_that_merge_over_blanks_are_refused():
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
         packing.WordEncoder(f.read())
+
+
+def test_marks_capitals_and_special_tokens_as_the_tokenizer_has_them():
+    from tokenizers import Tokenizer
+
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        encoder, plain = packing.WordEncoder(f.read()), Tokenizer.from_file(word_tokenizer())
+    rng = np.random.default_rng(5)
+    parts = [*"aZé1½中ᄀ😀_~«$<|", "İ", "ß", "Σ", "ſ", "×", "Å", "ﬁ", "́", "̇", "'s", "'", "!!", "?.", ",", "<|", "|>", "<|endoftext|>",
+             " ", "\t", "\x0b", "\x1c", "\x85", " ", " ", "\0", "‍"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)] + [None, "", " ", "İ!!", "It's, 'it'!", "armió, e.g. a--"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_between_ranges_start_no_python_task(spark, monkeypatch):
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: made.append(create(self, *a, **b)) or made[-1])
+    monkeypatch.setattr(packing, "_RANGE_ROWS", 200)
+    packed = packing.pack(spark.range(3000).selectExpr("id AS doc_id", "1 + id % 1500 AS length"), 2048)
+    assert packed.count() == 3000 and made
+    assert all(df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation" for df in made)
