@@ -425,6 +425,17 @@ def test_marks_capitals_and_special_tokens_as_the_tokenizer_has_them():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_kept_with_their_ids_are_bounded():
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(i)) for i in range(400_000)]
+    texts = pa.array([" ".join(words[i:i + 500]) + " the end." for i in range(0, len(words), 500)])
+    for i in range(0, len(texts), 50):
+        assert len(list(encoder.encode(texts[i:i + 50]))) == 50
+    assert len(encoder.known) <= 300_000 and "the" in encoder.known and "end." not in encoder.known
+
+
 def test_runs_between_ranges_start_no_python_task(spark, monkeypatch):
     made = []
     create = type(spark).createDataFrame
