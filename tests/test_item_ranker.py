@@ -1,8 +1,10 @@
 """The trained item ranking against token overlap, on questions it has not seen."""
 
 import math
+from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 from sqlloom.operators import item_ranker as L
 from sqlloom.operators import schema_filter as S
@@ -102,3 +104,50 @@ def test_nulls_ties_and_odd_records(spark):
     first = got[1][0]["columns"]
     assert [c["column_name"] for c in first] == ["id", "id"] and all(0 < c["score"] < 1 for c in first)
     assert 0 < got[1][1]["columns"][0]["score"] < 1
+
+
+def asked_of_one_table(spark, n, links_x):
+    """n questions of a table with columns x and y; ``links_x`` says of which ids x is linked, of the others y is."""
+    catalog = spark.createDataFrame(
+        [("d", ["t"], [["-1", "*"], ["0", "x"], ["0", "y"]], ["text", "text", "text"], [], [])],
+        """db_id string, table_names_original array<string>, column_names_original array<array<string>>, column_types array<string>,
+           primary_keys array<int>, foreign_keys array<array<int>>""")
+    questions = spark.range(n).selectExpr("id AS question_id", "'d' AS db_id", "'What is asked?' AS question")
+    links = questions.select("question_id", "db_id", F.expr(f"if({links_x}, '[t.x]', '[t.y]')").alias("schema_links"))
+    return SimpleNamespace(questions=questions, catalog=catalog, links_by_db=links)
+
+
+def test_links_of_all_questions_teach(spark):
+    """Of 2,500 questions, those 2,000 of smallest hash link one column, the others the other one."""
+    first = [r[0] for r in spark.range(2500).orderBy(F.xxhash64("id"), "id").limit(2000).collect()]
+    i = asked_of_one_table(spark, 2500, f"question_id IN ({', '.join(map(str, first))})")
+    ranker = L.fit_ranker(i.questions, i.catalog, i.links_by_db)
+    found = L.best_columns(L.ranked_items(i.questions.where("question_id = 1"), i.catalog, ranker)).collect()
+    assert {r["column_name"]: r["score"] for r in found} == {"x": pytest.approx(0.8, abs=0.01), "y": pytest.approx(0.2, abs=0.01)}
+
+
+def test_registered_query_learns_from_both_halves(spark):
+    i = asked_of_one_table(spark, 400, "pmod(xxhash64(question_id + 7), 2) = 0")
+    share = i.links_by_db.where("schema_links = '[t.x]'").count() / 400
+    found = registry.ranked_columns(i).groupBy("column_name").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
+    for r in found.collect():
+        assert r["n"] == 400 and r["low"] == r["high"] == pytest.approx(share if r["column_name"] == "x" else 1 - share, abs=0.01)
+
+
+def test_counted_rows_are_fitted_as_single_ones(made, monkeypatch):
+    questions, catalog, links = made
+    rows = L.training_rows(questions, catalog, links, n_tokens=8).cache()
+    plain = LogisticRegression(regParam=1e-4, maxIter=50).fit(rows)
+    ranker = L.fit_ranker(questions, catalog, links, n_tokens=8)
+    assert [*ranker.numbers, *ranker.tokens, ranker.intercept] == pytest.approx([*plain.coefficients, plain.intercept], abs=1e-6)
+    assert rows.count() > 1000 and rows.distinct().count() * 2 < rows.count()
+    monkeypatch.setattr(L, "PIECES", rows.count() // 3)  # pieces of weight three and less
+    heavier = L.fit_ranker(questions, catalog, links, n_tokens=8)
+    few = questions.where("question_id < 12")
+
+    def scores(fitted):
+        found = L.best_columns(L.ranked_items(few, catalog, fitted), 1000).collect()
+        return {(r["question_id"], r["table_name"], r["column_name"]): r["score"] for r in found}
+
+    assert scores(heavier) == pytest.approx(scores(ranker), abs=0.01)
+    rows.unpersist()
